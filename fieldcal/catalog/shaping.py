@@ -329,7 +329,9 @@ def feature_checksum(spark, sf_dir):
     return names.select("text", adler32(F.col("text")).alias("checksum"))
 
 
-@query()
+@query(
+    """SELECT o_orderkey, ['near', 'far', 'none'][('0x' || left(md5('11|' || o_orderkey), 12))::BIGINT % 3 + 1] AS choice FROM orders"""
+)
 def random_choice(spark, sf_dir):
     values = F.array(F.lit("near"), F.lit("far"), F.lit("none"))
     return table(spark, sf_dir, "orders").select(

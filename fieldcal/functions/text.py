@@ -64,7 +64,9 @@ def is_valid_filename(name: Column) -> Column:
 
 def choose(values: Column, *key: Column, seed: int = 0) -> Column:
     """An element of an array, drawn by a hash of the row key, so it does not move with partitioning."""
-    return F.element_at(values, (F.pmod(F.xxhash64(F.lit(seed), *key), F.size(values)) + 1).cast("int"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
+    number = F.conv(F.left(digest, F.lit(12)), 16, 10).cast("long")
+    return F.element_at(values, (number % F.size(values) + 1).cast("int"))
 
 
 def model_label(name: Column) -> Column:

@@ -83,8 +83,8 @@ def fit_adaboost_r2(
         reweighted = scored.select(
             "features", "label", (F.col("w") * F.pow(F.lit(beta), (1 - cost) * learning_rate)).alias("w")
         )
-        scale = total / reweighted.agg(F.sum("w")).first()[0]
-        rows = reweighted.withColumn("w", F.col("w") * scale)
-        if (i + 1) % _CHECKPOINT_EVERY == 0:
-            rows = durable(rows)
+        rows = reweighted
+        if (i + 1) % _CHECKPOINT_EVERY == 0:  # only ratios of weights matter: bring them back to their size here
+            rows = durable(reweighted)
+            rows = rows.withColumn("w", F.col("w") * (total / rows.agg(F.sum("w")).first()[0]))
     return BoostedMedian(trees, weights)

@@ -8,6 +8,7 @@ import random
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -163,7 +164,11 @@ class CalibrationEstimator(Estimator):
         elif self.model == "knn":
             fitted = fit_knn(ready, **setting)
         else:
-            fitted = make_regressor(self.model, setting, self.seed).fit(ready)
+            ready = ready.persist(StorageLevel.MEMORY_AND_DISK)  # iterative fits read it many times
+            try:
+                fitted = make_regressor(self.model, setting, self.seed).fit(ready)
+            finally:
+                ready.unpersist()
         made = CalibrationModel(
             {
                 "model": self.model, "numeric": self.numeric, "scaling": scaling,

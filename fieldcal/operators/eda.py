@@ -46,13 +46,19 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max per numeric column."""
     columns = list(columns or numeric_columns(df))
-    moments = (
-        df.select([F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], columns, "column", "value")
-        .groupBy("column")
-        .agg(
-            F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"), F.max("value").alias("max"),
+    parts = {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp,
+        "min": lambda c: F.min(F.col(c).cast("double")), "max": lambda c: F.max(F.col(c).cast("double")),
+    }
+    wide = df.agg(*[f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in parts.items()])
+    moments = wide.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("column"), *[F.col(f"{name}{i}").alias(name) for name in parts])
+                    for i, c in enumerate(columns)
+                ]
+            )
         )
     )
     quartiles = column_quantiles(df, columns, QUARTILES).drop("n")

@@ -59,29 +59,34 @@ def convex_hulls(df: DataFrame, zone: str, x: str, y: str, spread: int = 64) ->
     the shuffle; partial hulls merge in ``spread`` groups per zone and then once per zone.
     """
     points = df.select(F.col(zone).alias("zone"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    points = points.dropna()
-    sizes = points.groupBy("zone").agg(F.count("*").alias("_n")).where("_n > 2").select("zone")
+    fields = "zone string, x double, y double, n long"
+
+    def corners_of(name, xy: np.ndarray, n: int) -> pd.DataFrame:
+        corners = _hull(xy)
+        counted = np.zeros(len(corners), dtype="int64")
+        counted[0] = n  # the row count travels with the first corner
+        return pd.DataFrame({"zone": name, "x": corners[:, 0], "y": corners[:, 1], "n": counted})
 
     def reduce_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict = {}
         for batch in batches:
             for name, part in batch.groupby("zone"):
                 xy = part[["x", "y"]].to_numpy()
-                kept[name] = _hull(np.vstack([kept[name], xy]) if name in kept else xy)
-        for name, corners in kept.items():
-            yield pd.DataFrame({"zone": name, "x": corners[:, 0], "y": corners[:, 1]})
+                seen, n = kept.get(name, (xy[:0], 0))
+                kept[name] = (_hull(np.vstack([seen, xy])), n + len(xy))
+        for name, (xy, n) in kept.items():
+            yield corners_of(name, xy, n)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        corners = _hull(group[["x", "y"]].to_numpy())
-        return pd.DataFrame({"zone": group["zone"].iloc[0], "x": corners[:, 0], "y": corners[:, 1]})
+        return corners_of(group["zone"].iloc[0], group[["x", "y"]].to_numpy(), int(group["n"].sum()))
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
-        return merge(group).assign(corner=lambda d: np.arange(len(d)))
-
-    partial = points.mapInPandas(reduce_partition, "zone string, x double, y double")
-    salted = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
-    halfway = salted.groupBy("zone", "_salt").applyInPandas(
-        lambda g: merge(g), "zone string, x double, y double"
-    )
-    hulls = halfway.groupBy("zone").applyInPandas(finish, "zone string, x double, y double, corner int")
-    return hulls.join(sizes, "zone", "left_semi").select(F.col("zone").alias(zone), "corner", "x", "y")
+        merged = merge(group)
+        merged["corner"] = np.arange(len(merged))
+        return merged[["zone", "corner", "x", "y"]] if merged["n"].sum() > 2 else merged[["zone", "corner", "x", "y"]][:0]
+
+    partial = points.dropna().mapInPandas(reduce_partition, fields)
+    salted = partial.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(spread)))
+    halfway = salted.groupBy("zone", "_salt").applyInPandas(merge, fields)
+    hulls = halfway.groupBy("zone").applyInPandas(finish, "zone string, corner int, x double, y double")
+    return hulls.withColumnRenamed("zone", zone)

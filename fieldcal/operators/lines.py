@@ -22,14 +22,19 @@ def filter_lines(df: DataFrame, line: str, text: str) -> DataFrame:
     return df.where(F.contains(F.col(line), F.lit(text)))
 
 
+def _digest(line: str) -> Column:
+    """Lines are compared by SHA-256, so whole texts need not travel through the shuffle twice."""
+    return F.sha2(F.col(line), 256)
+
+
 def lines_only_in_first(first: DataFrame, second: DataFrame, line: str = "value") -> DataFrame:
     """Non-blank lines of the first table that the second does not hold; duplicates stay.
 
-    The second side is made distinct first, so a line repeated many times there costs one row.
+    The second side shrinks to its distinct digests first, so a line repeated many times there costs one row.
     """
-    a = first.where(not_blank(F.col(line)))
-    b = second.where(not_blank(F.col(line))).select(line).distinct()
-    return a.join(b, line, "left_anti")
+    a = first.where(not_blank(F.col(line))).withColumn("_digest", _digest(line))
+    b = second.where(not_blank(F.col(line))).select(_digest(line).alias("_digest")).distinct()
+    return a.join(b, "_digest", "left_anti").drop("_digest")
 
 
 def same_lines(first: DataFrame, second: DataFrame, line: str = "value") -> DataFrame:
@@ -37,9 +42,10 @@ def same_lines(first: DataFrame, second: DataFrame, line: str = "value") -> Data
 
     Both sides are counted together in one pass; ``differing`` is the number of lines whose counts differ.
     """
-    a = first.select(F.col(line).alias("_line"), F.lit(1).alias("_side"))
-    b = second.select(F.col(line).alias("_line"), F.lit(-1).alias("_side"))
-    balance = a.unionByName(b).where(not_blank(F.col("_line"))).groupBy("_line").agg(F.sum("_side").alias("_balance"))
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        return df.where(not_blank(F.col(line))).select(_digest(line).alias("_digest"), F.lit(sign).alias("_side"))
+
+    balance = side(first, 1).unionByName(side(second, -1)).groupBy("_digest").agg(F.sum("_side").alias("_balance"))
     return balance.agg(F.count_if(F.col("_balance") != 0).alias("differing")).withColumn(
         "same", F.col("differing") == 0
     )

@@ -19,8 +19,8 @@ def hash_key(seed: int | str, *key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
 
 
-def with_positions(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
-    """Number the rows 0, 1, 2… in a total order.
+def _numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> tuple[DataFrame, int]:
+    """Rows with their place in a total order, and the number of rows.
 
     Rows are range-partitioned and sorted; the place inside a partition comes from the
     built-in row counter, and only one offset per partition is joined back. The sorted
@@ -36,58 +36,67 @@ def with_positions(df: DataFrame, order: Sequence[str | Column], name: str = "po
         offsets.append((row["_part"], total))
         total += row["_rows"]
     if not offsets:
-        return ranged.drop("_id").withColumn(name, F.lit(0).cast("long"))
+        return ranged.drop("_id").withColumn(name, F.lit(0).cast("long")), 0
     lookup = df.sparkSession.createDataFrame(offsets, "_part long, _offset long")
     local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
+    placed = (
         ranged.withColumn("_part", part)
         .join(F.broadcast(lookup), "_part")
         .withColumn(name, F.col("_offset") + local)
         .drop("_id", "_part", "_offset")
     )
+    return placed, total
+
+
+def with_positions(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
+    """Number the rows 0, 1, 2… in a total order, without a window over the whole table."""
+    return _numbered(df, order, name)[0]
 
 
 def zip_by_position(
-    left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str], check: bool = True
+    left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]
 ) -> DataFrame:
-    """Put two tables side by side by position, each in its own total order."""
-    a = with_positions(left, left_order, "_position")
-    b = with_positions(right, right_order, "_position")
-    if check and (a.count() != b.count()):
-        raise ValueError("mismatch in the number of rows of the two tables")
+    """Put two tables side by side by position, each in its own total order; unequal lengths are an error."""
+    a, n_left = _numbered(left, left_order, "_position")
+    b, n_right = _numbered(right, right_order, "_position")
+    if n_left != n_right:
+        raise ValueError(f"mismatch in the number of rows of the two tables: {n_left} and {n_right}")
     return a.join(b, "_position").drop("_position")
 
 
-def keys_at_ranks(df: DataFrame, key: Column, ranks: Sequence[int]) -> list[str]:
-    """The hash keys that stand at the given 1-based ranks.
+class _KeyRanks:
+    """Looks up hash keys by rank.
 
-    Counts per key prefix (at most 65,536 rows) show which prefix holds each rank; only the
-    rows of those prefixes are then sorted.
+    One scan counts the keys per prefix (at most 65,536 counts, since keys are hex digests);
+    a second one sorts only the keys of the prefixes that hold a wanted rank.
     """
-    keyed = df.select(key.alias("_key")).withColumn("_prefix", F.left("_key", F.lit(_PREFIX_DIGITS)))
-    counts = sorted(keyed.groupBy("_prefix").count().collect())
-    wanted, seen = {}, 0
-    for prefix, n in counts:
-        for r in ranks:
-            if seen < r <= seen + n:
-                wanted[r] = (prefix, r - seen)
-        seen += n
-    missing = [r for r in ranks if r not in wanted]
-    if missing:
-        raise ValueError(f"ranks {missing} lie outside the {seen} rows")
-    if not wanted:
-        return []
-    hit = F.lit(False)
-    for prefix, place in wanted.values():
-        hit = hit | ((F.col("_prefix") == prefix) & (F.col("_place") == place))
-    placed = (
-        keyed.where(F.col("_prefix").isin([p for p, _ in wanted.values()]))
-        .withColumn("_place", F.row_number().over(Window.partitionBy("_prefix").orderBy("_key")))
-        .where(hit)
-        .select("_prefix", "_place", "_key")
-    )
-    found = {(r["_prefix"], r["_place"]): r["_key"] for r in placed.collect()}
-    return [found[wanted[r]] for r in ranks]
+
+    def __init__(self, df: DataFrame, key: Column):
+        self.keyed = df.select(key.alias("_key")).withColumn("_prefix", F.left("_key", F.lit(_PREFIX_DIGITS)))
+        self.counts = sorted(self.keyed.groupBy("_prefix").count().collect())
+        self.total = sum(n for _, n in self.counts)
+
+    def at(self, ranks: Sequence[int]) -> list[str]:
+        """The keys at 1-based ranks."""
+        wanted, seen = {}, 0
+        for prefix, n in self.counts:
+            wanted.update({r: (prefix, r - seen) for r in ranks if seen < r <= seen + n})
+            seen += n
+        if len(wanted) != len(set(ranks)):
+            raise ValueError(f"ranks {[r for r in ranks if r not in wanted]} lie outside the {self.total} rows")
+        if not wanted:
+            return []
+        places = list(wanted.values())
+        hit = F.lit(False)
+        for prefix, place in places:
+            hit = hit | ((F.col("_prefix") == prefix) & (F.col("_place") == place))
+        placed = (
+            self.keyed.where(F.col("_prefix").isin([p for p, _ in places]))
+            .withColumn("_place", F.row_number().over(Window.partitionBy("_prefix").orderBy("_key")))
+            .where(hit)
+        )
+        found = {(r["_prefix"], r["_place"]): r["_key"] for r in placed.collect()}  # one row per wanted rank
+        return [found[wanted[r]] for r in ranks]
 
 
 def exact_split(df: DataFrame, key_columns: Sequence[str], test_size: float, seed: int) -> DataFrame:
@@ -97,17 +106,19 @@ def exact_split(df: DataFrame, key_columns: Sequence[str], test_size: float, see
     ``key_columns`` must be unique per row.
     """
     key = hash_key(seed, *[F.col(c) for c in key_columns])
-    n_test = math.ceil(df.count() * test_size)
+    ranks = _KeyRanks(df, key)
+    n_test = math.ceil(ranks.total * test_size)
     if n_test == 0:
         return df.withColumn("split", F.lit("train"))
-    (last,) = keys_at_ranks(df, key, [n_test])
+    (last,) = ranks.at([n_test])
     return df.withColumn("split", F.when(key <= last, "test").otherwise("train"))
 
 
 def contiguous_folds(df: DataFrame, key_columns: Sequence[str], k: int, seed: int, name: str = "fold") -> DataFrame:
     """Add a fold number 0…k-1: contiguous in hash order, the first ``n % k`` folds one row larger."""
     key = hash_key(seed, *[F.col(c) for c in key_columns])
-    n = df.count()
+    ranks = _KeyRanks(df, key)
+    n = ranks.total
     if n < k:
         raise ValueError(f"cannot make {k} folds from {n} rows")
     ends, end = [], 0
@@ -115,7 +126,7 @@ def contiguous_folds(df: DataFrame, key_columns: Sequence[str], k: int, seed: in
         end += n // k + (1 if fold < n % k else 0)
         ends.append(end)
     fold_number = F.lit(0)
-    for edge in keys_at_ranks(df, key, ends):
+    for edge in ranks.at(ends):
         fold_number = fold_number + (key > edge).cast("int")
     return df.withColumn(name, fold_number)
 
@@ -127,24 +138,24 @@ def head_rows(df: DataFrame, key_columns: Sequence[str], n: int, seed: int) -> D
     if n == 0:
         return df
     key = hash_key(seed, *[F.col(c) for c in key_columns])
-    total = df.count()
-    if n >= total:
+    ranks = _KeyRanks(df, key)
+    if n >= ranks.total:
         return df
-    (last,) = keys_at_ranks(df, key, [n])
-    return df.where(key <= last)
+    return df.where(key <= ranks.at([n])[0])
 
 
 def every_nth(df: DataFrame, order: Sequence[str], parts: int = 10) -> DataFrame:
     """Evenly spaced rows in a total order: every ``max(1, n // parts)``-th one, from the first."""
-    placed = with_positions(df, order, "position")
-    step = max(1, placed.count() // parts)
+    placed, n = _numbered(df, order, "position")
+    step = max(1, n // parts)
     return placed.where(F.col("position") % step == 0)
 
 
 def chunk_rows(df: DataFrame, order: Sequence[str], n_files: int, base: str) -> DataFrame:
     """Cut a work list into chunks of ``ceil(n / files)`` rows, with the chunk label as ``run_id``."""
-    placed = with_positions(df, order, "position")
-    n = placed.count()
+    placed, n = _numbered(df, order, "position")
+    if n == 0:
+        return placed.withColumns({"chunk": F.lit(1), "run_id": F.lit(base)})
     n_files = min(n_files, n)
     size = math.ceil(n / n_files)
     number = (F.floor(F.col("position") / size) + 1).cast("int")

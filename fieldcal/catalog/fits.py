@@ -9,14 +9,15 @@ from fieldcal.models.training import CalibrationEstimator, CalibrationModel, ran
 from fieldcal.operators.metrics import regression_metrics
 from fieldcal.operators.ordering import exact_split
 from fieldcal.operators.prep import fit_scaling, linear_expression, unscale_linear
-from fieldcal.session import scratch_path
+from fieldcal.session import scratch_path, spread, stored
 
 _NUMERIC = ["l_discount", "l_tax", "l_linenumber", "raw"]
 _CATEGORICAL = ["l_linestatus", "l_returnflag"]
 
 
 def _rows(spark, sf_dir):
-    return pairs(spark, sf_dir).select(*LINE_KEY, "truth", "raw", "zone", "split")
+    rows = pairs(spark, sf_dir).select(*LINE_KEY, "truth", "raw", "zone", "split")
+    return stored(spread(rows, "l_orderkey", "l_partkey"), "training")
 
 
 def _estimator(model, **options):
@@ -164,11 +165,11 @@ def fit_augmented(spark, sf_dir):
 def search_cv(spark, sf_dir):
     """Error of every tried setting, from a seeded search on contiguous folds."""
     train = _rows(spark, sf_dir).where("split = 'train'").drop("split")
-    search, settings = random_search(
+    _, tried = random_search(
         _estimator("decision_tree"), train, LINE_KEY, n_iter=2, cv=3, seed=3, grid={"maxDepth": [2, 4, 6]}
     )
-    tried = [(str(sorted(s.items())), float(m)) for s, m in zip(settings, search.avgMetrics)]
-    return rounded(spark.createDataFrame(tried, "setting string, rmse double"))
+    rows = [(str(sorted(setting.items())), rmse) for setting, rmse in tried]
+    return rounded(spark.createDataFrame(rows, "setting string, rmse double"))
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldcal.operators.metrics import metric_columns, metrics_long
+from fieldcal.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,7 +83,7 @@ DENSE_SENSORS = ["BM_H", "BM_P", "BM_T", "PM10", "PM25"]
 
 def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five or six long readings per line item: every sensor of one device at one second."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
     at = F.col("l_shipdate") + F.make_dt_interval(
         F.lit(0), (F.col("l_orderkey") % 24).cast("int"), (F.col("l_partkey") % 60).cast("int"),
         (F.col("l_linenumber") * 7).cast("decimal(18,6)"),

@@ -23,6 +23,7 @@ from fieldcal.operators.ranktests import (
     holm_winners,
     kruskal_wallis,
     mann_whitney_pairs,
+    sample_names,
     wilcoxon_signed_rank,
 )
 from fieldcal.plans.analysis import significance_marks, zone_comparison
@@ -42,7 +43,11 @@ _Z = [1.6448536269514722, 1.9599639845400545, 2.128045234184984, 2.2414027276049
            h / (1 - tie / (pow(n, 3) - n)) > 9.487729036781154 AS significant FROM h"""
 )
 def kruskal_h(spark, sf_dir):
-    return rounded(kruskal_wallis(samples(spark, sf_dir), "value", "method", keys=["zone"]).drop("p_value"))
+    return rounded(kruskal_wallis(samples(spark, sf_dir), "value", "method", _priorities(spark, sf_dir), keys=["zone"]).drop("p_value"))
+
+
+def _priorities(spark, sf_dir):
+    return sample_names(table(spark, sf_dir, "orders"), "o_orderpriority")
 
 
 def _pairs_sql(source: str, extra: str) -> str:
@@ -70,7 +75,7 @@ _SPREAD = "sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))
            (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / {_SPREAD} > 1.959963984540054 AS significant FROM us"""
 )
 def mannwhitney_u(spark, sf_dir):
-    p = mann_whitney_pairs(samples(spark, sf_dir), "value", "method", keys=["zone"])
+    p = mann_whitney_pairs(samples(spark, sf_dir), "value", "method", _priorities(spark, sf_dir), keys=["zone"])
     return p.select(
         "zone", "method", "other", "n1", "n2", F.round("u1", 1).alias("u1"), F.round("u", 1).alias("u"),
         F.round("z", 6).alias("z"), "significant",
@@ -89,7 +94,7 @@ def _holm_sql(source: str, extra: str) -> str:
 
 @query(f"WITH {_holm_sql('samples', SAMPLES_SQL)} SELECT zone, method, partners, holm, any_significant FROM winners")
 def holm_matrix(spark, sf_dir):
-    p = mann_whitney_pairs(samples(spark, sf_dir), "value", "method", alternative="less", keys=["zone"])
+    p = mann_whitney_pairs(samples(spark, sf_dir), "value", "method", _priorities(spark, sf_dir), "less", ["zone"])
     return holm_winners(p, ["zone"]).drop("method_order")
 
 

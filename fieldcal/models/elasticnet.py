@@ -31,25 +31,28 @@ class LinearFit:
         return df.withColumn(output, dot + F.lit(float(self.intercept)))
 
 
-def fold_moments(df: DataFrame, features: str, label: str, fold: str, p: int) -> dict[int, tuple]:
-    """Per fold: row count, sums and cross products of features and label, around a common centre."""
-    x = vector_to_array(F.col(features))
-    flat = df.select(
+def fold_moments(df: DataFrame, features: str, label: str, fold: str, shift: np.ndarray) -> dict[int, tuple]:
+    """Per fold: row count, sums and cross products of label and features, all moved by ``shift``.
+
+    Any row of the data will do as the shift; it keeps the sums free of large cancelling parts.
+    """
+    p = len(shift) - 1
+    unpacked = df.select(
         F.col(fold).cast("int").alias("_f"), F.col(label).cast("double").alias("z0"),
-        *[x[i].alias(f"z{i + 1}") for i in range(p)],
+        vector_to_array(F.col(features)).alias("_x"),
     )
-    centre = list(flat.agg(*[F.avg(f"z{i}") for i in range(p + 1)]).first())
-    z = [F.col(f"z{i}") - F.lit(float(c)) for i, c in enumerate(centre)]
-    aggs = [F.count("*").alias("n")] + [F.sum(a).alias(f"s{i}") for i, a in enumerate(z)]
-    aggs += [F.sum(z[i] * z[j]).alias(f"m_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+    flat = unpacked.select("_f", "z0", *[F.col("_x")[i].alias(f"z{i + 1}") for i in range(p)])
+    moved = flat.select("_f", *[(F.col(f"z{i}") - F.lit(float(c))).alias(f"z{i}") for i, c in enumerate(shift)])
+    aggs = [F.count("*").alias("n")] + [F.expr(f"sum(z{i}) AS s{i}") for i in range(p + 1)]
+    aggs += [F.expr(f"sum(z{i} * z{j}) AS m_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
     moments = {}
-    for row in flat.groupBy("_f").agg(*aggs).collect():  # one row per fold
+    for row in moved.groupBy("_f").agg(*aggs).collect():  # one row per fold
         m = np.zeros((p + 1, p + 1))
         for i in range(p + 1):
             for j in range(i, p + 1):
                 m[i, j] = m[j, i] = row[f"m_{i}_{j}"]
         moments[row["_f"]] = (row["n"], np.array([row[f"s{i}"] for i in range(p + 1)]), m)
-    return {"centre": np.array(centre), "folds": moments}
+    return moments
 
 
 def _centred(n: float, s: np.ndarray, m: np.ndarray):
@@ -88,21 +91,21 @@ def fit_elasticnet_cv(
 
     An ``l1_ratio`` of 0 has no natural largest penalty; 0.001 stands in for it when the path is laid out.
     """
-    first = df.select(features).first()
+    first = df.select(features, F.col(label).cast("double")).first()
     if first is None:
         raise ValueError("no rows to fit")
-    p = first[0].size
+    shift = np.concatenate([[first[1]], first[0].toArray()])
+    p = len(shift) - 1
     if p > _MAX_FEATURES:
         raise ValueError(f"at most {_MAX_FEATURES} features, found {p}")
-    moments = fold_moments(df, features, label, fold, p)
-    folds = moments["folds"]
+    folds = fold_moments(df, features, label, fold, shift)
     n_all = sum(f[0] for f in folds.values())
     s_all = sum(f[1] for f in folds.values())
     m_all = sum(f[2] for f in folds.values())
     mean_all, c_all = _centred(n_all, s_all, m_all)
     top = np.abs(c_all[0, 1:]).max() / (n_all * max(l1_ratio, 1e-3))
     if top == 0:
-        return LinearFit([0.0] * p, float(moments["centre"][0]), 0.0)
+        return LinearFit([0.0] * p, float(mean_all[0] + shift[0]), 0.0)
     penalties = top * np.power(eps, np.arange(n_alphas) / max(1, n_alphas - 1))
 
     errors = np.zeros(len(penalties))
@@ -115,5 +118,5 @@ def fit_elasticnet_cv(
             errors[i] += (v @ held[2] @ v - 2 * b * (v @ held[1]) + held[0] * b * b) / held[0]
     best = int(np.argmin(errors))
     w = _path(c_all[1:, 1:], c_all[0, 1:], n_all, penalties[: best + 1], l1_ratio)[-1]
-    z_mean = mean_all + moments["centre"]
+    z_mean = mean_all + shift
     return LinearFit([float(c) for c in w], float(z_mean[0] - w @ z_mean[1:]), float(penalties[best]))

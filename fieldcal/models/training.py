@@ -6,12 +6,12 @@ import itertools
 import json
 import random
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.param import Param, Params
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
@@ -25,7 +25,6 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ from fieldcal.models import baseline
 from fieldcal.models.adaboost import BoostedMedian, fit_adaboost_r2
 from fieldcal.models.elasticnet import LinearFit, fit_elasticnet_cv
 from fieldcal.models.knn import fit_knn
-from fieldcal.operators.metrics import linear_scaling
+from fieldcal.operators.metrics import linear_scaling, regression_metrics
 from fieldcal.operators.ordering import contiguous_folds, exact_split, hash_key, head_rows
 from fieldcal.operators.prep import apply_scaling, augment, feature_pipeline, fit_scaling
 
@@ -118,7 +117,7 @@ class CalibrationEstimator(Estimator):
 
     ``raw`` is the sensor column the baselines build on; ``groups`` are the category columns of the
     grouped baseline; ``key`` identifies a row for hash-seeded noise. The param ``setting`` holds the
-    hyper-parameters, so that a grid is a list of settings for Spark's own ``CrossValidator``.
+    hyper-parameters, so that ``copy`` makes one estimator per setting of a grid.
     """
 
     setting = Param(Params._dummy(), "setting", "hyper-parameters of the model")
@@ -153,22 +152,11 @@ class CalibrationEstimator(Estimator):
         label = F.log1p(self.target) if self.log_scale_target else F.col(self.target).cast("double")
         keep = [*[F.col(c) for c in self.key], F.col("features"), label.alias("label")]
         ready = featurizer.transform(scaled).select(*keep)
-        if self.model == "elasticnet":
-            if self.key:
-                folded = contiguous_folds(ready, self.key, 5, self.seed)
-            else:
-                folded = ready.withColumn("fold", F.pmod(F.xxhash64(vector_to_array("features"), "label"), F.lit(5)))
-            fitted: Any = fit_elasticnet_cv(folded, **setting)
-        elif self.model == "adaboost":
-            fitted = fit_adaboost_r2(ready, seed=self.seed, **setting)
-        elif self.model == "knn":
-            fitted = fit_knn(ready, **setting)
-        else:
-            ready = ready.persist(StorageLevel.MEMORY_AND_DISK)  # iterative fits read it many times
-            try:
-                fitted = make_regressor(self.model, setting, self.seed).fit(ready)
-            finally:
-                ready.unpersist()
+        ready = ready.persist(StorageLevel.MEMORY_AND_DISK)  # every fit but one reads it many times
+        try:
+            fitted = self._fit_model(ready, setting)
+        finally:
+            ready.unpersist()
         made = CalibrationModel(
             {
                 "model": self.model, "numeric": self.numeric, "scaling": scaling,
@@ -178,6 +166,19 @@ class CalibrationEstimator(Estimator):
         )
         return self._post(made, rows)
 
+    def _fit_model(self, ready: DataFrame, setting: dict[str, Any]) -> Any:
+        if self.model == "elasticnet":
+            if self.key:
+                folded = contiguous_folds(ready, self.key, 5, self.seed)
+            else:
+                folded = ready.withColumn("fold", F.pmod(F.xxhash64(vector_to_array("features"), "label"), F.lit(5)))
+            return fit_elasticnet_cv(folded, **setting)
+        if self.model == "adaboost":
+            return fit_adaboost_r2(ready, seed=self.seed, **setting)
+        if self.model == "knn":
+            return fit_knn(ready, **setting)
+        return make_regressor(self.model, setting, self.seed).fit(ready)
+
     def _fit_baseline(self, train: DataFrame) -> CalibrationModel:
         meta: dict[str, Any] = {
             "model": self.model, "raw": self.raw, "groups": self.groups, "offset": 0.0,
@@ -298,20 +299,30 @@ def draw_settings(grid: Mapping[str, Sequence], n_iter: int, seed: int) -> list[
 def random_search(
     estimator: CalibrationEstimator, train: DataFrame, key: Sequence[str], n_iter: int = 40, cv: int = 4,
     seed: int = 0, parallelism: int = 4, grid: Mapping[str, Sequence] | None = None,
-):
+) -> tuple[CalibrationModel, list[tuple[dict[str, Any], float]]]:
     """Randomised search on contiguous folds with RMSE, refitted on all rows.
 
-    Returns Spark's cross-validation model and the settings tried (aligned with ``avgMetrics``).
+    Returns the refitted best model and every setting tried with its mean RMSE. The folds are
+    computed once and kept; ``parallelism`` fits run at the same time.
     """
     settings = draw_settings(GRIDS[estimator.model] if grid is None else grid, n_iter, seed)
-    maps = [{estimator.setting: s} for s in settings]
-    folded = contiguous_folds(train, key, cv, seed)
-    evaluator = RegressionEvaluator(labelCol=estimator.target, predictionCol="prediction", metricName="rmse")
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=cv, foldCol="fold",
-        parallelism=parallelism, seed=seed,
-    )
-    return search.fit(folded), settings
+    folded = contiguous_folds(train, key, cv, seed).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def error_of(task: tuple[int, int]) -> float:
+        i, fold = task
+        fitted = estimator.copy({estimator.setting: settings[i]}).fit(folded.where(F.col("fold") != fold))
+        scored = fitted.transform(folded.where(F.col("fold") == fold))
+        return regression_metrics(scored, estimator.target, "prediction").first()["rmse"]
+
+    try:
+        tasks = [(i, fold) for i in range(len(settings)) for fold in range(cv)]
+        with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+            errors = pool.map(error_of, tasks)
+        tried = [(s, sum(errors[i * cv : (i + 1) * cv]) / cv) for i, s in enumerate(settings)]
+        best = min(tried, key=lambda t: t[1])[0]
+        return estimator.copy({estimator.setting: best}).fit(folded), tried
+    finally:
+        folded.unpersist()
 
 
 def train_and_score(
@@ -324,15 +335,13 @@ def train_and_score(
     The main zone is scored on its train and test rows, any other zone on all its rows. One
     ``transform`` and one aggregation give r2, mae, mse and rmse, also after adding the raw value back.
     """
-    from fieldcal.operators.metrics import regression_metrics
-
     seed = estimator.seed
     main = exact_split(zones.where(F.col(zone) == main_zone), key, test_size, seed)
     if estimator.model in BASELINES:
         n_train_records = 0
     train = head_rows(main.where("split = 'train'"), key, n_train_records, seed)
     if len(GRIDS[estimator.model] if grid is None else grid) > 0:
-        model = random_search(estimator, train.drop("split"), key, n_iter, cv, seed, grid=grid)[0].bestModel
+        model = random_search(estimator, train.drop("split"), key, n_iter, cv, seed, grid=grid)[0]
     else:
         model = estimator.fit(train.drop("split"))
     others = zones.where(F.col(zone) != main_zone).withColumn("split", F.lit("test"))

@@ -32,8 +32,24 @@ def shared_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.min(F.least(*cols)).alias("v_min"), F.max(F.greatest(*cols)).alias("v_max"))
 
 
+def _outside_octagon(points: np.ndarray) -> np.ndarray:
+    """Drop points clearly inside the polygon of the eight extreme points: none of them can be a corner."""
+    x, y = points[:, 0], points[:, 1]
+    scores = np.stack([x, x + y, y, y - x, -x, -x - y, -y, x - y])  # directions in counter-clockwise order
+    ring = points[scores.argmax(axis=1)]
+    after = np.roll(ring, -1, axis=0)
+    slack = 1e-9 * (np.ptp(x) + np.ptp(y) + 1e-300) ** 2
+    inside = np.ones(len(points), dtype=bool)
+    for (ax, ay), (bx, by) in zip(ring, after):
+        if (ax, ay) != (bx, by):
+            inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) > slack
+    return points[~inside]
+
+
 def _hull(points: np.ndarray) -> np.ndarray:
     """Hull corners, counter-clockwise from the leftmost point (monotone chain)."""
+    if len(points) > 16:
+        points = _outside_octagon(points)
     points = np.unique(points, axis=0)
     if len(points) <= 2:
         return points

@@ -46,33 +46,35 @@ def pair_statistics(df: DataFrame, value: str, samples: dict[str, Column], keys:
         .agg(*[F.sum(F.when(c, 1.0).otherwise(0.0)).alias(f"c{i}") for i, c in enumerate(samples.values())])
     )
     ranged = collapsed.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id())
-    run = Window.partitionBy("_part", *keys).orderBy("_v")
-    running = ranged.select(
-        "_part", *keys, *[f"c{i}" for i in range(k)],
-        *[(F.sum(f"c{i}").over(run) - F.col(f"c{i}")).alias(f"b{i}") for i in range(k)],
+    # The statistics are quadratic in the number of samples, so they are stated as SQL text.
+    by = ", ".join(f"`{c}`" for c in keys)
+    within = f"(PARTITION BY {', '.join(filter(None, ['_part', by]))} ORDER BY _v)"
+    running = ranged.selectExpr(
+        "_part", *[f"`{c}`" for c in keys], *[f"c{i}" for i in range(k)],
+        *[f"sum(c{i}) OVER {within} - c{i} AS b{i}" for i in range(k)],
     )
 
-    def cube(t: Column) -> Column:
-        return F.sum(t * t * t - t)
+    def tie(t: str) -> str:
+        return f"sum(({t}) * ({t}) * ({t}) - ({t}))"
 
     pairs = [(i, j) for i in range(k) for j in range(k) if i != j]
     unordered = [(i, j) for i, j in pairs if i < j]
-    total = sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0"))
     local = running.groupBy("_part", *keys).agg(
-        *[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)],
-        *[F.sum(F.col(f"c{i}") * (F.col(f"b{j}") + F.col(f"c{j}") / 2)).alias(f"l_{i}_{j}") for i, j in pairs],
-        *[cube(F.col(f"c{i}") + F.col(f"c{j}")).alias(f"t_{i}_{j}") for i, j in unordered],
-        *[F.sum(F.abs(F.col(f"c{i}") - F.col(f"c{j}"))).alias(f"g_{i}_{j}") for i, j in unordered],
-        cube(total).alias("t_all"),
+        *[F.expr(f"sum(c{i}) AS s{i}") for i in range(k)],
+        *[F.expr(f"sum(c{i} * (b{j} + c{j} / 2)) AS l_{i}_{j}") for i, j in pairs],
+        *[F.expr(f"{tie(f'c{i} + c{j}')} AS t_{i}_{j}") for i, j in unordered],
+        *[F.expr(f"sum(abs(c{i} - c{j})) AS g_{i}_{j}") for i, j in unordered],
+        F.expr(tie(" + ".join(f"c{i}" for i in range(k))) + " AS t_all"),
     )
-    ranges = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")  # one row per range and test
-    offset = local.withColumns({f"o{j}": F.sum(f"s{j}").over(ranges) - F.col(f"s{j}") for j in range(k)})
+    # One row per range and test: small enough for a window over the whole test.
+    ranges = f"(PARTITION BY {by or '0'} ORDER BY _part)"
+    offset = local.selectExpr("*", *[f"sum(s{j}) OVER {ranges} - s{j} AS o{j}" for j in range(k)])
     return offset.groupBy(*keys).agg(
-        *[F.sum(f"s{i}").alias(f"n_{i}") for i in range(k)],
-        *[F.sum(F.col(f"l_{i}_{j}") + F.col(f"s{i}") * F.col(f"o{j}")).alias(f"u_{i}_{j}") for i, j in pairs],
-        *[F.sum(f"t_{i}_{j}").alias(f"tie_{i}_{j}") for i, j in unordered],
-        *[F.sum(f"g_{i}_{j}").alias(f"gap_{i}_{j}") for i, j in unordered],
-        F.sum("t_all").alias("tie_all"),
+        *[F.expr(f"sum(s{i}) AS n_{i}") for i in range(k)],
+        *[F.expr(f"sum(l_{i}_{j} + s{i} * o{j}) AS u_{i}_{j}") for i, j in pairs],
+        *[F.expr(f"sum(t_{i}_{j}) AS tie_{i}_{j}") for i, j in unordered],
+        *[F.expr(f"sum(g_{i}_{j}) AS gap_{i}_{j}") for i, j in unordered],
+        F.expr("sum(t_all) AS tie_all"),
     )
 
 
@@ -119,13 +121,6 @@ def kruskal_wallis(
     return result.withColumn("significant", F.col("p_value") < alpha)
 
 
-def _u_columns(n1: Column, n2: Column, u1: Column, tie: Column, gap: Column, alternative: str) -> dict[str, Column]:
-    n = n1 + n2
-    u = {"greater": u1, "less": n1 * n2 - u1, "two-sided": F.greatest(u1, n1 * n2 - u1)}[alternative]
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1))))
-    return {"u1": u1, "u": u, "z": F.try_divide(u - n1 * n2 / 2 - 0.5, sd), "same": gap == 0}
-
-
 def _u_p_value(n1: Column, n2: Column, u: Column, z: Column, tie: Column, same: Column, alternative: str) -> Column:
     factor = 2.0 if alternative == "two-sided" else 1.0
     small = (F.least(n1, n2) <= _SMALL_SAMPLE) & (tie == 0) & (n1 * n2 <= _SMALL_TABLE)
@@ -149,24 +144,25 @@ def mann_whitney_pairs(
     if k < 2:
         raise ValueError(f"at least two groups are needed, found {k}")
     s = pair_statistics(df, value, _members(group, names), keys)
-    rows = []
-    for i in range(k):
-        for j in range(k):
-            if i == j:
-                continue
-            lo, hi = min(i, j), max(i, j)
-            n1, n2, tie = F.col(f"n_{i}"), F.col(f"n_{j}"), F.col(f"tie_{lo}_{hi}")
-            columns = _u_columns(n1, n2, F.col(f"u_{i}_{j}"), tie, F.col(f"gap_{lo}_{hi}"), alternative)
-            rows.append(
-                F.struct(
-                    F.lit(i).alias("method_order"), F.lit(names[i]).alias("method"), F.lit(names[j]).alias("other"),
-                    n1.alias("n1"), n2.alias("n2"), tie.alias("tie"),
-                    *[c.alias(name) for name, c in columns.items()],
-                )
-            )
-    long = s.select(*keys, F.inline(F.array(*rows)))
+    entries = [
+        f"struct({i} AS method_order, {i} AS _i, {j} AS _j, n_{i} AS n1, n_{j} AS n2, u_{i}_{j} AS u1, "
+        f"tie_{min(i, j)}_{max(i, j)} AS tie, gap_{min(i, j)}_{max(i, j)} = 0 AS same)"
+        for i in range(k)
+        for j in range(k)
+        if i != j
+    ]
+    long = s.selectExpr(*[f"`{c}`" for c in keys], f"inline(array({', '.join(entries)}))")
+    labels = F.array(*[F.lit(name) for name in names])
+    n1, n2, u1 = F.col("n1"), F.col("n2"), F.col("u1")
+    u = {"greater": u1, "less": n1 * n2 - u1, "two-sided": F.greatest(u1, n1 * n2 - u1)}[alternative]
+    n = n1 + n2
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    named = long.select(
+        *keys, "method_order", labels[F.col("_i")].alias("method"), labels[F.col("_j")].alias("other"),
+        "n1", "n2", "u1", u.alias("u"), F.try_divide(u - n1 * n2 / 2 - 0.5, sd).alias("z"), "tie", "same",
+    )
     p = _u_p_value(*[F.col(c) for c in ("n1", "n2", "u", "z", "tie", "same")], alternative)
-    return long.withColumn("p_value", p).withColumn("significant", F.col("p_value") < alpha)
+    return named.withColumn("p_value", p).withColumn("significant", F.col("p_value") < alpha)
 
 
 def holm_winners(pairs: DataFrame, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:

@@ -40,6 +40,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as parquet in the shared folder and read it back.
+
+    For tables that many passes read, such as training rows: later passes scan only the
+    columns they need and never repeat the work before, also after an executor was lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Hash-spread an input whose scan yields fewer partitions than there are cores.
+
+    A small file with one row group would keep one core busy with all the work up to the first
+    shuffle. Inputs with enough partitions, as any large table has, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_lookup(
     big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = 20_000
 ) -> DataFrame:

@@ -38,4 +38,5 @@ def grouped_prediction(
 ) -> DataFrame:
     """Raw value plus the offset of the row's group; groups unseen in training take the global median."""
     looked_up = join_lookup(df, offsets, groups, "left")
-    return looked_up.withColumn(output, F.col(raw) + F.coalesce("offset", F.lit(float(fallback)))).drop("offset")
+    prediction = F.col(raw) + F.coalesce("offset", F.lit(float(fallback)))
+    return looked_up.select(*df.columns, prediction.alias(output))

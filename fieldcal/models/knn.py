@@ -144,7 +144,7 @@ class Neighbours:
 
         def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(t):
-                return pd.DataFrame({"x": [], "d": [], "y": []})
+                return pd.DataFrame({c: pd.Series([], dtype="object") for c in ("x", "d", "y")})
             points, train_x, train_y = np.vstack(q["x"].to_numpy()), np.vstack(t["x"].to_numpy()), t["y"].to_numpy()
             step = max(1, 4_000_000 // len(train_x))
             parts = [

@@ -181,14 +181,52 @@ def train_three_zones(spark, sf_dir):
     )
 
 
-@query()
+_KEYED_SQL = (
+    "p AS (SELECT *, l_extendedprice / 2003 AS truth, l_quantity AS raw, l_returnflag AS zone, md5('14593|' || "
+    + " || '|' || ".join(LINE_KEY)
+    + """) AS key FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY key) AS r, count(*) OVER (PARTITION BY zone) AS n FROM p),
+parts AS (SELECT *, CASE WHEN zone <> 'A' OR r <= ceil(n * 0.3::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM k)"""
+)
+_ZONE_METRICS_SQL = """SELECT zone, split, count(*) AS n, round(1 - avg(pow(truth - prediction, 2)) / var_pop(truth), 6) AS r2,
+  round(avg(abs(truth - prediction)), 6) AS mae, round(avg(pow(truth - prediction, 2)), 6) AS mse,
+  round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse,
+  round(1 - avg(pow(truth - prediction, 2)) / var_pop(truth + raw), 6) AS r2_sum_back,
+  round(avg(abs(truth - prediction)), 6) AS mae_sum_back, round(avg(pow(truth - prediction, 2)), 6) AS mse_sum_back,
+  round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse_sum_back FROM s GROUP BY zone, split"""
+
+
+@query(
+    f"""WITH {_KEYED_SQL}, train AS (SELECT * FROM parts WHERE split = 'train'),
+    heads AS (SELECT * FROM train QUALIFY row_number() OVER (ORDER BY key) <= 2000),
+    f AS (SELECT regr_slope(truth, raw) AS a, regr_intercept(truth, raw) AS b FROM heads),
+    s AS (SELECT u.*, a * raw + b AS prediction FROM (SELECT * FROM heads UNION ALL SELECT * FROM parts WHERE split = 'test') u, f)
+    {_ZONE_METRICS_SQL}"""
+)
+def train_three_zones_one_feature(spark, sf_dir):
+    """The same on the raw value alone, which SQL can state in closed form."""
+    rows = _rows(spark, sf_dir).drop("split")
+    line = CalibrationEstimator("linear", "truth", numeric=["raw"], key=LINE_KEY, scaling="robust", seed=14593)
+    return rounded(train_and_score(rows, "A", line, LINE_KEY, test_size=0.3, n_train_records=2000))
+
+
+@query(
+    f"""WITH {_KEYED_SQL}, train AS (SELECT * FROM parts WHERE split = 'train'),
+    g AS (SELECT l_linestatus, l_linenumber, median(truth - raw) AS o FROM train GROUP BY ALL),
+    f AS (SELECT median(truth - raw) AS o FROM train),
+    s AS (SELECT parts.*, raw + coalesce(g.o, f.o) AS prediction FROM parts LEFT JOIN g USING (l_linestatus, l_linenumber), f)
+    {_ZONE_METRICS_SQL}"""
+)
 def train_grouped_baseline(spark, sf_dir):
     rows = _rows(spark, sf_dir).drop("split")
     estimator = _estimator("basic_median_delta", groups=["l_linestatus", "l_linenumber"])
     return rounded(train_and_score(rows, "A", estimator, LINE_KEY, test_size=0.3))
 
 
-@query()
+@query(
+    """SELECT l_returnflag AS zone, CASE WHEN l_linenumber % 3 = 0 THEN 'test' ELSE 'train' END AS split,
+       0.0::DOUBLE AS largest_difference, count(*) AS n FROM lineitem GROUP BY 1, 2"""
+)
 def model_save_load(spark, sf_dir):
     """Predictions of a stored and re-read model: the largest difference is 0."""
     rows = _rows(spark, sf_dir)
@@ -202,3 +240,120 @@ def model_save_load(spark, sf_dir):
             F.max(F.abs(F.col("first") - F.col("prediction"))).alias("largest_difference"), F.count("*").alias("n")
         )
     )
+
+
+# ---------------------------------------------------------------- fits that SQL can state in closed form
+
+_TRAIN_SQL = (
+    "p AS (SELECT *, l_extendedprice / 2003 AS truth, l_quantity AS raw, l_returnflag AS zone, "
+    "CASE WHEN l_linenumber % 3 = 0 THEN 'test' ELSE 'train' END AS split, md5('14593|' || "
+    + " || '|' || ".join(LINE_KEY)
+    + ") AS key FROM lineitem), train AS (SELECT * FROM p WHERE split = 'train')"
+)
+_METRICS_SQL = """count(*) AS n, round(1 - avg(pow(truth - prediction, 2)) / var_pop(truth), 6) AS r2,
+  round(avg(abs(truth - prediction)), 6) AS mae, round(avg(pow(truth - prediction, 2)), 6) AS mse,
+  round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse"""
+
+
+def _line(model, **options):
+    return CalibrationEstimator(model, "truth", numeric=["raw"], key=LINE_KEY, seed=14593, **options)
+
+
+@query(
+    f"""WITH {_TRAIN_SQL},
+    f AS (SELECT regr_slope(ln(1 + truth), raw) AS a, regr_intercept(ln(1 + truth), raw) AS b FROM train),
+    z AS (SELECT ln(1 + truth) AS z, a * raw + b AS p FROM train, f),
+    l AS (SELECT covar_samp(z, p) / (var_pop(p) + 1e-12) AS slope, avg(z) - covar_samp(z, p) / (var_pop(p) + 1e-12) * avg(p) AS shift FROM z),
+    s AS (SELECT zone, split, truth, exp(slope * (a * raw + b) + shift) - 1 AS prediction FROM p, f, l)
+    SELECT zone, split, {_METRICS_SQL} FROM s GROUP BY zone, split"""
+)
+def fit_log_target_one_feature(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    fitted = _line("linear", scaling="minmax", linear_scaling=True, log_scale_target=True).fit(rows.where("split = 'train'"))
+    return rounded(regression_metrics(fitted.transform(rows), "truth", "prediction", ["zone", "split"]))
+
+
+def _noise(salt: str, sd: float) -> str:
+    def uniform(part):
+        return f"((('0x' || left(md5('14593|{salt}/{part}|' || k), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
+
+    return f"{sd} * sqrt(-2 * ln({uniform('r')})) * cos(2 * pi() * {uniform('a')})"
+
+
+@query(
+    f"""WITH {_TRAIN_SQL}, t AS (SELECT quantile_cont(truth, 0.9) AS lim FROM train),
+    copies AS (SELECT train.*, key || '|' || c.copy AS k FROM train, t, range(1, 3) c(copy) WHERE truth > lim),
+    u AS (SELECT raw, truth FROM train
+          UNION ALL SELECT raw + {_noise("raw", 0.04)}, greatest(0, truth + {_noise("truth", 0.04)}) FROM copies),
+    f AS (SELECT regr_slope(truth, raw) AS a, regr_intercept(truth, raw) AS b FROM u),
+    s AS (SELECT zone, split, truth, a * raw + b AS prediction FROM p, f)
+    SELECT zone, split, {_METRICS_SQL} FROM s GROUP BY zone, split"""
+)
+def fit_augmented_one_feature(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    fitted = _line("linear", scaling="standard", augmentation="simple_0.90_2_0.04_0.04").fit(rows.where("split = 'train'"))
+    return rounded(regression_metrics(fitted.transform(rows), "truth", "prediction", ["zone", "split"]))
+
+
+@query(
+    f"""WITH {_TRAIN_SQL}, folded AS (SELECT raw AS x, truth AS y, ntile(5) OVER (ORDER BY key) AS fold FROM train),
+    a AS (SELECT i.i, (SELECT abs(covar_pop(x, y)) / 0.5 FROM folded) * pow(0.001::DOUBLE, i.i / 19.0::DOUBLE) AS alpha FROM range(20) i(i)),
+    m AS (SELECT h.fold, avg(t.x) AS mx, avg(t.y) AS my, covar_pop(t.x, t.y) AS c, var_pop(t.x) AS v
+          FROM range(1, 6) h(fold) JOIN folded t ON t.fold <> h.fold GROUP BY h.fold),
+    w AS (SELECT i, alpha, fold, mx, my, sign(c) * greatest(abs(c) - alpha * 0.5, 0) / (v + alpha * 0.5) AS w FROM m, a),
+    e AS (SELECT i, alpha, fold, avg(pow(y - my - w * (x - mx), 2)) AS e FROM w JOIN folded USING (fold) GROUP BY ALL),
+    best AS (SELECT arg_min(alpha, s) AS alpha FROM (SELECT alpha, sum(e) AS s FROM e GROUP BY alpha)),
+    f AS (SELECT avg(x) AS mx, avg(y) AS my, sign(covar_pop(x, y)) * greatest(abs(covar_pop(x, y)) - any_value(alpha) * 0.5, 0)
+                 / (var_pop(x) + any_value(alpha) * 0.5) AS w FROM folded, best),
+    s AS (SELECT zone, split, truth, my + w * (raw - mx) AS prediction FROM p, f)
+    SELECT zone, split, {_METRICS_SQL} FROM s GROUP BY zone, split"""
+)
+def fit_elasticnet_one_feature(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    fitted = _line("elasticnet", l1_ratio=0.5, n_alphas=20).fit(rows.where("split = 'train'"))
+    return rounded(regression_metrics(fitted.transform(rows), "truth", "prediction", ["zone", "split"]))
+
+
+# With one two-valued feature these models must all predict the mean of the group.
+_GROUP_MODELS = {
+    "linear": {}, "gamma": {"regParam": 0.0, "maxIter": 50, "tol": 1e-12}, "poisson": {"regParam": 0.0, "maxIter": 50, "tol": 1e-12},
+    "sgd": {"loss": "squaredError", "regParam": 0.0}, "decision_tree": {"maxDepth": 1}, "gradient_boosting": {"maxIter": 1, "maxDepth": 1},
+    "adaboost": {"n_estimators": 1, "max_depth": 1},
+}
+_GROUP_SQL = f"""{_TRAIN_SQL}, g AS (SELECT l_linestatus, avg(truth) AS prediction FROM train GROUP BY 1)"""
+
+
+def _flagged(spark, sf_dir):
+    return _rows(spark, sf_dir).withColumn("flag", (F.col("l_linestatus") == "F").cast("double"))
+
+
+@query(
+    f"""WITH {_GROUP_SQL}, s AS (SELECT zone, split, truth, prediction FROM p JOIN g USING (l_linestatus))
+    SELECT m.model, zone, split, {_METRICS_SQL} FROM s, (VALUES {", ".join(f"('{m}')" for m in _GROUP_MODELS)}) m(model)
+    GROUP BY m.model, zone, split"""
+)
+def fit_group_means(spark, sf_dir):
+    """Seven models on one two-valued feature, scored in one aggregation."""
+    rows = _flagged(spark, sf_dir)
+    train, scored = rows.where("split = 'train'"), rows
+    for model, setting in _GROUP_MODELS.items():
+        fitted = CalibrationEstimator(model, "truth", numeric=["flag"], seed=14593, **setting).fit(train)
+        scored = fitted.transform(scored).withColumnRenamed("prediction", f"p_{model}")
+    choices = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("prediction")) for m in _GROUP_MODELS])
+    long = scored.select("zone", "split", "truth", F.inline(choices))
+    return rounded(regression_metrics(long, "truth", "prediction", ["model", "zone", "split"]))
+
+
+@query(
+    f"""WITH {_TRAIN_SQL}, f AS (SELECT *, ntile(3) OVER (ORDER BY key) AS fold FROM train),
+    g AS (SELECT h.fold, l_linestatus, avg(truth) AS prediction FROM range(1, 4) h(fold) JOIN f ON f.fold <> h.fold GROUP BY ALL),
+    e AS (SELECT fold, sqrt(avg(pow(truth - prediction, 2))) AS e FROM f JOIN g USING (fold, l_linestatus) GROUP BY fold)
+    SELECT '[(''maxDepth'', ' || d.d || ')]' AS setting, round(avg(e), 6) AS rmse FROM e, (VALUES (1), (2)) d(d) GROUP BY d.d"""
+)
+def search_cv_group_means(spark, sf_dir):
+    """A search whose fold errors SQL can state: every tree must predict the group mean of its folds."""
+    train = _flagged(spark, sf_dir).where("split = 'train'").drop("split")
+    estimator = CalibrationEstimator("decision_tree", "truth", numeric=["flag"], key=LINE_KEY, seed=14593)
+    _, tried = random_search(estimator, train, LINE_KEY, n_iter=4, cv=3, seed=14593, grid={"maxDepth": [1, 2]})
+    rows = [(str(sorted(setting.items())), rmse) for setting, rmse in tried]
+    return rounded(spark.createDataFrame(rows, "setting string, rmse double"))

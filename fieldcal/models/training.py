@@ -34,7 +34,7 @@ from fieldcal.models.adaboost import BoostedMedian, fit_adaboost_r2
 from fieldcal.models.elasticnet import LinearFit, fit_elasticnet_cv
 from fieldcal.models.knn import fit_knn
 from fieldcal.operators.metrics import linear_scaling, regression_metrics
-from fieldcal.operators.ordering import contiguous_folds, exact_split, hash_key, head_rows
+from fieldcal.operators.ordering import contiguous_folds, hash_key, head_condition, split_label
 from fieldcal.operators.prep import apply_scaling, augment, feature_pipeline, fit_scaling
 
 BASELINES = ["cocal_only", "basic_median", "basic_median_plain_delta", "basic_median_delta"]
@@ -336,14 +336,17 @@ def train_and_score(
     ``transform`` and one aggregation give r2, mae, mse and rmse, also after adding the raw value back.
     """
     seed = estimator.seed
-    main = exact_split(zones.where(F.col(zone) == main_zone), key, test_size, seed)
+    main = F.col(zone) == main_zone
+    label = split_label(zones.where(main), key, test_size, seed)
+    labelled = zones.withColumn("split", F.when(main, label).otherwise("test"))
+    in_train = F.col("split") == "train"  # only main-zone rows are ever labelled so
     if estimator.model in BASELINES:
         n_train_records = 0
-    train = head_rows(main.where("split = 'train'"), key, n_train_records, seed)
+    kept = head_condition(labelled.where(in_train), key, n_train_records, seed)
+    train = labelled.where(in_train & kept)
     if len(GRIDS[estimator.model] if grid is None else grid) > 0:
         model = random_search(estimator, train.drop("split"), key, n_iter, cv, seed, grid=grid)[0]
     else:
         model = estimator.fit(train.drop("split"))
-    others = zones.where(F.col(zone) != main_zone).withColumn("split", F.lit("test"))
-    scored = model.transform(train.unionByName(main.where("split = 'test'")).unionByName(others))
+    scored = model.transform(labelled.where(~in_train | kept))
     return regression_metrics(scored, estimator.target, "prediction", [zone, "split"], raw=estimator.raw)

@@ -46,34 +46,18 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max per numeric column."""
     columns = list(columns or numeric_columns(df))
-    parts = {
-        "count": F.count, "mean": F.avg, "std": F.stddev_samp,
-        "min": lambda c: F.min(F.col(c).cast("double")), "max": lambda c: F.max(F.col(c).cast("double")),
-    }
-    wide = df.agg(*[f(c).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in parts.items()])
-    moments = wide.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), *[F.col(f"{name}{i}").alias(name) for name in parts])
-                    for i, c in enumerate(columns)
-                ]
-            )
-        )
-    )
-    quartiles = column_quantiles(df, columns, QUARTILES).drop("n")
-    return moments.join(quartiles, "column", "left").select(
-        "column", "count", "mean", "std", "min", "q1", "median", "q3", "max"
+    also = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = column_quantiles(df, columns, QUARTILES, also=also).withColumnRenamed("n", "count")
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # columns without any value stay
+    return every.join(found, "column", "left").select(
+        "column", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q1", "median", "q3", "max"
     )
 
 
 def score_summary(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """min, exact quartiles, max, mean and population deviation per group of any size."""
-    moments = df.groupBy(*keys).agg(
-        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-    )
-    return exact_quantiles(df, value, QUARTILES, keys).join(moments, list(keys)).select(
+    also = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop}
+    return exact_quantiles(df, value, QUARTILES, keys, also=also).select(
         *keys, "n", "min", "q1", "median", "q3", "max", "mean", "std"
     )
 

@@ -99,19 +99,23 @@ class _KeyRanks:
         return [found[wanted[r]] for r in ranks]
 
 
-def exact_split(df: DataFrame, key_columns: Sequence[str], test_size: float, seed: int) -> DataFrame:
-    """Add ``split``: exactly ``ceil(n * test_size)`` rows are ``test``, drawn by seeded hash order.
+def split_label(df: DataFrame, key_columns: Sequence[str], test_size: float, seed: int) -> Column:
+    """``test`` for exactly ``ceil(n * test_size)`` rows of ``df``, drawn by seeded hash order, else ``train``.
 
-    The label is a comparison with one key, so the rows themselves are not shuffled.
-    ``key_columns`` must be unique per row.
+    The label is a comparison with one key, so it can be put on any table with the key columns and
+    no row is shuffled for it. ``key_columns`` must be unique per row.
     """
     key = hash_key(seed, *[F.col(c) for c in key_columns])
     ranks = _KeyRanks(df, key)
     n_test = math.ceil(ranks.total * test_size)
     if n_test == 0:
-        return df.withColumn("split", F.lit("train"))
-    (last,) = ranks.at([n_test])
-    return df.withColumn("split", F.when(key <= last, "test").otherwise("train"))
+        return F.lit("train")
+    return F.when(key <= ranks.at([n_test])[0], "test").otherwise("train")
+
+
+def exact_split(df: DataFrame, key_columns: Sequence[str], test_size: float, seed: int) -> DataFrame:
+    """Add ``split``, see :func:`split_label`."""
+    return df.withColumn("split", split_label(df, key_columns, test_size, seed))
 
 
 def contiguous_folds(df: DataFrame, key_columns: Sequence[str], k: int, seed: int, name: str = "fold") -> DataFrame:
@@ -131,17 +135,19 @@ def contiguous_folds(df: DataFrame, key_columns: Sequence[str], k: int, seed: in
     return df.withColumn(name, fold_number)
 
 
-def head_rows(df: DataFrame, key_columns: Sequence[str], n: int, seed: int) -> DataFrame:
-    """The first ``n`` rows in hash order; 0 keeps all rows."""
+def head_condition(df: DataFrame, key_columns: Sequence[str], n: int, seed: int) -> Column:
+    """True for the first ``n`` rows of ``df`` in hash order; 0 means all rows."""
     if n < 0:
         raise ValueError("the number of training records must be >= 0")
     if n == 0:
-        return df
+        return F.lit(True)
     key = hash_key(seed, *[F.col(c) for c in key_columns])
     ranks = _KeyRanks(df, key)
-    if n >= ranks.total:
-        return df
-    return df.where(key <= ranks.at([n])[0])
+    return F.lit(True) if n >= ranks.total else key <= ranks.at([n])[0]
+
+
+def head_rows(df: DataFrame, key_columns: Sequence[str], n: int, seed: int) -> DataFrame:
+    return df.where(head_condition(df, key_columns, n, seed))
 
 
 def every_nth(df: DataFrame, order: Sequence[str], parts: int = 10) -> DataFrame:

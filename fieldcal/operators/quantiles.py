@@ -9,7 +9,7 @@ of the values outside the brackets, and the result is exact (linear interpolatio
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,15 +37,17 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     small_group: int = 100_000,
     accuracy: int = 50_000,
+    also: Mapping[str, Callable[[str], Column]] | None = None,
 ) -> DataFrame:
     """One row per group: the keys, the non-null count ``n`` and one column per named quantile.
 
     Rows with a NULL value or a NULL key do not count. Groups of at most ``small_group``
     rows are bracketed whole; larger ones by a sketch whose rank error is at most
     ``n / accuracy``, with a margin of five times that error on both sides. A quantile
-    outside its bracket would raise, it is never approximated.
+    outside its bracket would raise, it is never approximated. ``also`` names further
+    aggregates of the value, such as ``F.avg``, that ride along in the first scan.
     """
-    keys = list(keys)
+    keys, also = list(keys), dict(also or {})
     names = sorted(probs, key=lambda name: probs[name])
     margin = max(5.0 / accuracy, 5.0 / small_group)
     v = F.col(value).cast("double")
@@ -59,11 +61,13 @@ def exact_quantiles(
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
+        *[f("_v").alias(name) for name, f in also.items()],
     )
     small = F.col("_n") <= small_group
+    carried = ["_n", *also]
     bounds = stats.select(
         *keys,
-        "_n",
+        *carried,
         *[
             F.when(small | F.lit(edges[i] <= 0.0), F.col("_min")).otherwise(F.col("_edges")[i]).alias(f"_lo{i}")
             for i in range(len(names))
@@ -79,14 +83,14 @@ def exact_quantiles(
         placed = join_lookup(rows, bounds, keys)
     else:
         row = bounds.first()
-        placed = rows.withColumns({c: F.lit(row[c]) for c in bounds.columns})
+        placed = rows.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in bounds.schema.fields})
 
     lows = [F.col(f"_lo{i}") for i in range(len(names))]
     highs = [F.col(f"_hi{i}") for i in range(len(names))]
     counted = (
-        placed.select(*keys, "_n", _bracket(lows, highs, F.col("_v")).alias("_p"))
+        placed.select(*keys, *carried, _bracket(lows, highs, F.col("_v")).alias("_p"))
         .where(F.col("_p").isNotNull())
-        .groupBy(*keys, "_n", F.col("_p.at").alias("_at"), F.col("_p.inside").alias("_inside"))
+        .groupBy(*keys, *carried, F.col("_p.at").alias("_at"), F.col("_p.inside").alias("_inside"))
         .agg(F.count("*").alias("_c"))
     )
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_at", "_inside")
@@ -100,7 +104,7 @@ def exact_quantiles(
     for i, name in enumerate(names):
         h = (F.col("_n") - 1) * F.lit(float(probs[name]))
         picked += [order_statistic(F.floor(h)).alias(f"_a{i}"), order_statistic(F.ceil(h)).alias(f"_b{i}")]
-    chosen = ranked.groupBy(*keys, "_n").agg(*picked)
+    chosen = ranked.groupBy(*keys, *carried).agg(*picked)
 
     def interpolate(i: int, name: str) -> Column:
         h = (F.col("_n") - 1) * F.lit(float(probs[name]))
@@ -110,7 +114,7 @@ def exact_quantiles(
 
     index = {name: i for i, name in enumerate(names)}
     return chosen.select(
-        *keys, F.col("_n").alias("n"), *[interpolate(index[name], name).alias(name) for name in probs]
+        *keys, F.col("_n").alias("n"), *also, *[interpolate(index[name], name).alias(name) for name in probs]
     )
 
 

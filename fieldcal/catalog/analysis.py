@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldcal.catalog.registry import (
+    lines,
     MODEL_PREDICTIONS_SQL,
     PAIRS_SQL,
     SAMPLES_SQL,
@@ -159,7 +160,7 @@ _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     )
 )
 def describe_table(spark, sf_dir):
-    return rounded(describe(table(spark, sf_dir, "lineitem"), _NUMBERS))
+    return rounded(describe(lines(spark, sf_dir), _NUMBERS))
 
 
 @query(
@@ -206,7 +207,7 @@ def correlation_table(spark, sf_dir):
     )
 )
 def histogram_30(spark, sf_dir):
-    return rounded(histogram(table(spark, sf_dir, "lineitem"), _NUMBERS, 30))
+    return rounded(histogram(lines(spark, sf_dir), _NUMBERS, 30))
 
 
 @query(
@@ -373,7 +374,7 @@ def capped_scores(spark, sf_dir):
 def eda_report_rows(spark, sf_dir):
     from fieldcal.operators.eda import eda_report
 
-    report = eda_report(table(spark, sf_dir, "lineitem"), _NUMBERS)
+    report = eda_report(lines(spark, sf_dir), _NUMBERS)
     summary = report["describe"].unpivot(["column"], ["mean", "std"], "statistic", "value")
     corr = report["correlation"].where("column_a = 'l_quantity' and column_b = 'l_extendedprice'")
     rows = [

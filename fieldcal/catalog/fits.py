@@ -9,7 +9,7 @@ from fieldcal.models.training import CalibrationEstimator, CalibrationModel, ran
 from fieldcal.operators.metrics import regression_metrics
 from fieldcal.operators.ordering import exact_split
 from fieldcal.operators.prep import fit_scaling, linear_expression, unscale_linear
-from fieldcal.session import scratch_path, spread, stored
+from fieldcal.session import scratch_path, stored
 
 _NUMERIC = ["l_discount", "l_tax", "l_linenumber", "raw"]
 _CATEGORICAL = ["l_linestatus", "l_returnflag"]
@@ -17,7 +17,7 @@ _CATEGORICAL = ["l_linestatus", "l_returnflag"]
 
 def _rows(spark, sf_dir):
     rows = pairs(spark, sf_dir).select(*LINE_KEY, "truth", "raw", "zone", "split")
-    return stored(spread(rows, "l_orderkey", "l_partkey"), "training")
+    return stored(rows, "training")
 
 
 def _estimator(model, **options):

@@ -83,7 +83,7 @@ DENSE_SENSORS = ["BM_H", "BM_P", "BM_T", "PM10", "PM25"]
 
 def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five or six long readings per line item: every sensor of one device at one second."""
-    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    li = lines(spark, sf_dir)
     at = F.col("l_shipdate") + F.make_dt_interval(
         F.lit(0), (F.col("l_orderkey") % 24).cast("int"), (F.col("l_partkey") % 60).cast("int"),
         (F.col("l_linenumber") * 7).cast("decimal(18,6)"),
@@ -195,6 +195,12 @@ stations AS (
 
 # ---------------------------------------------------------------- truth/raw pairs and run scores from lineitem
 
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest table, for queries with much work per row."""
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
 LINE_KEY = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     "l_returnflag", "l_linestatus", "l_shipdate",
@@ -204,7 +210,7 @@ MODELS = ["cocal_only", "linear", "random_forest", "gradient_boosting", "mlp"]
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth and raw value per line item, with a zone, categories and a time."""
-    return table(spark, sf_dir, "lineitem").select(
+    return lines(spark, sf_dir).select(
         "*",
         (F.col("l_extendedprice") / 2003).alias("truth"),
         F.col("l_quantity").alias("raw"),
@@ -284,7 +290,7 @@ scores AS ("""
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large samples: price per line, grouped by order priority."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    li, o = lines(spark, sf_dir), table(spark, sf_dir, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_orderpriority").alias("method"), F.col("l_extendedprice").alias("value"),
         F.col("l_returnflag").alias("zone"),

@@ -10,6 +10,7 @@ from fieldcal.catalog.registry import (
     LINE_KEY,
     PAIRS_SQL,
     event_readings,
+    lines,
     pairs,
     query,
     rounded,
@@ -197,7 +198,7 @@ _SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _scaled(spark, sf_dir, strategy):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_SCALED)
+    li = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", *_SCALED)
     li = li.withColumn("constant", F.lit(7.0))
     return rounded(apply_scaling(li, fit_scaling(li, [*_SCALED, "constant"], strategy)))
 

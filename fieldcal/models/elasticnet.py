@@ -62,21 +62,24 @@ def _centred(n: float, s: np.ndarray, m: np.ndarray):
 
 def _path(gram, xy, n, penalties, l1_ratio, tol=1e-8, max_iter=2000):
     """Coordinate descent on moments, from the largest penalty down with warm starts."""
-    p = len(xy)
-    w = np.zeros(p)
+    w = np.zeros(len(xy))
+    fitted = np.zeros(len(xy))  # gram @ w, kept up to date
+    diag, target = np.diag(gram).tolist(), xy.tolist()
     out = []
-    diag = np.diag(gram)
     for alpha in penalties:
         l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
         for _ in range(max_iter):
             biggest = 0.0
-            for j in range(p):
-                if diag[j] + l2 == 0:
+            for j, d in enumerate(diag):
+                if d + l2 == 0:
                     continue
-                rho = xy[j] - gram[j] @ w + diag[j] * w[j]
-                new = np.sign(rho) * max(abs(rho) - l1, 0.0) / (diag[j] + l2)
-                biggest = max(biggest, abs(new - w[j]))
-                w[j] = new
+                old = float(w[j])
+                rho = target[j] - float(fitted[j]) + d * old
+                new = (rho - l1 if rho > l1 else rho + l1 if rho < -l1 else 0.0) / (d + l2)
+                if new != old:
+                    w[j] = new
+                    fitted += gram[j] * (new - old)
+                    biggest = max(biggest, abs(new - old))
             if biggest <= tol * max(1.0, np.abs(w).max(initial=0.0)):
                 break
         out.append(w.copy())

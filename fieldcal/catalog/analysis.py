@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldcal.catalog.registry import (
-    lines,
+    EVENT_READINGS_SQL,
     MODEL_PREDICTIONS_SQL,
     PAIRS_SQL,
     SAMPLES_SQL,
     SCORES_SQL,
     SQL_METRICS,
+    event_readings,
+    lines,
     model_predictions,
     pairs,
     query,
@@ -45,9 +47,11 @@ from fieldcal.operators.reshape import cap_rows
 from fieldcal.plans.analysis import (
     best_model_table,
     boxplot_scores,
+    capped_score_table,
     ensemble_columns,
     ensemble_quantiles,
     learning_curve,
+    map_layers,
     median_scores,
     seed_quantiles,
     zone_mean_std,
@@ -359,6 +363,28 @@ def capped_scores(spark, sf_dir):
     return rounded(regression_metrics(cap_rows(split, "truth", 60.0, "raw", 70.0), "truth", "raw", ["split"]))
 
 
+@query(
+    f"""WITH {MODEL_PREDICTIONS_SQL},
+    c AS (SELECT * FROM model_predictions WHERE truth <= 40 AND raw <= 35),
+    w AS (SELECT model, seed_index, split, {", ".join(f"{e} AS {m}" for m, e in SQL_METRICS.items())} FROM c GROUP BY ALL),
+    l AS ({" UNION ALL ".join(f"SELECT model, split, '{m}' AS metric, {m} AS score FROM w" for m in SQL_METRICS)})
+    SELECT model, metric, split, round(quantile_cont(score, 0.25), 6) AS q1, round(median(score), 6) AS median,
+           round(quantile_cont(score, 0.75), 6) AS q3 FROM l GROUP BY model, metric, split"""
+)
+def capped_score_quartiles(spark, sf_dir):
+    p = model_predictions(pairs(spark, sf_dir))
+    return rounded(capped_score_table(p, "truth", 40.0, "raw", 35.0))
+
+
+@query(
+    f"""WITH {EVENT_READINGS_SQL} SELECT device, round(radians(lon) * 6378137, 4) AS x,
+        round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 4) AS y, val, gps_alt FROM event_readings"""
+)
+def map_points(spark, sf_dir):
+    layers = map_layers(event_readings(spark, sf_dir), "device", "lon", "lat", ["val", "gps_alt"])
+    return rounded(layers["points"], 4)
+
+
 @query(
     "WITH m AS (SELECT "
     + ", ".join(f"{f}({c}) AS {n}_{c}" for c in _NUMBERS for n, f in (("mean", "avg"), ("std", "stddev_samp")))

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldcal.functions.geo import mercator_x, mercator_y
+from fieldcal.functions.measure import replace_zero
 from fieldcal.functions.text import model_label
 from fieldcal.operators.eda import seed_score_summary
+from fieldcal.operators.hull import bounding_boxes, convex_hulls, shared_scale
+from fieldcal.operators.metrics import metric_columns, metrics_long
 from fieldcal.operators.quantiles import QUARTILES, bounded_quantiles
-from fieldcal.operators.ranktests import first_winner, holm_winners, mann_whitney_pairs, wilcoxon_signed_rank
+from fieldcal.operators.reshape import cap_rows
+from fieldcal.operators.ranktests import holm_winners, mann_whitney_pairs, wilcoxon_signed_rank
 
 
 def ensemble_quantiles(predictions: DataFrame, row_key: Sequence[str], value: str = "prediction") -> DataFrame:
@@ -36,6 +42,15 @@ def ensemble_columns(df: DataFrame, predictions: Sequence[Column]) -> DataFrame:
     return ordered.withColumns(quartiles).withColumn("iqr", F.col("q3") - F.col("q1")).drop("_p")
 
 
+def ensemble_of_models(models: Sequence[Transformer], df: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """Apply every fitted model to the rows and add the median, quartiles and their distance."""
+    names = [f"_ensemble_{i}" for i in range(len(models))]
+    scored = df
+    for name, model in zip(names, models):
+        scored = model.transform(scored).withColumnRenamed(prediction, name)
+    return ensemble_columns(scored, [F.col(n) for n in names]).drop(*names)
+
+
 def seed_quantiles(scores: DataFrame, keys: Sequence[str] = ("model", "metric", "split")) -> DataFrame:
     """Quartiles over seeds per model, metric and split."""
     return bounded_quantiles(scores, "score", QUARTILES, keys)
@@ -79,11 +94,12 @@ def significance_marks(
     test = scores.where((F.col("metric") == metric) & (F.col("split") == "test"))
     pairs = mann_whitney_pairs(test, "score", "model", models, "less", ["zone"], alpha)
     winners = holm_winners(pairs, ["zone"], alpha)
-    first = first_winner(winners, ["zone"]).select("zone", F.col("method").alias("_first"))
-    return winners.join(first, "zone", "left").select(
+    # one row per model and zone: the first winner is the smallest place among the winners of the zone
+    first = F.min(F.when(F.col("holm"), F.col("method_order"))).over(Window.partitionBy("zone"))
+    return winners.select(
         "zone", F.col("method").alias("model"), "holm",
         (F.col("holm") | F.col("any_significant")).alias("marked"),
-        F.coalesce(F.col("method") == F.col("_first"), F.lit(False)).alias("first_holm"),
+        F.coalesce(F.col("method_order") == first, F.lit(False)).alias("first_holm"),
     )
 
 
@@ -98,6 +114,34 @@ def zone_mean_std(df: DataFrame, columns: Sequence[str], zone: str = "zone", dig
     return df.groupBy(zone).agg(*aggs)
 
 
+def capped_score_table(
+    predictions: DataFrame, target: str, y_cap: float | None = None, feature: str | None = None,
+    feature_cap: float | None = None, prediction: str = "prediction",
+) -> DataFrame:
+    """Quartiles over seeds of every metric per model and split, on rows at or below the caps.
+
+    Exact zeros of the training target count as 1e-8, as they did when the models were fitted.
+    """
+    y = F.when(F.col("split") == "train", replace_zero(F.col(target))).otherwise(F.col(target))
+    kept = cap_rows(predictions.withColumn(target, y), target, y_cap, feature, feature_cap)
+    keys = ["model", "seed_index", "split"]
+    per_seed = kept.groupBy(*keys).agg(*metric_columns(F.col(target), F.col(prediction)))
+    return seed_quantiles(metrics_long(per_seed, keys))
+
+
+def map_layers(df: DataFrame, zone: str, lon: str, lat: str, values: Sequence[str]) -> dict[str, DataFrame]:
+    """Map data by layer: points with lower values first, the shared colour scale, boxes and hulls."""
+    points = df.select(
+        zone, mercator_x(F.col(lon)).alias("x"), mercator_y(F.col(lat)).alias("y"), *values
+    )
+    return {
+        "points": points.orderBy(*values),
+        "scale": shared_scale(df, values),
+        "boxes": bounding_boxes(df, zone, lon, lat),
+        "hulls": convex_hulls(points, zone, "x", "y"),
+    }
+
+
 def zone_comparison(df: DataFrame, raw: str, official: str, model: str, zone: str = "zone") -> DataFrame:
     """Signed-rank tests between raw, official and model values per zone."""
     pairs = [(raw, official), (official, model), (raw, model)]

@@ -18,6 +18,7 @@ from fieldcal.models.training import (
     train_and_score,
 )
 from fieldcal.operators.metrics import regression_metrics
+from fieldcal.plans.analysis import ensemble_of_models
 
 
 def rows(n=300, seed=7):
@@ -174,3 +175,16 @@ def test_search_and_three_zones(spark, data):
     assert sizes == {("m", "train"): 100, ("m", "test"): 90, ("other", "test"): 300}
     with pytest.raises(ValueError):
         CalibrationEstimator("unknown", "y", numeric=["x"])
+
+
+def test_ensemble_of_fitted_models(data):
+    models = [estimator("decision_tree", maxDepth=d).fit(data) for d in (1, 2, 3, 4)]
+    votes = {}
+    for m in models:
+        for r in m.transform(data).collect():
+            votes.setdefault(r.k, []).append(r.prediction)
+    got = ensemble_of_models(models, data)
+    assert got.columns == data.columns + ["q1", "median", "q3", "iqr"]
+    for r in got.collect():
+        q1, median, q3 = np.percentile(votes[r.k], [25, 50, 75])
+        assert (r.q1, r.median, r.q3, r.iqr) == pytest.approx((q1, median, q3, q3 - q1))

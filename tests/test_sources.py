@@ -95,10 +95,10 @@ def test_results(spark, tmp_path):
     assert flat.count() == 8
     path = spark.range(1).select(
         layout_path(
-            "results/", F.lit("volontari"), F.lit("features1"), F.lit("onehot"), F.lit("robust"), F.lit("simple_0.9_5"),
+            "results/", F.lit("mainzone"), F.lit("features1"), F.lit("onehot"), F.lit("robust"), F.lit("simple_0.9_5"),
             F.lit("linear"), F.lit(0.3), F.lit(40), F.lit(4), F.lit(0), F.lit(2), F.lit(0),
         ).alias("p")
     ).first().p
-    assert path == "results/volontari/features1/onehot_robust_simple_0d9_5_linear/test0d3cviter40cvfold4linscale0logscaletarget1ntrain0/"
+    assert path == "results/mainzone/features1/onehot_robust_simple_0d9_5_linear/test0d3cviter40cvfold4linscale0logscaletarget1ntrain0/"
     runs = spark.createDataFrame([("a;1", None), ("a;2", "boom")], "arguments string, error string")
     assert [r.error for r in failure_log(runs, "arguments", "error").collect()] == ["boom"]

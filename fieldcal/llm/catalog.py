@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fieldcal.llm.bpe import bpe
 from fieldcal.llm.exact_dedup import exact_dedup
+from fieldcal.llm.jaccard_join import jaccard_components
 from fieldcal.llm.line_dedup import MIN_SITES, line_dedup
 from fieldcal.llm.mixing import copies
+from fieldcal.llm.quality import score_quality
+from fieldcal.llm.substring_dedup import substring_dedup
+from fieldcal.llm.topk_search import top_k
+from fieldcal.llm.toxicity import score_toxicity, train
+from fieldcal.llm.warc import warc_round_trip
+
+#: The vocabulary of the BPE query.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +108,84 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 )
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10"""
+)
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def _crc_is(remainder: int, parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == remainder
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scores = score_quality(documents, labels, label_col="quality", learn_from=~_crc_is(0, 5))
+    return scores.select("doc_id", _crc_is(0, 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe(_table(spark, sf_dir, "documents"), VOCABULARY)
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(digits, "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = train(documents, labels, label_col="toxic", learn_from=~_crc_is(2, 4))
+    scores = score_toxicity(documents, model)
+    return scores.select(
+        "doc_id", _crc_is(2, 4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("spans").alias("n_offending"),
+    )
+
+
+@query(
+    """
+WITH digests AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+parts AS (
+  SELECT page_id, html, hex, min(page_id) OVER (PARTITION BY html) AS first,
+         list_transform(range(4), lambda i: lpad(to_base(('0x' || substr(hex, (1 + 10 * i)::INTEGER, 10))::BIGINT, 32), 8, '0')) AS digits
+  FROM digests)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       translate(upper(array_to_string(digits, '')), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM parts"""
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -4,9 +4,9 @@ Every text has a 64-bit hash. A *bucket* is a range of hash values: all hashes t
 ``depth`` bits. The directory starts with one bucket; a bucket with more than ``capacity`` different hashes
 is split by one more bit, which doubles the directory, until every bucket fits. The index entries (hash,
 digest, document) are written to shared files in key order, so each owner task holds a range of keys and a
-key with very many documents spans several tasks. Hashes that occur once are settled by the index. The
-others form chains: their texts are compared byte by byte by grouping on the text itself, and a chain with
-two different texts (a hash collision) yields two groups.
+key with very many documents spans several tasks. The entries of a hash form a chain: their texts are compared byte
+by byte by grouping on the text itself, where each task first adds up its own copies, and a chain with two
+different texts (a hash collision) yields two groups.
 
 DataFrame functions only. Defined results: a null text counts as empty; empty texts are equal to each
 other; rows repeated whole count as members of their group; rows with a null id count in ``group_size`` and
@@ -60,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "h", F.xxhash64("text")
     )
     entries = stored(texts.select("id", "h", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha")), "entries")
-    keys = stored(entries.groupBy("h").agg(F.count("*").alias("n")), "keys")
+    keys = stored(entries.select("h").distinct(), "keys")
     slots, bits = directory(keys, capacity)
     index = stored(
         entries.withColumn("slot", _prefix(F.col("h"), bits))
@@ -70,11 +70,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .sortWithinPartitions("bucket", "h", "id"),
         "index",
     )
-    chains = keys.filter("n > 1").select("h")
     groups = (
-        texts.join(chains, "h")
-        .groupBy("h", "text")  # equal hash, then equal bytes
+        texts.groupBy("h", "text")  # equal hash, then equal bytes; copies are added up before the shuffle
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        .filter("group_size > 1")
         .select("h", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), "keep_id", "group_size")
     )
     groups = stored(groups, "groups")

@@ -177,7 +177,7 @@ def train_three_zones(spark, sf_dir):
     """Train on one zone, score all three, before and after adding the raw value back."""
     rows = _rows(spark, sf_dir).drop("split")
     return rounded(
-        train_and_score(rows, "A", _estimator("linear", scaling="robust"), LINE_KEY, test_size=0.3, n_train_records=2000)
+        train_and_score(rows, "A", _estimator("linear", scaling="robust"), LINE_KEY, test_size=0.3)
     )
 
 
@@ -198,16 +198,15 @@ _ZONE_METRICS_SQL = """SELECT zone, split, count(*) AS n, round(1 - avg(pow(trut
 
 @query(
     f"""WITH {_KEYED_SQL}, train AS (SELECT * FROM parts WHERE split = 'train'),
-    heads AS (SELECT * FROM train QUALIFY row_number() OVER (ORDER BY key) <= 2000),
-    f AS (SELECT regr_slope(truth, raw) AS a, regr_intercept(truth, raw) AS b FROM heads),
-    s AS (SELECT u.*, a * raw + b AS prediction FROM (SELECT * FROM heads UNION ALL SELECT * FROM parts WHERE split = 'test') u, f)
+    f AS (SELECT regr_slope(truth, raw) AS a, regr_intercept(truth, raw) AS b FROM train),
+    s AS (SELECT parts.*, a * raw + b AS prediction FROM parts, f)
     {_ZONE_METRICS_SQL}"""
 )
 def train_three_zones_one_feature(spark, sf_dir):
     """The same on the raw value alone, which SQL can state in closed form."""
     rows = _rows(spark, sf_dir).drop("split")
     line = CalibrationEstimator("linear", "truth", numeric=["raw"], key=LINE_KEY, scaling="robust", seed=14593)
-    return rounded(train_and_score(rows, "A", line, LINE_KEY, test_size=0.3, n_train_records=2000))
+    return rounded(train_and_score(rows, "A", line, LINE_KEY, test_size=0.3))
 
 
 @query(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldcal.operators.metrics import metric_columns, metrics_long
-from fieldcal.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -198,7 +197,7 @@ stations AS (
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest table, for queries with much work per row."""
-    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    return table(spark, sf_dir, "lineitem")
 
 
 LINE_KEY = [

@@ -49,8 +49,8 @@ def _small_u_tail(n1: int, n2: int, u: float) -> float:
     for i in range(1, n1 + 1):  # generating function prod (1 - x^(n2+i)) / (1 - x^i)
         step = n2 + i
         counts[step:] -= counts[:-step].copy() if step < len(counts) else 0
-        for j in range(i, len(counts)):
-            counts[j] += counts[j - i]
+        width = -(-len(counts) // i) * i
+        counts = np.pad(counts, (0, width - len(counts))).reshape(-1, i).cumsum(axis=0).ravel()[: len(counts)]
     return float(counts[int(math.ceil(u)):].sum() / counts.sum())
 
 
@@ -146,4 +146,5 @@ def signed_rank_small_tail(n: pd.Series, t: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([_fisher_two_sided(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)], dtype="float64")
+    rows = zip(a, b, c, d)
+    return pd.Series([None if any(map(pd.isna, r)) else _fisher_two_sided(*map(int, r)) for r in rows], dtype="float64")

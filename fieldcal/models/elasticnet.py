@@ -6,15 +6,15 @@ solved from those small matrices, without another pass over the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MAX_FEATURES = 200
-
 
 @dataclass
 class LinearFit:
@@ -31,27 +31,48 @@ class LinearFit:
         return df.withColumn(output, dot + F.lit(float(self.intercept)))
 
 
+def _moment_parts(batches: Iterator[pa.RecordBatch], shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Fold, label, features → per fold of the task: count, sums and cross products as one vector."""
+    p = len(shift)
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        fold = batch.column(0).to_numpy(zero_copy_only=False)
+        z = np.column_stack(
+            [batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(fold), p - 1)]
+        ) - shift if len(fold) else np.zeros((0, p))
+        for f in np.unique(fold):
+            rows = z[fold == f]
+            total = parts.setdefault(int(f), np.zeros(1 + p + p * p))
+            total += np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows).ravel()])
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()])], ["f", "m"])
+
+
+def _add_parts(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = 0.0
+    for table in tables:
+        for part in table.column("m"):
+            total = total + np.frombuffer(part.as_py())
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["f", "m"])
+
+
 def fold_moments(df: DataFrame, features: str, label: str, fold: str, shift: np.ndarray) -> dict[int, tuple]:
     """Per fold: row count, sums and cross products of label and features, all moved by ``shift``.
 
-    Any row of the data will do as the shift; it keeps the sums free of large cancelling parts.
+    Any row of the data will do as the shift; it keeps the sums free of large cancelling parts. Each task makes one
+    Gram block per fold; blocks are added up by Spark, first in groups of tasks.
     """
-    p = len(shift) - 1
-    unpacked = df.select(
-        F.col(fold).cast("int").alias("_f"), F.col(label).cast("double").alias("z0"),
-        vector_to_array(F.col(features)).alias("_x"),
+    p = len(shift)
+    rows = df.select(
+        F.col(fold).cast("int").alias("f"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(features)).alias("x")
     )
-    flat = unpacked.select("_f", "z0", *[F.col("_x")[i].alias(f"z{i + 1}") for i in range(p)])
-    moved = flat.select("_f", *[(F.col(f"z{i}") - F.lit(float(c))).alias(f"z{i}") for i, c in enumerate(shift)])
-    aggs = [F.count("*").alias("n")] + [F.expr(f"sum(z{i}) AS s{i}") for i in range(p + 1)]
-    aggs += [F.expr(f"sum(z{i} * z{j}) AS m_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+    parts = rows.mapInArrow(lambda b: _moment_parts(b, shift), "f int, m binary")
+    salted = parts.withColumn("part", F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(64)))
+    halfway = salted.groupBy("f", "part").applyInArrow(_add_parts, "f int, m binary")
     moments = {}
-    for row in moved.groupBy("_f").agg(*aggs).collect():  # one row per fold
-        m = np.zeros((p + 1, p + 1))
-        for i in range(p + 1):
-            for j in range(i, p + 1):
-                m[i, j] = m[j, i] = row[f"m_{i}_{j}"]
-        moments[row["_f"]] = (row["n"], np.array([row[f"s{i}"] for i in range(p + 1)]), m)
+    for row in halfway.groupBy("f").applyInArrow(_add_parts, "f int, m binary").collect():  # one row per fold
+        m = np.frombuffer(row["m"])
+        moments[row["f"]] = (int(m[0]), m[1 : 1 + p], m[1 + p :].reshape(p, p))
     return moments
 
 
@@ -99,8 +120,6 @@ def fit_elasticnet_cv(
         raise ValueError("no rows to fit")
     shift = np.concatenate([[first[1]], first[0].toArray()])
     p = len(shift) - 1
-    if p > _MAX_FEATURES:
-        raise ValueError(f"at most {_MAX_FEATURES} features, found {p}")
     folds = fold_moments(df, features, label, fold, shift)
     n_all = sum(f[0] for f in folds.values())
     s_all = sum(f[1] for f in folds.values())

@@ -37,6 +37,9 @@ from fieldcal.operators.metrics import linear_scaling, regression_metrics
 from fieldcal.operators.ordering import contiguous_folds, hash_key, head_condition, split_label
 from fieldcal.operators.prep import apply_scaling, augment, feature_pipeline, fit_scaling
 
+#: Trees of the bagged model grow until their leaves are pure, or to the largest depth there is.
+_FULL_DEPTH = 30
+
 BASELINES = ["cocal_only", "basic_median", "basic_median_plain_delta", "basic_median_delta"]
 
 # Search grids, with the keys that have a Spark ML counterpart.
@@ -104,7 +107,7 @@ def make_regressor(name: str, params: Mapping[str, Any], seed: int) -> Estimator
     if name == "random_forest":
         return RandomForestRegressor(seed=seed, **_tree_params(params))
     if name == "bagging":
-        return RandomForestRegressor(seed=seed, featureSubsetStrategy="all", **{"numTrees": 10, "maxDepth": 10, **params})
+        return RandomForestRegressor(seed=seed, featureSubsetStrategy="all", **{"numTrees": 10, "maxDepth": _FULL_DEPTH, **params})
     if name == "gradient_boosting":
         return GBTRegressor(seed=seed, **_tree_params(params))
     if name == "decision_tree":

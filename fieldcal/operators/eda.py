@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcal.functions.text import header_label
 from fieldcal.operators.quantiles import QUARTILES, column_quantiles, exact_quantiles
 from fieldcal.schema import numeric_columns, text_columns
+from fieldcal.session import durable
 
 
 def sign_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -124,44 +127,57 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
     )
 
 
+def _density_sums(batches: Iterator[pa.RecordBatch], grid_size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (group, value, count, bandwidth, lowest grid point, step) → one vector of kernel sums per group of the task."""
+    sums: dict[int, np.ndarray] = {}
+    at = np.arange(grid_size)
+    for batch in batches:
+        group, v, c, h, lo, step = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        order = np.argsort(group, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            if not len(rows):
+                continue
+            first = rows[0]
+            x = lo[first] + step[first] * at
+            total = sums.setdefault(int(group[first]), np.zeros(grid_size))
+            for part in range(0, len(rows), 4096):  # a bounded matrix at a time
+                some = rows[part : part + 4096]
+                z = (x[None, :] - v[some, None]) / h[first]
+                total += (c[some, None] * np.exp(-z * z / 2)).sum(axis=0)
+    names = ["_group", "_sums"]
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tolist() for x in sums.values()])], names)
+
+
 def density_by_category(
     df: DataFrame, category: str, value: str, grid_size: int = 200, cut: float = 3.0, floor: float = 0.0
 ) -> DataFrame:
     """Gaussian kernel density per category on an even grid, cut at ``floor``; Scott's bandwidth.
 
-    Equal values are collapsed first, and each value meets only the grid points within 39
-    bandwidths of it: further away the kernel is exactly 0 in double precision.
+    Equal values are collapsed first; each task then adds up one vector per category, and only these vectors are
+    shuffled. Every category with a spread has all its grid points, also those far from any value.
     """
-    from fieldcal.session import join_lookup
-
-    v = F.col(value).cast("double")
-    rows = df.where(F.col(category).isNotNull() & v.isNotNull()).select(category, v.alias("_v"))
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(F.col(category).alias("_c"), v.alias("_v")).where("_c is not null and _v is not null")
     stats = (
-        rows.groupBy(category)
+        rows.groupBy("_c")
         .agg(F.count("*").alias("_n"), F.stddev_samp("_v").alias("_s"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         .where("_s > 0")
         .withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
         .withColumn("_lo", F.greatest(F.col("_min") - cut * F.col("_h"), F.lit(float(floor))))
         .withColumn("_step", (F.col("_max") + cut * F.col("_h") - F.col("_lo")) / (grid_size - 1))
-        .select(category, "_n", "_h", "_lo", "_step")
+        .select(F.monotonically_increasing_id().alias("_group"), "_c", "_n", "_h", "_lo", "_step")
     )
-    collapsed = rows.groupBy(category, "_v").agg(F.count("*").alias("_c"))
-    placed = join_lookup(collapsed, stats, [category])
-    first = F.greatest(F.lit(0), F.ceil((F.col("_v") - 39 * F.col("_h") - F.col("_lo")) / F.col("_step")).cast("int"))
-    last = F.least(
-        F.lit(grid_size - 1), F.floor((F.col("_v") + 39 * F.col("_h") - F.col("_lo")) / F.col("_step")).cast("int")
-    )
-    near = placed.withColumns({"_first": first, "_last": last}).where("_first <= _last")
-    met = near.withColumn("grid", F.explode(F.sequence("_first", "_last")))
-    z = (F.col("_lo") + F.col("_step") * F.col("grid") - F.col("_v")) / F.col("_h")
+    stats = durable(stats)  # one row per category, with a number that every later read agrees on
+    collapsed = rows.groupBy("_c", "_v").agg(F.count("*").alias("_k"))
+    placed = collapsed.join(stats, "_c").select("_group", "_v", F.col("_k").cast("double"), "_h", "_lo", "_step")
+    sums = placed.mapInArrow(lambda b: _density_sums(b, grid_size), "_group long, _sums array<double>")
+    points = sums.select("_group", F.posexplode("_sums").alias("grid", "_d")).groupBy("_group", "grid").agg(F.sum("_d").alias("_d"))
+    every = stats.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))))
     norm = F.col("_n") * F.col("_h") * F.lit(2.5066282746310002)
-    return (
-        met.select(
-            category, "grid", (F.col("_lo") + F.col("_step") * F.col("grid")).alias("x"),
-            (F.col("_c") * F.exp(-z * z / 2) / norm).alias("_d"),
-        )
-        .groupBy(category, "grid", "x")
-        .agg(F.sum("_d").alias("density"))
+    return every.join(points, ["_group", "grid"], "left").select(
+        F.col("_c").alias(category), "grid", (F.col("_lo") + F.col("_step") * F.col("grid")).alias("x"),
+        F.coalesce(F.col("_d") / norm, F.lit(0.0)).alias("density"),
     )
 
 
@@ -175,8 +191,10 @@ def capitalized_categories(df: DataFrame, columns: Sequence[str] | None = None)
     )
 
 
-def eda_report(df: DataFrame, columns: Sequence[str], category: str | None = None) -> Mapping[str, DataFrame]:
-    """All report tables by name."""
+def eda_report(
+    df: DataFrame, columns: Sequence[str], category: str | Sequence[str] | None = None
+) -> Mapping[str, DataFrame]:
+    """All report tables by name; with categories a density table for each (``density`` alone for a single name)."""
     report = {
         "signs": sign_check(df, columns),
         "describe": describe(df, columns),
@@ -184,6 +202,7 @@ def eda_report(df: DataFrame, columns: Sequence[str], category: str | None = Non
         "correlation": correlation_matrix(df, columns),
         "histogram": histogram(df, columns),
     }
-    if category is not None:
-        report["density"] = density_by_category(df, category, list(columns)[-1])
+    single = isinstance(category, str)
+    for name in [category] if single else category or []:
+        report["density" if single else f"density_{name}"] = density_by_category(df, name, list(columns)[-1])
     return report

@@ -93,9 +93,13 @@ class _KeyRanks:
         placed = (
             self.keyed.where(F.col("_prefix").isin([p for p, _ in places]))
             .withColumn("_place", F.row_number().over(Window.partitionBy("_prefix").orderBy("_key")))
+            .withColumn("_next", F.lead("_key").over(Window.partitionBy("_prefix").orderBy("_key")))
             .where(hit)
         )
-        found = {(r["_prefix"], r["_place"]): r["_key"] for r in placed.collect()}  # one row per wanted rank
+        rows = placed.collect()  # one row per wanted rank
+        if any(r["_key"] == r["_next"] for r in rows):
+            raise ValueError("rows with equal keys lie on both sides of a cut; the key columns must tell all rows apart")
+        found = {(r["_prefix"], r["_place"]): r["_key"] for r in rows}
         return [found[wanted[r]] for r in ranks]
 
 

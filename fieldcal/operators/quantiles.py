@@ -41,7 +41,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group: the keys, the non-null count ``n`` and one column per named quantile.
 
-    Rows with a NULL value or a NULL key do not count. Groups of at most ``small_group``
+    Rows with a NULL or NaN value or a NULL key do not count. Groups of at most ``small_group``
     rows are bracketed whole; larger ones by a sketch whose rank error is at most
     ``n / accuracy``, with a margin of five times that error on both sides. A quantile
     outside its bracket would raise, it is never approximated. ``also`` names further
@@ -50,7 +50,7 @@ def exact_quantiles(
     keys, also = list(keys), dict(also or {})
     names = sorted(probs, key=lambda name: probs[name])
     margin = max(5.0 / accuracy, 5.0 / small_group)
-    v = F.col(value).cast("double")
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
     rows = df.select(*keys, v.alias("_v"))
     for key in ["_v", *keys]:
         rows = rows.where(F.col(key).isNotNull())

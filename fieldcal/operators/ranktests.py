@@ -8,8 +8,10 @@ offsets. No window ever spans a whole test.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,69 +23,83 @@ from fieldcal.functions.tails import (
     signed_rank_small_tail,
 )
 
-_MAX_SAMPLES = 64
 _SMALL_SAMPLE = 8
-_SMALL_TABLE = 200_000
 _SMALL_SIGNED = 50
 
 
+def _range_parts(batches: Iterator[pa.RecordBatch], k: int, n_keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (part, keys, value, counts) of one range → one row for each test of the range.
+
+    Sums of the counts, pairs within the range, the products that tie sums need, and distances between samples.
+    """
+    table = pa.Table.from_batches(list(batches))
+    names = ["_part", *table.column_names[1 : 1 + n_keys], "s", "l", "q", "g", "t"]
+    if not table.num_rows:
+        return
+    counts = table.column(table.num_columns - 1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    keys = list(zip(*[table.column(1 + i).to_pylist() for i in range(n_keys)])) if n_keys else [()] * len(counts)
+    starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+    rows = []
+    for start, end in zip(starts, [*starts[1:], len(keys)]):
+        c = counts[start:end]
+        below = np.cumsum(c, axis=0) - c
+        whole = c.sum(axis=1)
+        rows.append((
+            c.sum(axis=0).tolist(), (c.T @ (below + c / 2)).ravel().tolist(), ((c * c).T @ c).ravel().tolist(),
+            np.concatenate([np.abs(c - c[:, [i]]).sum(axis=0) for i in range(k)]).tolist(), float((whole**3 - whole).sum()),
+        ))
+    part = table.column(0)[0].as_py()
+    columns = [pa.array([part] * len(rows), pa.int32())]
+    columns += [table.column(1 + i).combine_chunks().take(pa.array(starts)) for i in range(n_keys)]
+    columns += [pa.array(x) for x in zip(*rows)]
+    yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _join_ranges(table: pa.Table, k: int, n_keys: int) -> pa.Table:
+    """All ranges of one test → its statistics; one row per range."""
+    order = np.argsort(table.column("_part").to_numpy())
+    s, l, q, g = (np.array(table.column(c).to_pylist())[order] for c in ("s", "l", "q", "g"))
+    offset = np.cumsum(s, axis=0) - s
+    u = l.reshape(-1, k, k) + s[:, :, None] * offset[:, None, :]
+    n, q, gap = s.sum(axis=0), q.sum(axis=0).reshape(k, k), g.sum(axis=0)
+    cubes = np.diag(q)
+    tie = cubes[:, None] + cubes[None, :] + 3 * (q + q.T) - (n[:, None] + n[None, :])
+    values = [n.tolist(), u.sum(axis=0).ravel().tolist(), tie.ravel().tolist(), gap.tolist()]
+    columns = [table.column(1 + i).slice(0, 1) for i in range(n_keys)] + [pa.array([v]) for v in values]
+    columns.append(pa.array([float(np.sum(table.column("t").to_numpy()))]))
+    return pa.Table.from_arrays(columns, [*table.column_names[1 : 1 + n_keys], "n", "u", "tie", "gap", "tie_all"])
+
+
 def pair_statistics(df: DataFrame, value: str, samples: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Counts, pairwise U statistics and tie sums for every test (= key).
+    """Counts, pairwise U statistics and tie sums for every test (= key), for any number k of samples.
+
+    ``samples`` maps a sample name to a membership condition. The result has arrays: ``n`` (rows of sample i), and in
+    place ``i * k + j`` of each of the others: ``u`` = pairs where i is above j plus half the equal pairs, ``tie`` = sum of
+    t^3 - t over equal values of the two samples (off the diagonal), ``gap``, which is zero exactly when both hold the same
+    values. ``tie_all`` is the tie sum over all samples.
 
-    ``samples`` maps a sample name to a membership condition. For samples i and j the result has
-    ``n_i`` rows of sample i, ``u_i_j`` = pairs where i is above j plus half the equal pairs,
-    ``tie_i_j`` / ``tie_all`` = sum of t^3 - t over equal values, and ``gap_i_j``, which is zero
-    exactly when both samples hold the same values.
+    Equal values are collapsed, the distinct values are range-partitioned, and each range makes k x k matrices.
     """
-    if len(samples) > _MAX_SAMPLES:
-        raise ValueError(f"at most {_MAX_SAMPLES} samples can be compared, found {len(samples)}")
     keys = list(keys)
     k = len(samples)
-    v = F.col(value)
-    collapsed = (
-        df.where(v.isNotNull())
-        .groupBy(*keys, v.alias("_v"))
-        .agg(*[F.sum(F.when(c, 1.0).otherwise(0.0)).alias(f"c{i}") for i, c in enumerate(samples.values())])
-    )
-    ranged = collapsed.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id())
-    # The statistics are quadratic in the number of samples, so they are stated as SQL text.
-    by = ", ".join(f"`{c}`" for c in keys)
-    within = f"(PARTITION BY {', '.join(filter(None, ['_part', by]))} ORDER BY _v)"
-    running = ranged.selectExpr(
-        "_part", *[f"`{c}`" for c in keys], *[f"c{i}" for i in range(k)],
-        *[f"sum(c{i}) OVER {within} - c{i} AS b{i}" for i in range(k)],
-    )
-
-    def tie(t: str) -> str:
-        return f"sum(({t}) * ({t}) * ({t}) - ({t}))"
-
-    pairs = [(i, j) for i in range(k) for j in range(k) if i != j]
-    unordered = [(i, j) for i, j in pairs if i < j]
-    local = running.groupBy("_part", *keys).agg(
-        *[F.expr(f"sum(c{i}) AS s{i}") for i in range(k)],
-        *[F.expr(f"sum(c{i} * (b{j} + c{j} / 2)) AS l_{i}_{j}") for i, j in pairs],
-        *[F.expr(f"{tie(f'c{i} + c{j}')} AS t_{i}_{j}") for i, j in unordered],
-        *[F.expr(f"sum(abs(c{i} - c{j})) AS g_{i}_{j}") for i, j in unordered],
-        F.expr(tie(" + ".join(f"c{i}" for i in range(k))) + " AS t_all"),
-    )
-    # One row per range and test: small enough for a window over the whole test.
-    ranges = f"(PARTITION BY {by or '0'} ORDER BY _part)"
-    offset = local.selectExpr("*", *[f"sum(s{j}) OVER {ranges} - s{j} AS o{j}" for j in range(k)])
-    return offset.groupBy(*keys).agg(
-        *[F.expr(f"sum(s{i}) AS n_{i}") for i in range(k)],
-        *[F.expr(f"sum(l_{i}_{j} + s{i} * o{j}) AS u_{i}_{j}") for i, j in pairs],
-        *[F.expr(f"sum(t_{i}_{j}) AS tie_{i}_{j}") for i, j in unordered],
-        *[F.expr(f"sum(g_{i}_{j}) AS gap_{i}_{j}") for i, j in unordered],
-        F.expr("sum(t_all) AS tie_all"),
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    counted = df.withColumn("_v", v).where("_v is not null").groupBy(*keys, "_v")
+    collapsed = counted.agg(*[F.sum(F.when(c, 1.0).otherwise(0.0)).alias(f"c{i}") for i, c in enumerate(samples.values())])
+    counts = F.array(*[f"c{i}" for i in range(k)]).alias("c")
+    ranged = collapsed.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")
+    rows = ranged.select(F.spark_partition_id().alias("_part"), *keys, "_v", counts)
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys]
+    arrays = [f"{c} array<double>" for c in ("s", "l", "q", "g")]
+    parts = rows.mapInArrow(lambda b: _range_parts(b, k, len(keys)), ", ".join(["_part int", *fields, *arrays, "t double"]))
+    result = [f"{c} array<double>" for c in ("n", "u", "tie", "gap")]
+    return parts.groupBy(*keys).applyInArrow(
+        lambda table: _join_ranges(table, k, len(keys)), ", ".join([*fields, *result, "tie_all double"])
     )
 
 
 def sample_names(df: DataFrame, group: str) -> list[str]:
-    """Sorted sample names; a checked, small number of them."""
-    found = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(_MAX_SAMPLES + 1).collect()]
-    if len(found) > _MAX_SAMPLES:
-        raise ValueError(f"more than {_MAX_SAMPLES} samples in {group}")
-    return sorted(found)
+    """Sorted sample names, one entry per sample that the statistics have a column for."""
+    return sorted(r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().collect())
 
 
 def _members(group: str, names: Sequence[str]) -> dict[str, Column]:
@@ -100,19 +116,14 @@ def kruskal_wallis(
     if k < 2:
         raise ValueError(f"at least two groups are needed, found {k}")
     s = pair_statistics(df, value, _members(group, names), keys)
-    n = sum((F.col(f"n_{i}") for i in range(1, k)), F.col("n_0"))
-    rank_sum = [
-        F.col(f"n_{i}") * (F.col(f"n_{i}") + 1) / 2 + sum((F.col(f"u_{i}_{j}") for j in range(k) if j != i), F.lit(0.0))
-        for i in range(k)
-    ]
+    zero = F.lit(0.0)
+    n = F.aggregate("n", zero, lambda a, x: a + x)
+    # u holds 1/2 n_i (n_i) on its diagonal: pairs of a sample with itself.
+    above = [F.aggregate(F.slice("u", i * k + 1, k), zero, lambda a, x: a + x) - F.col("u")[i * k + i] for i in range(k)]
+    size = [F.col("n")[i] for i in range(k)]
+    rank_sum = [size[i] * (size[i] + 1) / 2 + above[i] for i in range(k)]
     # sum of n_i * (mean rank - overall mean rank)^2: the same H without the cancellation of large squares
-    between = sum(
-        (
-            F.col(f"n_{i}") * F.pow(rank_sum[i] / F.col(f"n_{i}") - (n + 1) / 2, F.lit(2.0))
-            for i in range(k)
-        ),
-        F.lit(0.0),
-    )
+    between = sum((size[i] * F.pow(rank_sum[i] / size[i] - (n + 1) / 2, F.lit(2.0)) for i in range(k)), zero)
     h = 12 / (n * (n + 1)) * between
     correction = 1 - F.col("tie_all") / (n * n * n - n)
     result = s.select(
@@ -123,7 +134,7 @@ def kruskal_wallis(
 
 def _u_p_value(n1: Column, n2: Column, u: Column, z: Column, tie: Column, same: Column, alternative: str) -> Column:
     factor = 2.0 if alternative == "two-sided" else 1.0
-    small = (F.least(n1, n2) <= _SMALL_SAMPLE) & (tie == 0) & (n1 * n2 <= _SMALL_TABLE)
+    small = (F.least(n1, n2) <= _SMALL_SAMPLE) & (tie == 0)
     exact = mann_whitney_small_tail(F.when(small, n1), F.when(small, n2), F.when(small, u))
     p = F.least(F.lit(1.0), F.lit(factor) * F.when(small, exact).otherwise(normal_tail(z)))
     return F.when(same, F.lit(1.0)).otherwise(p)
@@ -137,21 +148,19 @@ def mann_whitney_pairs(
 
     Row columns: ``method``, ``other``, sizes, ``u1``, ``u``, ``z``, ``p_value``, ``significant``.
     Two samples with the same values are not significant, with p = 1. Untied samples with at
-    most 8 values on one side (and n1 * n2 <= 200,000) get the exact p-value.
+    most 8 values on one side get the exact p-value.
     """
     names = list(groups) if groups is not None else sample_names(df, group)
     k = len(names)
     if k < 2:
         raise ValueError(f"at least two groups are needed, found {k}")
     s = pair_statistics(df, value, _members(group, names), keys)
-    entries = [
-        f"struct({i} AS method_order, {i} AS _i, {j} AS _j, n_{i} AS n1, n_{j} AS n2, u_{i}_{j} AS u1, "
-        f"tie_{min(i, j)}_{max(i, j)} AS tie, gap_{min(i, j)}_{max(i, j)} = 0 AS same)"
-        for i in range(k)
-        for j in range(k)
-        if i != j
-    ]
-    long = s.selectExpr(*[f"`{c}`" for c in keys], f"inline(array({', '.join(entries)}))")
+    cell = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1)))
+    i, j = F.floor(F.col("_at") / k).cast("int"), F.col("_at") % k
+    long = s.select("*", cell.alias("_at")).where(i != j).select(
+        *keys, i.alias("method_order"), i.alias("_i"), j.alias("_j"), F.get("n", i).alias("n1"), F.get("n", j).alias("n2"),
+        F.get("u", F.col("_at")).alias("u1"), F.get("tie", F.col("_at")).alias("tie"), (F.get("gap", F.col("_at")) == 0).alias("same"),
+    )
     labels = F.array(*[F.lit(name) for name in names])
     n1, n2, u1 = F.col("n1"), F.col("n2"), F.col("u1")
     u = {"greater": u1, "less": n1 * n2 - u1, "two-sided": F.greatest(u1, n1 * n2 - u1)}[alternative]
@@ -191,26 +200,29 @@ def wilcoxon_signed_rank(
 ) -> DataFrame:
     """Two-sided signed-rank test on paired columns; zero differences are dropped.
 
-    ``statistic`` is the smaller of both signed rank sums. At most 50 untied differences
-    get the exact p-value.
+    ``statistic`` is the smaller of both signed rank sums. At most 50 untied differences, none of them
+    zero, get the exact p-value.
     """
-    diff = F.col(a) - F.col(b)
-    signed = df.select(*keys, diff.alias("_d")).where((F.col("_d") != 0) & F.col("_d").isNotNull())
-    signed = signed.select(*keys, F.abs("_d").alias("_abs"), (F.col("_d") > 0).alias("_pos"))
-    s = pair_statistics(signed, "_abs", {"pos": F.col("_pos"), "neg": ~F.col("_pos")}, keys)
-    n = F.col("n_0") + F.col("n_1")
-    t_plus = F.col("n_0") * (F.col("n_0") + 1) / 2 + F.col("u_0_1")
+    d = (F.col(a) - F.col(b)).cast("double")
+    signed = df.select(*keys, F.nanvl(d, F.lit(None).cast("double")).alias("_d")).where("_d is not null")
+    signed = signed.select(*keys, F.abs("_d").alias("_abs"), F.sign("_d").alias("_sign"))
+    s = pair_statistics(signed, "_abs", {c: F.col("_sign") == v for c, v in (("pos", 1), ("neg", -1), ("zero", 0))}, keys)
+    zeros = F.col("n")[2]
+    # Zeros are the smallest values: they come off the ranks, and their ties off the tie sum.
+    s = s.withColumn("tie_all", F.col("tie_all") - (zeros * zeros * zeros - zeros)).where(F.col("n")[0] + F.col("n")[1] > 0)
+    n = F.col("n")[0] + F.col("n")[1]
+    t_plus = F.col("n")[0] * (F.col("n")[0] + 1) / 2 + F.col("u")[1]
     t_minus = n * (n + 1) / 2 - t_plus
     variance = (n * (n + 1) * (2 * n + 1) - F.col("tie_all") / 2) / 24
     ranked = s.select(
         *keys, n.cast("long").alias("n"), t_plus.alias("t_plus"), F.least(t_plus, t_minus).alias("statistic"),
-        F.try_divide(t_plus - n * (n + 1) / 4, F.sqrt(variance)).alias("z"), F.col("tie_all").alias("_tie"),
+        F.try_divide(t_plus - n * (n + 1) / 4, F.sqrt(variance)).alias("z"), F.col("tie_all").alias("_tie"), zeros.alias("_zeros"),
     )
-    small = (F.col("n") <= _SMALL_SIGNED) & (F.col("_tie") == 0)
+    small = (F.col("n") <= _SMALL_SIGNED) & (F.col("_tie") == 0) & (F.col("_zeros") == 0)
     high = F.col("n") * (F.col("n") + 1) / 2 - F.col("statistic")
     exact = signed_rank_small_tail(F.when(small, F.col("n")).otherwise(0), F.when(small, high))
     p = F.least(F.lit(1.0), 2 * F.when(small, exact).otherwise(normal_tail(F.abs("z"))))
-    return ranked.withColumn("p_value", p).drop("_tie").withColumn("significant", F.col("p_value") < alpha)
+    return ranked.withColumn("p_value", p).drop("_tie", "_zeros").withColumn("significant", F.col("p_value") < alpha)
 
 
 def contingency_counts(

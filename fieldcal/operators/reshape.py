@@ -55,7 +55,6 @@ def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def pivot_mean(
     df: DataFrame, keys: Sequence[str], names: str, value: str, levels: Sequence[str] | None = None,
-    max_levels: int = 200,
 ) -> DataFrame:
     """Long to wide, mean of repeated cells, one column per level.
 
@@ -65,13 +64,13 @@ def pivot_mean(
     for key in keys:
         df = df.where(F.col(key).isNotNull())
     if levels is None:
-        found = df.select(names).where(F.col(names).isNotNull()).distinct().limit(max_levels + 1).collect()
-        if len(found) > max_levels:
-            raise ValueError(f"more than {max_levels} levels in {names}")
-        levels = sorted(r[0] for r in found)
+        # One entry per column of the result.
+        levels = sorted(r[0] for r in df.select(names).where(F.col(names).isNotNull()).distinct().collect())
     else:
         df = df.where(F.col(names).isin(list(levels)))
-    cells = [F.avg(F.when(F.col(names) == level, F.col(value))).alias(level) for level in levels]
+    kind = dict(df.dtypes)[value]
+    numbers = F.nanvl(F.col(value), F.lit(None).cast(kind)) if kind in ("double", "float") else F.col(value)
+    cells = [F.avg(F.when(F.col(names) == level, numbers)).alias(level) for level in levels]
     return df.groupBy(*keys).agg(*cells)
 
 

@@ -51,17 +51,6 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Hash-spread an input whose scan yields fewer partitions than there are cores.
-
-    A small file with one row group would keep one core busy with all the work up to the first
-    shuffle. Inputs with enough partitions, as any large table has, are left as they are. The
-    number of partitions is left to adaptive execution, which fits it to the size.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*key) if df.rdd.getNumPartitions() < cores else df
-
-
 def join_lookup(
     big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = 20_000
 ) -> DataFrame:

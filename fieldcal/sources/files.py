@@ -6,40 +6,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcal.functions.calendar import parse_time, parse_time_day_first, time_text
-from fieldcal.functions.measure import decimal_comma
+from fieldcal.functions.calendar import parse_time_day_first, time_text
 from fieldcal.functions.text import parse_argument_line
 from fieldcal.operators.lines import filter_lines, not_blank
 from fieldcal.operators.ordering import with_positions
 from fieldcal.schema import READING_SCHEMA, STATION_LIST_SCHEMA, STATION_SCHEMA, nan_to_null
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and an explicit schema; malformed numbers become NULL, NaN becomes NULL."""
-    return nan_to_null(spark.read.schema(schema).csv(path, header=True, pathGlobFilter="*.csv"))
+# Fixed value: the files of a folder that a folder merge takes.
+_FOLDER_FILES = "*.csv"
 
 
-def read_readings(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, READING_SCHEMA)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, only: str | None = None) -> DataFrame:
+    """CSV with a header and an explicit schema; malformed numbers become NULL, NaN becomes NULL.
 
+    Any file name and any compression that Spark knows; ``only`` is a pattern for the files of a folder.
+    """
+    options = {} if only is None else {"pathGlobFilter": only}
+    return nan_to_null(spark.read.schema(schema).csv(path, header=True, **options))
 
-def read_station_feed(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, STATION_SCHEMA)
+
+def read_readings(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    return read_csv(spark, path, READING_SCHEMA, only)
+
+
+def read_station_feed(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    return read_csv(spark, path, STATION_SCHEMA, only)
 
 
 def read_station_list(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, STATION_LIST_SCHEMA)
 
 
-def _require_rows(df: DataFrame) -> DataFrame:
+def require_rows(df: DataFrame) -> DataFrame:
     if df.isEmpty():
-        raise ValueError("no CSV rows found in the folder")
+        raise ValueError("no CSV rows found")
     return df
 
 
 def merged_station_feed(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly station files of a folder as one feed in time order: decimal dot, parsed timestamps."""
-    rows = _require_rows(read_station_feed(spark, folder))
+    rows = require_rows(read_station_feed(spark, folder, _FOLDER_FILES))
     return rows.withColumns(
         {
             "timestamp": parse_time_day_first(F.substring_index("timestamp", ".", 1)),
@@ -49,7 +56,7 @@ def merged_station_feed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_readings(spark: SparkSession, folder: str) -> DataFrame:
-    return _require_rows(read_readings(spark, folder)).orderBy("time")
+    return require_rows(read_readings(spark, folder, _FOLDER_FILES)).orderBy("time")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -110,11 +117,3 @@ def append_ledger(df: DataFrame, path: str) -> None:
 def parse_ledger(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.where(not_blank(F.col(line))).select(F.col(line).alias("line"), parse_argument_line(F.col(line)).alias("arguments"))
 
-
-def parse_readings(df: DataFrame) -> DataFrame:
-    """Long readings with a parsed, zone-less ``time``."""
-    return df.withColumn("time", parse_time(F.col("time")))
-
-
-def parse_station_values(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", decimal_comma(F.col("value")))

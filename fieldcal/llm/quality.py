@@ -113,7 +113,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit word vector of every bucket, from the contexts of the whole corpus."""
     partial = docs.select(F.col(text_col)).mapInArrow(_count_contexts, "chunk int, sums binary")
     # Two steps, so that no task sums more than its share of the tasks' matrices.
-    salted = partial.withColumn("part", F.pmod(F.monotonically_increasing_id() / F.lit(1 << 33), F.lit(64)).cast("int"))
+    salted = partial.withColumn("part", F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(64)))
     halfway = salted.groupBy("chunk", "part").applyInArrow(_sum_chunks, "chunk int, sums binary")
     out = np.zeros((BUCKETS // _CHUNK, _CHUNK, DIMS))
     for row in halfway.groupBy("chunk").applyInArrow(_sum_chunks, "chunk int, sums binary").collect():  # of fixed size
@@ -235,7 +235,7 @@ def score_quality(
     rows = sample.orderBy(F.xxhash64("id"), "id", F.xxhash64("pooled")).limit(sample_rows).select("label", "pooled").toPandas()
     y = (rows["label"].to_numpy(float) > 0).astype(float)
     constant = float(y.mean()) if len(y) else 0.5
-    net = train(np.stack(rows["pooled"].to_numpy()), y) if 0 < constant < 1 else None
+    net = train(np.stack(rows["pooled"].to_numpy()), y) if len(y) and 0 < constant < 1 else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

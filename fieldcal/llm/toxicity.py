@@ -30,12 +30,12 @@ from fieldcal.session import stored
 #: Hashed features; labelled documents of each label that the weights may be trained on.
 BUCKETS = 1 << 17
 SAMPLE_ROWS = 3_000
-ROUNDS = 100
+ROUNDS = 250
 #: Features in fewer documents of the sample have no weight.
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 6
 BEGINNINGS = (4, 5)
 #: Pull of the weights towards zero, as documents.
-DECAY = 0.02
+DECAY = 0.1
 #: A sentence of at least this probability is reported as offending.
 OFFENDING = 0.5
 _BREAK = 2

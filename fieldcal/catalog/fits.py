@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fieldcal.catalog.registry import LINE_KEY, pairs, query, rounded, table
 from fieldcal.models.training import CalibrationEstimator, CalibrationModel, random_search, train_and_score
 from fieldcal.operators.metrics import regression_metrics
-from fieldcal.operators.ordering import exact_split
-from fieldcal.operators.prep import fit_scaling, linear_expression, unscale_linear
+from fieldcal.operators.ordering import exact_split, hash_key
+from fieldcal.operators.prep import apply_scaling, augment, fit_scaling, linear_expression, unscale_linear
 from fieldcal.session import scratch_path, stored
 
 _NUMERIC = ["l_discount", "l_tax", "l_linenumber", "raw"]
@@ -26,12 +27,6 @@ def _estimator(model, **options):
     )
 
 
-def _fit_and_score(spark, sf_dir, model, **options):
-    rows = _rows(spark, sf_dir)
-    fitted = _estimator(model, **options).fit(rows.where("split = 'train'"))
-    return rounded(regression_metrics(fitted.transform(rows), "truth", "prediction", ["zone", "split"]))
-
-
 _LINE_SQL = """
 WITH p AS (SELECT l_extendedprice / 2003 AS truth, l_quantity AS raw, l_returnflag AS zone,
                   CASE WHEN l_linenumber % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM lineitem),
@@ -70,54 +65,187 @@ def linear_unscale(spark, sf_dir):
     )
 
 
-@query()
-def fit_linear(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "linear", scaling="standard")
+_TRAIN_SQL = (
+    "p AS (SELECT *, l_extendedprice / 2003 AS truth, l_quantity AS raw, l_returnflag AS zone, "
+    "CASE WHEN l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS half, CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, "
+    "CASE WHEN l_linenumber % 3 = 0 THEN 'test' ELSE 'train' END AS split, md5('14593|' || "
+    + " || '|' || ".join(LINE_KEY)
+    + ") AS key FROM lineitem), train AS (SELECT * FROM p WHERE split = 'train')"
+)
+_METRICS_SQL = """count(*) AS n, round(1 - avg(pow(truth - prediction, 2)) / var_pop(truth), 6) AS r2,
+  round(avg(abs(truth - prediction)), 6) AS mae, round(avg(pow(truth - prediction, 2)), 6) AS mse,
+  round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse"""
 
+# ---------------------------------------------------------------- fits whose optimum SQL can state: no feature moves with the residual
 
-@query()
-def fit_elasticnet(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "elasticnet", scaling="robust", l1_ratio=0.5, n_alphas=20)
+
+def _balance(scored, residual):
+    """Per number and per category value: rows, and the sum of residual times feature as a share of its largest size."""
+    r = residual.cast("double")
+    numbers = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in _NUMERIC]
+    levels = [F.struct(F.concat(F.lit(f"{c}="), F.col(c)).alias("feature"), F.lit(1.0).alias("x")) for c in _CATEGORICAL]
+    long = scored.select(r.alias("r"), F.inline(F.array(*numbers, *levels)))
+    share = F.sum(F.col("r") * F.col("x")) / F.sum(F.abs(F.col("r") * F.col("x")))
+    return long.groupBy("feature").agg(F.count("*").alias("n"), (F.round(share, 3) + 0.0).alias("balance"))
+
+
+def _balance_sql(source: str) -> str:
+    numbers = ", ".join(f"('{c}')" for c in _NUMERIC)
+    levels = " UNION ALL ".join(f"SELECT '{c}=' || {c} AS feature, count(*) AS n FROM {source} GROUP BY {c}" for c in _CATEGORICAL)
+    return f"""SELECT feature, n, 0.0::DOUBLE AS balance FROM (
+      SELECT feature, (SELECT count(*) FROM {source}) AS n FROM (VALUES {numbers}) v(feature) UNION ALL {levels})"""
+
+
+def _fitted(spark, sf_dir, model, **options):
+    train = _rows(spark, sf_dir).where("split = 'train'")
+    return _estimator(model, **options).fit(train), train
+
+
+@query(f"WITH {_TRAIN_SQL} {_balance_sql('train')}")
+def fit_linear(spark, sf_dir):
+    """Least squares on all features: the residual is balanced on each."""
+    fitted, train = _fitted(spark, sf_dir, "linear", scaling="standard")
+    return _balance(fitted.transform(train), F.col("truth") - F.col("prediction"))
 
 
-@query()
+@query(
+    f"""WITH {_TRAIN_SQL} SELECT (i + 1)::INTEGER AS feature, 0.0::DOUBLE AS violation, (SELECT count(*) FROM train) AS n
+    FROM range((SELECT count(DISTINCT l_linestatus) + count(DISTINCT l_returnflag) + {len(_NUMERIC)} FROM train)) r(i)"""
+)
+def fit_elasticnet(spark, sf_dir):
+    """How far each feature is from the optimality condition of the chosen penalty: not at all."""
+    share = 0.5
+    fitted, train = _fitted(spark, sf_dir, "elasticnet", scaling="robust", l1_ratio=share, n_alphas=20)
+    line = fitted.fitted
+    ready = fitted.featurizer.transform(apply_scaling(train, fitted.meta["scaling"]))
+    scored = line.transform(ready).withColumn("r", F.col("truth") - F.col("prediction"))
+    pull = scored.select("r", F.posexplode(vector_to_array("features")).alias("at", "x"))
+    w = F.array(*[F.lit(float(c)) for c in line.coefficients])[F.col("at")]
+    l1, l2 = F.lit(line.penalty * share), F.lit(line.penalty * (1 - share))
+    slope = pull.groupBy("at").agg(F.avg(F.col("r") * F.col("x")).alias("g"), F.count("*").alias("n"))
+    off = F.when(w == 0, F.greatest(F.lit(0.0), F.abs("g") - l1)).otherwise(F.abs(F.col("g") - l2 * w - l1 * F.sign(w)))
+    return slope.select((F.col("at") + 1).alias("feature"), F.round(off, 5).alias("violation"), "n")
+
+
+@query(f"WITH {_TRAIN_SQL} {_balance_sql('train')}")
 def fit_glm_gamma(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "gamma", scaling="standard", regParam=1e-3, maxIter=25)
+    """Gamma regression with a log link: the relative residual is balanced."""
+    fitted, train = _fitted(spark, sf_dir, "gamma", scaling="standard", regParam=0.0, maxIter=100, tol=1e-10)
+    return _balance(fitted.transform(train), F.col("truth") / F.col("prediction") - 1)
 
 
-@query()
+@query(f"WITH {_TRAIN_SQL} {_balance_sql('train')}")
 def fit_glm_poisson(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "poisson", scaling="standard", regParam=1e-3, maxIter=25)
+    fitted, train = _fitted(spark, sf_dir, "poisson", scaling="standard", regParam=0.0, maxIter=100, tol=1e-10)
+    return _balance(fitted.transform(train), F.col("truth") - F.col("prediction"))
 
 
-@query()
+@query(f"WITH {_TRAIN_SQL} {_balance_sql('train')}")
 def fit_huber(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "sgd", scaling="standard", loss="huber", regParam=1e-4, maxIter=20)
+    """Huber loss: the residual, cut at 1.35 of its scale, is balanced."""
+    fitted, train = _fitted(spark, sf_dir, "sgd", scaling="standard", loss="huber", regParam=0.0, maxIter=500, tol=1e-12)
+    r = (F.col("truth") - F.col("prediction")) / fitted.fitted.scale
+    return _balance(fitted.transform(train), F.greatest(F.lit(-1.35), F.least(F.lit(1.35), r)))
+
+
+@query(f"WITH {_TRAIN_SQL} {_balance_sql('train')}")
+def fit_log_target_rescaled(spark, sf_dir):
+    """Logarithm of the target: the residual of the fit, before re-scaling, is balanced in logarithms."""
+    fitted, train = _fitted(spark, sf_dir, "linear", scaling="minmax", linear_scaling=True, log_scale_target=True)
+    return _balance(fitted.raw_transform(train), F.log1p("truth") - F.col("prediction"))
+
+
+@query(
+    f"""WITH {_TRAIN_SQL}, t AS (SELECT quantile_cont(truth, 0.9) AS lim FROM train),
+    u AS (SELECT * FROM train UNION ALL SELECT train.* FROM train, t, range(1, 3) c(copy) WHERE truth > lim)
+    {_balance_sql('u')}"""
+)
+def fit_augmented(spark, sf_dir):
+    """Rare targets copied with noise: the residual is balanced on the rows with their copies."""
+    mode = "simple_0.90_2_0.04_0.04"
+    fitted, train = _fitted(spark, sf_dir, "linear", scaling="robust", augmentation=mode)
+    rows = augment(train, mode, "truth", _NUMERIC, hash_key(14593, *[F.col(c) for c in LINE_KEY]), 14593)
+    return _balance(fitted.transform(rows), F.col("truth") - F.col("prediction"))
+
+
+# ---------------------------------------------------------------- trees on two two-valued categories: cell means
+
+_CELLS = ["half", "parity"]
+_CELL_SQL = f"{_TRAIN_SQL}, g AS (SELECT half, parity, avg(truth) AS prediction FROM train GROUP BY half, parity)"
+_CELL_METRICS_SQL = f"""WITH {_CELL_SQL}, s AS (SELECT zone, split, truth, prediction FROM p JOIN g USING (half, parity))
+    SELECT zone, split, {_METRICS_SQL} FROM s GROUP BY zone, split"""
+
+
+def _cell_rows(spark, sf_dir):
+    """Training rows with two two-valued text columns and a number that never changes."""
+    return _rows(spark, sf_dir).withColumns(
+        {
+            "half": F.when(F.col("l_suppkey") % 2 == 0, "even").otherwise("odd"),
+            "parity": F.when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd"), "level": F.lit(0.0),
+        }
+    )
+
+
+def _cell_estimator(model, **setting):
+    return CalibrationEstimator(model, "truth", numeric=["level"], categorical=_CELLS, raw="raw", key=LINE_KEY, seed=14593, **setting)
 
 
-@query()
+def _score_cells(spark, sf_dir, model, **setting):
+    rows = _cell_rows(spark, sf_dir)
+    fitted = _cell_estimator(model, **setting).fit(rows.where("split = 'train'"))
+    return rounded(regression_metrics(fitted.transform(rows), "truth", "prediction", ["zone", "split"]))
+
+
+@query(_CELL_METRICS_SQL)
 def fit_tree(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "decision_tree", maxDepth=6)
+    return _score_cells(spark, sf_dir, "decision_tree", maxDepth=2)
 
 
-@query()
+@query(_CELL_METRICS_SQL)
 def fit_forest(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "random_forest", numTrees=10, maxDepth=6, featureSubsetStrategy="sqrt", min_leaf=0.001)
+    """Without resampling and with all features every tree is the same."""
+    return _score_cells(
+        spark, sf_dir, "random_forest", numTrees=3, maxDepth=6, featureSubsetStrategy="all", min_leaf=1, bootstrap=False
+    )
 
 
-@query()
+@query(_CELL_METRICS_SQL)
 def fit_bagging(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "bagging", numTrees=10, maxDepth=6)
+    return _score_cells(spark, sf_dir, "bagging", numTrees=3, bootstrap=False)
 
 
-@query()
+@query(_CELL_METRICS_SQL)
 def fit_gbt(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "gradient_boosting", maxIter=10, maxDepth=3, stepSize=0.1, min_leaf=2)
+    """The first tree holds the cell means, later ones have nothing to add."""
+    return _score_cells(spark, sf_dir, "gradient_boosting", maxIter=3, maxDepth=3, stepSize=0.1, min_leaf=2)
+
+
+def _boost_sql(rounds: int) -> str:
+    """Rounds of weighted cell means; weight, error and cost of each row as columns w, e, c of table b<round>."""
+    steps, w = [], "1.0::DOUBLE"
+    for i in range(1, rounds + 1):
+        source = "train" if i == 1 else f"b{i - 1}, a{i - 1}"
+        weight = w if i == 1 else f"w{i - 1} * pow(beta{i - 1}, 1 - c{i - 1})"
+        steps.append(f"v{i} AS (SELECT *, {weight} AS w{i} FROM {source})")
+        steps.append(f"m{i} AS (SELECT half, parity, sum(w{i} * truth) / sum(w{i}) AS p{i} FROM v{i} GROUP BY half, parity)")
+        steps.append(f"e{i} AS (SELECT *, abs(truth - p{i}) AS d{i} FROM v{i} JOIN m{i} USING (half, parity))")
+        steps.append(f"b{i} AS (SELECT *, d{i} / max(d{i}) OVER () AS c{i} FROM e{i})")
+        steps.append(f"a{i} AS (SELECT x / (1 - x) AS beta{i} FROM (SELECT sum(w{i} * c{i}) / sum(w{i}) AS x FROM b{i}))")
+    votes = " UNION ALL ".join(f"SELECT half, parity, p{i} AS p, ln(1 / beta{i}) AS w FROM m{i}, a{i}" for i in range(1, rounds + 1))
+    return ", ".join([
+        *steps, f"votes AS ({votes})",
+        "running AS (SELECT *, sum(w) OVER (PARTITION BY half, parity ORDER BY p) AS seen, sum(w) OVER (PARTITION BY half, parity) AS whole FROM votes)",
+        "chosen AS (SELECT half, parity, min(p) AS prediction FROM running WHERE seen >= whole / 2 GROUP BY half, parity)",
+    ])
 
 
-@query()
+@query(
+    f"""WITH {_TRAIN_SQL}, {_boost_sql(3)}, s AS (SELECT zone, split, truth, prediction FROM p JOIN chosen USING (half, parity))
+    SELECT zone, split, {_METRICS_SQL} FROM s GROUP BY zone, split"""
+)
 def fit_adaboost_r2(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "adaboost", n_estimators=6, loss="linear")
+    """Three rounds of re-weighted trees and their weighted median."""
+    return _score_cells(spark, sf_dir, "adaboost", n_estimators=3, loss="linear", max_depth=2)
 
 
 _KNN_SPLIT_SQL = """
@@ -150,39 +278,23 @@ def fit_knn(spark, sf_dir):
     return rounded(regression_metrics(model.transform(split.where("split = 'test'")), "y", "prediction", ["zone"]))
 
 
-@query()
-def fit_log_target_rescaled(spark, sf_dir):
-    """Logarithm of the target and linear re-scaling around a least-squares fit."""
-    return _fit_and_score(spark, sf_dir, "linear", scaling="minmax", linear_scaling=True, log_scale_target=True)
-
-
-@query()
-def fit_augmented(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, "linear", scaling="robust", augmentation="simple_0.90_2_0.04_0.04")
-
-
-@query()
+@query(
+    f"""WITH {_TRAIN_SQL}, f AS (SELECT *, ntile(3) OVER (ORDER BY key) AS fold FROM train),
+    g AS (SELECT h.fold, half, parity, avg(truth) AS prediction FROM range(1, 4) h(fold) JOIN f ON f.fold <> h.fold GROUP BY ALL),
+    e AS (SELECT fold, sqrt(avg(pow(truth - prediction, 2))) AS e FROM f JOIN g USING (fold, half, parity) GROUP BY fold)
+    SELECT '[(''maxDepth'', ' || d.d || ')]' AS setting, round(avg(e), 6) AS rmse FROM e, (VALUES (2), (4), (6)) d(d) GROUP BY d.d"""
+)
 def search_cv(spark, sf_dir):
     """Error of every tried setting, from a seeded search on contiguous folds."""
-    train = _rows(spark, sf_dir).where("split = 'train'").drop("split")
-    _, tried = random_search(
-        _estimator("decision_tree"), train, LINE_KEY, n_iter=2, cv=3, seed=3, grid={"maxDepth": [2, 4, 6]}
-    )
+    train = _cell_rows(spark, sf_dir).where("split = 'train'").drop("split")
+    _, tried = random_search(_cell_estimator("decision_tree"), train, LINE_KEY, n_iter=3, cv=3, seed=14593, grid={"maxDepth": [2, 4, 6]})
     rows = [(str(sorted(setting.items())), rmse) for setting, rmse in tried]
     return rounded(spark.createDataFrame(rows, "setting string, rmse double"))
 
 
-@query()
-def train_three_zones(spark, sf_dir):
-    """Train on one zone, score all three, before and after adding the raw value back."""
-    rows = _rows(spark, sf_dir).drop("split")
-    return rounded(
-        train_and_score(rows, "A", _estimator("linear", scaling="robust"), LINE_KEY, test_size=0.3)
-    )
-
-
 _KEYED_SQL = (
-    "p AS (SELECT *, l_extendedprice / 2003 AS truth, l_quantity AS raw, l_returnflag AS zone, md5('14593|' || "
+    "p AS (SELECT *, l_extendedprice / 2003 AS truth, l_quantity AS raw, l_returnflag AS zone, "
+    "CASE WHEN l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS half, CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, md5('14593|' || "
     + " || '|' || ".join(LINE_KEY)
     + """) AS key FROM lineitem),
 k AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY key) AS r, count(*) OVER (PARTITION BY zone) AS n FROM p),
@@ -196,6 +308,18 @@ _ZONE_METRICS_SQL = """SELECT zone, split, count(*) AS n, round(1 - avg(pow(trut
   round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse_sum_back FROM s GROUP BY zone, split"""
 
 
+@query(
+    f"""WITH {_KEYED_SQL}, train AS (SELECT * FROM parts WHERE split = 'train'),
+    g AS (SELECT half, parity, avg(truth) AS prediction FROM train GROUP BY half, parity),
+    s AS (SELECT parts.*, prediction FROM parts JOIN g USING (half, parity))
+    {_ZONE_METRICS_SQL}"""
+)
+def train_three_zones(spark, sf_dir):
+    """Train on one zone, score all three, before and after adding the raw value back."""
+    rows = _cell_rows(spark, sf_dir).drop("split")
+    return rounded(train_and_score(rows, "A", _cell_estimator("decision_tree", maxDepth=2), LINE_KEY, test_size=0.3, grid={}))
+
+
 @query(
     f"""WITH {_KEYED_SQL}, train AS (SELECT * FROM parts WHERE split = 'train'),
     f AS (SELECT regr_slope(truth, raw) AS a, regr_intercept(truth, raw) AS b FROM train),
@@ -243,16 +367,6 @@ def model_save_load(spark, sf_dir):
 
 # ---------------------------------------------------------------- fits that SQL can state in closed form
 
-_TRAIN_SQL = (
-    "p AS (SELECT *, l_extendedprice / 2003 AS truth, l_quantity AS raw, l_returnflag AS zone, "
-    "CASE WHEN l_linenumber % 3 = 0 THEN 'test' ELSE 'train' END AS split, md5('14593|' || "
-    + " || '|' || ".join(LINE_KEY)
-    + ") AS key FROM lineitem), train AS (SELECT * FROM p WHERE split = 'train')"
-)
-_METRICS_SQL = """count(*) AS n, round(1 - avg(pow(truth - prediction, 2)) / var_pop(truth), 6) AS r2,
-  round(avg(abs(truth - prediction)), 6) AS mae, round(avg(pow(truth - prediction, 2)), 6) AS mse,
-  round(sqrt(avg(pow(truth - prediction, 2))), 6) AS rmse"""
-
 
 def _line(model, **options):
     return CalibrationEstimator(model, "truth", numeric=["raw"], key=LINE_KEY, seed=14593, **options)

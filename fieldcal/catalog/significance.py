@@ -28,6 +28,14 @@ from fieldcal.operators.ranktests import (
 )
 from fieldcal.plans.analysis import significance_marks, zone_comparison
 
+def _normal_tail_sql(z: str) -> str:
+    """P(Z > z) by Simpson's rule over the next 12 deviations."""
+    return (
+        f"(SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow({z} + i * 0.003::DOUBLE, 2) / 2))"
+        " * 0.001::DOUBLE / sqrt(2 * pi()) FROM range(4001) r(i))"
+    )
+
+
 # Critical values of the normal law for 0.05/1, 0.05/2, 0.05/3, 0.05/4, one-sided.
 _Z = [1.6448536269514722, 1.9599639845400545, 2.128045234184984, 2.241402727604947]
 
@@ -40,10 +48,11 @@ _Z = [1.6448536269514722, 1.9599639845400545, 2.128045234184984, 2.2414027276049
     h AS (SELECT zone, any_value(n) AS n, 12 / (any_value(n)::DOUBLE * (any_value(n) + 1)) * sum(k * pow(mean_rank - (n + 1) / 2, 2)) AS h,
                  sum(tie) AS tie, count(*) AS k FROM m GROUP BY zone)
     SELECT zone, n, round(h / (1 - tie / (pow(n, 3) - n)), 6) AS h, (k - 1)::INTEGER AS df,
+           round(exp(-h / (1 - tie / (pow(n, 3) - n)) / 2) * (1 + h / (1 - tie / (pow(n, 3) - n)) / 2), 6) AS p_value,
            h / (1 - tie / (pow(n, 3) - n)) > 9.487729036781154 AS significant FROM h"""
 )
 def kruskal_h(spark, sf_dir):
-    return rounded(kruskal_wallis(samples(spark, sf_dir), "value", "method", _priorities(spark, sf_dir), keys=["zone"]).drop("p_value"))
+    return rounded(kruskal_wallis(samples(spark, sf_dir), "value", "method", _priorities(spark, sf_dir), keys=["zone"]))
 
 
 def _priorities(spark, sf_dir):
@@ -72,13 +81,14 @@ _SPREAD = "sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))
     f"""WITH {_pairs_sql("samples", SAMPLES_SQL)}
     SELECT zone, method, other, n1, n2, round(u1, 1) AS u1, round(greatest(u1, n1 * n2 - u1), 1) AS u,
            round((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / {_SPREAD}, 6) AS z,
+           round(least(1, 2 * {_normal_tail_sql(f"(greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / {_SPREAD}")}), 6) AS p_value,
            (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5) / {_SPREAD} > 1.959963984540054 AS significant FROM us"""
 )
 def mannwhitney_u(spark, sf_dir):
     p = mann_whitney_pairs(samples(spark, sf_dir), "value", "method", _priorities(spark, sf_dir), keys=["zone"])
     return p.select(
         "zone", "method", "other", "n1", "n2", F.round("u1", 1).alias("u1"), F.round("u", 1).alias("u"),
-        F.round("z", 6).alias("z"), "significant",
+        F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"), "significant",
     )
 
 
@@ -119,12 +129,13 @@ def _signed_sql(source: str, keys: str) -> str:
     s AS (SELECT {keys}, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS t_plus, coalesce(sum(r) FILTER (d < 0), 0) AS t_minus,
           sum((t * t - 1)::DOUBLE) AS tie FROM r GROUP BY {keys}),
     z AS (SELECT *, (t_plus - n::DOUBLE * (n + 1) / 4) / sqrt((n::DOUBLE * (n + 1) * (2 * n + 1) - tie / 2) / 24) AS z FROM s)
-    SELECT {keys}, n, t_plus, least(t_plus, t_minus) AS statistic, round(z, 6) AS z, abs(z) > 1.959963984540054 AS significant FROM z"""
+    SELECT {keys}, n, t_plus, least(t_plus, t_minus) AS statistic, round(z, 6) AS z,
+           round(least(1, 2 * {_normal_tail_sql("abs(z)")}), 6) AS p_value, abs(z) > 1.959963984540054 AS significant FROM z"""
 
 
 @query(f"WITH {PAIRS_SQL}, v AS (SELECT zone, truth AS x, raw AS y FROM pairs), {_signed_sql('v', 'zone')}")
 def wilcoxon_signed(spark, sf_dir):
-    return rounded(wilcoxon_signed_rank(pairs(spark, sf_dir), "truth", "raw", ["zone"]).drop("p_value"))
+    return rounded(wilcoxon_signed_rank(pairs(spark, sf_dir), "truth", "raw", ["zone"]))
 
 
 @query(
@@ -135,7 +146,7 @@ def wilcoxon_signed(spark, sf_dir):
 )
 def zone_comparison_tests(spark, sf_dir):
     p = pairs(spark, sf_dir).withColumn("model", F.col("raw") * 0.5 + 13.0)
-    return rounded(zone_comparison(p, "raw", "truth", "model").drop("p_value"))
+    return rounded(zone_comparison(p, "raw", "truth", "model"))
 
 
 def _outcomes(spark, sf_dir):
@@ -156,12 +167,12 @@ n AS (SELECT *, (s_a + f_a + s_b + f_b)::DOUBLE AS n FROM c)"""
     f"""WITH {_COUNTS_SQL.format(x="quality")},
     t AS (SELECT *, pow(n, 3) * pow(greatest(abs(s_a::DOUBLE * f_b - f_a::DOUBLE * s_b) / n - 0.5, 0), 2)
       / ((s_a + f_a)::DOUBLE * (s_b + f_b) * (s_a + s_b) * (f_a + f_b)) AS x FROM n)
-    SELECT s_a, f_a, s_b, f_b, round(x, 6) AS chi2, x > 3.841458820694124 AS significant,
+    SELECT s_a, f_a, s_b, f_b, round(x, 6) AS chi2, round(2 * {_normal_tail_sql("sqrt(x)")}, 6) AS p_value, x > 3.841458820694124 AS significant,
            x > 3.841458820694124 AND s_a / (s_a + f_a) > s_b / (s_b + f_b) AS first_better FROM t"""
 )
 def chi2_2x2(spark, sf_dir):
     counts = contingency_counts(_outcomes(spark, sf_dir), "quality", "group", "en", "other")
-    return rounded(chi_square_2x2(counts).drop("p_value"))
+    return rounded(chi_square_2x2(counts))
 
 
 _LOG_P = "lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma({x} + 1) - lgamma(r - {x} + 1) - lgamma(k - {x} + 1) - lgamma(n - r - k + {x} + 1)"

@@ -43,7 +43,7 @@ from fieldcal.operators.eda import (
 )
 from fieldcal.operators.metrics import linear_scaling, metric_columns, regression_metrics
 from fieldcal.operators.ordering import exact_split
-from fieldcal.operators.reshape import cap_rows
+from fieldcal.operators.reshape import cap_rows, union_tables
 from fieldcal.plans.analysis import (
     best_model_table,
     boxplot_scores,
@@ -281,11 +281,15 @@ def ensemble_line_data(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SCORES_SQL} SELECT model, metric, split, round(quantile_cont(score, 0.25), 6) AS q1, round(median(score), 6) AS median,
-    round(quantile_cont(score, 0.75), 6) AS q3 FROM scores WHERE zone = 'A' GROUP BY model, metric, split"""
+    f"""WITH {SCORES_SQL} SELECT zone, model, metric, split, round(quantile_cont(score, 0.25), 6) AS q1, round(median(score), 6) AS median,
+    round(quantile_cont(score, 0.75), 6) AS q3 FROM scores GROUP BY zone, model, metric, split"""
 )
 def seed_quantile_table(spark, sf_dir):
-    return rounded(seed_quantiles(scores(spark, sf_dir).where("zone = 'A'")))
+    """Of every zone; a zone and model together stand for the model of the library's table."""
+    s = scores(spark, sf_dir)
+    named = s.withColumn("model", F.concat_ws("|", "zone", "model")).drop("zone")
+    parts = F.split("model", r"\|")
+    return rounded(seed_quantiles(named).withColumn("zone", parts[0]).withColumn("model", parts[1]))
 
 
 @query(
@@ -350,7 +354,7 @@ def boxplot_data(spark, sf_dir):
     f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY md5('5|' || o_orderkey)) AS r, count(*) OVER () AS n FROM orders),
     p AS (SELECT o_orderkey, CASE WHEN r <= ceil(n * 0.3::DOUBLE) THEN 'test' ELSE 'train' END AS split,
                  o_totalprice / 5000 AS truth, (o_custkey % 90)::DOUBLE AS raw FROM s),
-    c AS (SELECT split, CASE WHEN truth = 0 THEN 1e-8::DOUBLE ELSE truth END AS truth, raw AS prediction FROM p WHERE truth <= 60 AND raw <= 70)
+    c AS (SELECT split, CASE WHEN truth = 0 AND split = 'train' THEN 1e-8::DOUBLE ELSE truth END AS truth, raw AS prediction FROM p WHERE truth <= 60 AND raw <= 70)
     SELECT split, count(*) AS n, {_METRICS_SQL} FROM c GROUP BY split"""
 )
 def capped_scores(spark, sf_dir):
@@ -359,7 +363,9 @@ def capped_scores(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", (F.col("o_totalprice") / 5000).alias("truth"), (F.col("o_custkey") % 90).cast("double").alias("raw")
     )
-    split = exact_split(o, ["o_orderkey"], 0.3, 5).withColumn("truth", replace_zero(F.col("truth")))
+    split = exact_split(o, ["o_orderkey"], 0.3, 5).withColumn(
+        "truth", F.when(F.col("split") == "train", replace_zero(F.col("truth"))).otherwise(F.col("truth"))
+    )
     return rounded(regression_metrics(cap_rows(split, "truth", 60.0, "raw", 70.0), "truth", "raw", ["split"]))
 
 
@@ -377,35 +383,81 @@ def capped_score_quartiles(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EVENT_READINGS_SQL} SELECT device, round(radians(lon) * 6378137, 4) AS x,
-        round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 4) AS y, val, gps_alt FROM event_readings"""
+    f"""WITH {EVENT_READINGS_SQL},
+    m AS (SELECT device, radians(lon) * 6378137 AS x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 AS y, lon, lat, val, gps_alt FROM event_readings)
+    SELECT 'points' AS layer, device, round(x, 4) AS a, round(y, 4) AS b, round(val, 4) AS c, round(gps_alt, 4) AS d FROM m
+    UNION ALL SELECT 'scale', NULL, round(least(min(val), min(gps_alt)), 4), round(greatest(max(val), max(gps_alt)), 4), NULL, NULL FROM m
+    UNION ALL SELECT 'boxes', device, round(x0 - dx * 0.05::DOUBLE, 4), round(x1 + dx * 0.05::DOUBLE, 4), round(y0 - dy * 0.05::DOUBLE, 4), round(y1 + dy * 0.05::DOUBLE, 4)
+      FROM (SELECT device, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, coalesce(nullif(max(x) - min(x), 0), 1) AS dx,
+            coalesce(nullif(max(y) - min(y), 0), 1) AS dy FROM m GROUP BY device)
+    UNION ALL SELECT 'hull box', device, round(min(x), 4), round(min(y), 4), round(max(x), 4), round(max(y), 4) FROM m GROUP BY device"""
 )
 def map_points(spark, sf_dir):
+    """All four layers in one table; of the hulls the box, which must be that of their points."""
     layers = map_layers(event_readings(spark, sf_dir), "device", "lon", "lat", ["val", "gps_alt"])
-    return rounded(layers["points"], 4)
 
+    def layer(df, name, device, *cells):
+        values = [(F.lit(None).cast("double") if c is None else F.col(c).cast("double")).alias(n) for c, n in zip(cells, "abcd")]
+        return df.select(F.lit(name).alias("layer"), device.alias("device"), *values)
+
+    box = layers["hulls"].groupBy("device").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    scale, boxes = layers["scale"], layers["boxes"]
+    no_device = F.lit(None).cast("string")
+    parts = [
+        layer(layers["points"], "points", F.col("device"), "x", "y", "val", "gps_alt"),
+        layer(scale, "scale", no_device, *scale.columns[:2], None, None),
+        layer(boxes, "boxes", F.col("device"), "x_min", "x_max", "y_min", "y_max"),
+        layer(box, "hull box", F.col("device"), "x0", "y0", "x1", "y1"),
+    ]
+    return rounded(union_tables(parts), 4)
 
-@query(
-    "WITH m AS (SELECT "
-    + ", ".join(f"{f}({c}) AS {n}_{c}" for c in _NUMBERS for n, f in (("mean", "avg"), ("std", "stddev_samp")))
-    + ", corr(l_quantity, l_extendedprice) AS r, bool_or(l_tax < 0) AS negative FROM lineitem) SELECT * FROM ("
-    + " UNION ALL ".join(
-        f"SELECT 'describe' AS report, '{c}' AS \"column\", '{n}' AS statistic, round({n}_{c}, 6) AS value FROM m"
-        for c in _NUMBERS
-        for n in ("mean", "std")
-    )
-    + " UNION ALL SELECT 'correlation', 'l_quantity', 'l_extendedprice', round(r, 6) FROM m"
-    + " UNION ALL SELECT 'signs', 'l_tax', 'negative', negative::INTEGER::DOUBLE FROM m)"
-)
+
+_STATISTICS = {
+    "count": "count({c})::DOUBLE", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})::DOUBLE",
+    "q1": "quantile_cont({c}::DOUBLE, 0.25)", "median": "quantile_cont({c}::DOUBLE, 0.5)", "q3": "quantile_cont({c}::DOUBLE, 0.75)",
+    "max": "max({c})::DOUBLE",
+}
+
+
+def _report_sql() -> str:
+    def part(report, column, statistic, value, rest=""):
+        return f"SELECT '{report}' AS report, {column} AS \"column\", {statistic} AS statistic, round({value}, 6) AS value FROM lineitem {rest}"
+
+    parts = [part("describe", f"'{c}'", f"'{n}'", e.format(c=c)) for c in _NUMBERS for n, e in _STATISTICS.items()]
+    parts += [part("signs", f"'{c}'", "'negative'", f"bool_or({c} < 0)::INTEGER::DOUBLE") for c in _NUMBERS]
+    parts += [part("correlation", f"'{a}'", f"'{b}'", "1.0::DOUBLE" if a == b else f"corr({a}, {b})", "GROUP BY ()") for a in _NUMBERS for b in _NUMBERS]
+    parts += [part("nulls", f"'{c}'", "'nulls'", f"count(*) FILTER ({c} IS NULL)::DOUBLE") for c in _NUMBERS]
+    for c in _NUMBERS:
+        counted = (
+            f"(SELECT least(29, floor(({c} - lo) / (hi - lo) * 30))::INTEGER AS bin, count(*) AS n FROM lineitem, "
+            f"(SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM lineitem) GROUP BY 1)"
+        )
+        parts.append(
+            f"SELECT 'histogram', '{c}', 'bin ' || b.bin, coalesce(n, 0)::DOUBLE FROM range(30) b(bin) LEFT JOIN {counted} h ON h.bin = b.bin"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query(_report_sql())
 def eda_report_rows(spark, sf_dir):
+    """Every row of the report's tables, but for the density, which has a query of its own."""
     from fieldcal.operators.eda import eda_report
 
     report = eda_report(lines(spark, sf_dir), _NUMBERS)
-    summary = report["describe"].unpivot(["column"], ["mean", "std"], "statistic", "value")
-    corr = report["correlation"].where("column_a = 'l_quantity' and column_b = 'l_extendedprice'")
+
+    def long(name, column, statistic, value, df=None):
+        df = report[name] if df is None else df
+        return df.select(F.lit(name).alias("report"), column.alias("column"), statistic.alias("statistic"), value.cast("double").alias("value"))
+
+    described = report["describe"].withColumn("count", F.col("count").cast("double"))
+    described = described.unpivot(["column"], [c for c in described.columns if c != "column"], "statistic", "value")
+    signs = report["signs"].unpivot([], list(_NUMBERS), "column", "negative")
+    nulls = report["nulls"].where(F.col("column").isin(list(_NUMBERS)))
     rows = [
-        summary.select(F.lit("describe").alias("report"), "column", "statistic", "value"),
-        corr.select(F.lit("correlation").alias("report"), F.col("column_a").alias("column"), F.col("column_b").alias("statistic"), F.col("r").alias("value")),
-        report["signs"].select(F.lit("signs").alias("report"), F.lit("l_tax").alias("column"), F.lit("negative").alias("statistic"), F.col("l_tax").cast("int").cast("double").alias("value")),
+        long("describe", F.col("column"), F.col("statistic"), F.col("value"), described),
+        long("signs", F.col("column"), F.lit("negative"), F.col("negative").cast("int"), signs),
+        long("correlation", F.col("column_a"), F.col("column_b"), F.col("r")),
+        long("nulls", F.col("column"), F.lit("nulls"), F.col("nulls"), nulls),
+        long("histogram", F.col("column"), F.concat(F.lit("bin "), F.col("bin")), F.col("n")),
     ]
-    return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+    return rounded(union_tables(rows))

@@ -359,37 +359,50 @@ def augmentation_mode(spark, sf_dir):
 # ---------------------------------------------------------------- lines, grids, ledgers
 
 
+def _text_lines(spark, sf_dir):
+    """The documents line by line."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", "lang", F.explode(F.split("text", "\n", -1)).alias("line"))
+
+
 @query(
-    r"""WITH a AS (SELECT text FROM documents WHERE regexp_matches(text, '\S') AND source IN (SELECT min(source) FROM documents)),
-    b AS (SELECT text FROM documents WHERE source NOT IN (SELECT min(source) FROM documents))
-    SELECT md5(text) AS line_key FROM a WHERE text NOT IN (SELECT text FROM b)"""
+    r"""WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents),
+    a AS (SELECT line FROM l WHERE regexp_matches(line, '\S') AND source IN (SELECT min(source) FROM documents)),
+    b AS (SELECT DISTINCT line FROM l WHERE source NOT IN (SELECT min(source) FROM documents))
+    SELECT md5(line) AS line_key FROM a ANTI JOIN b USING (line)"""
 )
 def lines_anti_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _text_lines(spark, sf_dir)
     first = docs.agg(F.min("source").alias("source"))
     a, b = docs.join(first, "source", "left_semi"), docs.join(first, "source", "left_anti")
-    return lines_only_in_first(a, b, "text").select(F.md5("text").alias("line_key"))
+    return lines_only_in_first(a, b, "line").select(F.md5("line").alias("line_key"))
 
 
 @query(
-    """WITH a AS (SELECT text, count(*) AS n FROM documents WHERE lang = 'en' AND trim(text) <> '' GROUP BY text),
-    b AS (SELECT text, count(*) AS n FROM documents WHERE lang <> 'en' AND trim(text) <> '' GROUP BY text)
-    SELECT count(*) FILTER (coalesce(a.n, 0) <> coalesce(b.n, 0)) AS differing,
-           count(*) FILTER (coalesce(a.n, 0) <> coalesce(b.n, 0)) = 0 AS same FROM a FULL JOIN b USING (text)"""
+    r"""WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents),
+    c AS (SELECT line, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang <> 'en') AS b FROM l
+          WHERE regexp_matches(line, '\S') GROUP BY line)
+    SELECT count(*) FILTER (a <> b) AS differing, count(*) FILTER (a <> b) = 0 AS same FROM c"""
 )
 def lines_multiset_equal(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return same_lines(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), "text")
+    docs = _text_lines(spark, sf_dir)
+    return same_lines(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), "line")
 
 
-@query("SELECT count(*) FILTER (trim(text) <> '') AS lines FROM documents")
+@query(
+    r"""SELECT count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE regexp_matches(line, '\S')"""
+)
 def line_count(spark, sf_dir):
-    return count_lines(table(spark, sf_dir, "documents"), "text")
+    return count_lines(_text_lines(spark, sf_dir), "line")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE contains(text, 'the')")
+@query(
+    """SELECT doc_id, md5(line) AS line_key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    WHERE contains(line, 'the')"""
+)
 def line_filter(spark, sf_dir):
-    return filter_lines(table(spark, sf_dir, "documents"), "text", "the").select("doc_id", "n_chars")
+    return filter_lines(_text_lines(spark, sf_dir), "line", "the").select("doc_id", F.md5("line").alias("line_key"))
 
 
 def _grid(spark, sf_dir):

@@ -3,6 +3,6 @@
 from fieldcal.catalog.registry import ORACLE, QUERIES
 
 # Importing the modules registers their queries.
-from fieldcal.catalog import analysis, fits, pipelines, shaping, significance  # noqa: F401, E402
+from fieldcal.catalog import analysis, experiments, fits, pipelines, shaping, significance  # noqa: F401, E402
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -37,6 +37,8 @@ from fieldcal.operators.metrics import linear_scaling, regression_metrics
 from fieldcal.operators.ordering import contiguous_folds, hash_key, head_condition, split_label
 from fieldcal.operators.prep import apply_scaling, augment, feature_pipeline, fit_scaling
 
+#: Models that always see all training rows, unscaled, with the plain target.
+_ON_RAW_VALUES = ("cocal_only", "basic_median_delta")
 #: Trees of the bagged model grow until their leaves are pure, or to the largest depth there is.
 _FULL_DEPTH = 30
 
@@ -73,6 +75,7 @@ GRIDS: dict[str, dict[str, list]] = {
         "featureSubsetStrategy": ["sqrt", "log2"],
         "maxDepth": [3, 6, 9, 12, 15],
         "min_leaf": [0.001, 0.01, 0.1, 1, 2, 4],
+        "validation_fraction": [0.1, 0.2, 0.3],
     },
     "bagging": {"numTrees": [10, 20, 50, 100, 150, 200]},
     "adaboost": {
@@ -133,7 +136,7 @@ class CalibrationEstimator(Estimator):
         super().__init__()
         if model not in GRIDS:
             raise ValueError(f"unknown model {model}; choose one of {sorted(GRIDS)}")
-        if model in BASELINES:  # baselines work on raw values
+        if model in _ON_RAW_VALUES:
             scaling, augmentation, log_scale_target = "none", "none", False
         self.model, self.target, self.raw = model, target, raw or list(numeric)[-1]
         self.numeric, self.categorical, self.groups = list(numeric), list(categorical), list(groups)
@@ -143,16 +146,18 @@ class CalibrationEstimator(Estimator):
 
     def _fit(self, dataset: DataFrame) -> CalibrationModel:
         setting = dict(self.getOrDefault(self.setting))
-        if self.model in BASELINES:
-            return self._post(self._fit_baseline(dataset), dataset)
         key = hash_key(self.seed, *[F.col(c) for c in self.key]) if self.key else F.lit("")
         if self.augmentation != "none" and not self.key:
             raise ValueError("augmentation needs the key columns of a row")
         rows = augment(dataset, self.augmentation, self.target, self.numeric, key, self.seed)
         scaling = fit_scaling(rows, self.numeric, self.scaling)
         scaled = apply_scaling(rows, scaling)
-        featurizer = feature_pipeline(self.categorical, self.numeric).fit(scaled)
         label = F.log1p(self.target) if self.log_scale_target else F.col(self.target).cast("double")
+        if self.model in BASELINES:
+            made = self._fit_baseline(scaled.withColumn("_label", label), "_label")
+            made.meta |= {"log_scale_target": self.log_scale_target, "scaling": {c: s for c, s in scaling.items() if s != (0.0, 1.0)}}
+            return self._post(made, rows)
+        featurizer = feature_pipeline(self.categorical, self.numeric).fit(scaled)
         keep = [*[F.col(c) for c in self.key], F.col("features"), label.alias("label")]
         ready = featurizer.transform(scaled).select(*keep)
         ready = ready.persist(StorageLevel.MEMORY_AND_DISK)  # every fit but one reads it many times
@@ -180,20 +185,26 @@ class CalibrationEstimator(Estimator):
             return fit_adaboost_r2(ready, seed=self.seed, **setting)
         if self.model == "knn":
             return fit_knn(ready, **setting)
+        if "validation_fraction" in setting:
+            # A hashed share of the rows is held back; boosting stops when their error no longer falls.
+            row = hash_key(self.seed, F.lit("validation"), *([F.col(c) for c in self.key] or [F.xxhash64(vector_to_array("features"), "label")]))
+            share = F.conv(F.left(row, F.lit(8)), 16, 10).cast("double") / float(2**32)
+            ready = ready.withColumn("validate", share < setting["validation_fraction"])
+            setting = {k: v for k, v in setting.items() if k != "validation_fraction"} | {"validationIndicatorCol": "validate"}
         return make_regressor(self.model, setting, self.seed).fit(ready)
 
-    def _fit_baseline(self, train: DataFrame) -> CalibrationModel:
+    def _fit_baseline(self, train: DataFrame, target: str) -> CalibrationModel:
         meta: dict[str, Any] = {
             "model": self.model, "raw": self.raw, "groups": self.groups, "offset": 0.0,
             "log_scale_target": False, "slope": 1.0, "intercept": 0.0,
         }
         offsets = None
         if self.model == "basic_median":
-            meta["offset"] = baseline.median_of_target(train, self.target)
+            meta["offset"] = baseline.median_of_target(train, target)
         elif self.model in ("basic_median_plain_delta", "basic_median_delta"):
-            meta["offset"] = baseline.median_of_delta(train, self.target, self.raw)
+            meta["offset"] = baseline.median_of_delta(train, target, self.raw)
         if self.model == "basic_median_delta":
-            offsets = baseline.group_offsets(train, self.target, self.raw, self.groups)
+            offsets = baseline.group_offsets(train, target, self.raw, self.groups)
         return CalibrationModel(meta, None, offsets)
 
     def _post(self, made: CalibrationModel, rows: DataFrame) -> CalibrationModel:
@@ -220,7 +231,9 @@ class CalibrationModel(Model):
         if meta["model"] in BASELINES:
             if meta["model"] == "basic_median_delta":
                 return baseline.grouped_prediction(df, meta["raw"], self.fitted, meta["groups"], meta["offset"])
-            return baseline.shifted_prediction(df, meta["raw"], meta["offset"])
+            center, scale = meta.get("scaling", {}).get(meta["raw"], (0.0, 1.0))
+            shifted = (F.col(meta["raw"]) - F.lit(float(center))) / F.lit(float(scale)) + F.lit(float(meta["offset"]))
+            return df.withColumn("prediction", shifted)
         # The original numbers are carried under other names while their scaled form is used.
         carried = df.withColumns({f"_raw_{c}": F.col(c) for c in meta["numeric"]})
         predicted = self.fitted.transform(self.featurizer.transform(apply_scaling(carried, meta["scaling"])))
@@ -333,7 +346,16 @@ def train_and_score(
     n_iter: int = 40, cv: int = 4, n_train_records: int = 0, zone: str = "zone",
     grid: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
-    """Train on a seeded share of the main zone and score every zone.
+    """Scores of :func:`train_zones`."""
+    return train_zones(zones, main_zone, estimator, key, test_size, n_iter, cv, n_train_records, zone, grid)[2]
+
+
+def train_zones(
+    zones: DataFrame, main_zone: str, estimator: CalibrationEstimator, key: Sequence[str], test_size: float = 0.3,
+    n_iter: int = 40, cv: int = 4, n_train_records: int = 0, zone: str = "zone",
+    grid: Mapping[str, Sequence] | None = None,
+) -> tuple[CalibrationModel, list[tuple[dict[str, Any], float]], DataFrame]:
+    """Train on a seeded share of the main zone and score every zone: the model, the settings tried, the scores.
 
     The main zone is scored on its train and test rows, any other zone on all its rows. One
     ``transform`` and one aggregation give r2, mae, mse and rmse, also after adding the raw value back.
@@ -343,13 +365,13 @@ def train_and_score(
     label = split_label(zones.where(main), key, test_size, seed)
     labelled = zones.withColumn("split", F.when(main, label).otherwise("test"))
     in_train = F.col("split") == "train"  # only main-zone rows are ever labelled so
-    if estimator.model in BASELINES:
+    if estimator.model in _ON_RAW_VALUES:
         n_train_records = 0
     kept = head_condition(labelled.where(in_train), key, n_train_records, seed)
     train = labelled.where(in_train & kept)
     if len(GRIDS[estimator.model] if grid is None else grid) > 0:
-        model = random_search(estimator, train.drop("split"), key, n_iter, cv, seed, grid=grid)[0]
+        model, tried = random_search(estimator, train.drop("split"), key, n_iter, cv, seed, grid=grid)
     else:
-        model = estimator.fit(train.drop("split"))
+        model, tried = estimator.fit(train.drop("split")), []
     scored = model.transform(labelled.where(~in_train | kept))
-    return regression_metrics(scored, estimator.target, "prediction", [zone, "split"], raw=estimator.raw)
+    return model, tried, regression_metrics(scored, estimator.target, "prediction", [zone, "split"], raw=estimator.raw)

@@ -7,8 +7,9 @@ is rare-first and the same for all documents. Two documents of similarity t shar
 
 Candidates. Documents with equal sets are one from the start. Prefix tokens of the others are joined; a pair passes if its
 sizes allow t (length filter), if the tokens left after the shared one still allow it (positional filter, which
-the first shared token of a true pair always passes), and if counts of its tokens by hash class allow it (a
-suffix filter that splits by hash). Each pair that is left is verified once on the whole sets.
+the first shared token of a true pair always passes), and if a sketch of the rest allows it (suffix filter: each
+token flips one of ``SKETCH_LONGS * 64`` bits, so the differing bits of two sketches are at most the differing tokens of two
+sets). These are conditions of the join itself. Each pair that is left is verified once on the whole sets.
 
 Groups. Many documents may share a rare token, such as the copies of one page with small changes. So a first round
 pairs each document only with a few pivots of its token, and joins what they link. Tokens whose documents
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldcal.llm.scratch import saved
 from fieldcal.llm.tokens import byte_values, list_array, mix, prefix_hash, runs, span_hash, text_blocks, word_class
-from fieldcal.session import stored
 
 #: log2 of the places in the table of shingle counts.
 SKETCH_BITS = 20
-#: Hash classes of the suffix filter.
-CLASSES = 16
+#: 64-bit words of the sketch of the suffix filter.
+SKETCH_LONGS = 8
 _CHUNK = 1 << 14
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -118,11 +119,6 @@ def _token_sets(data: np.ndarray, offsets: np.ndarray, n: int, classes: np.ndarr
     return np.concatenate(parts), sizes
 
 
-def least_overlap(a, b, num: int, den: int):
-    """Smallest intersection of sets of sizes a and b with intersection / union >= num / den (Columns or arrays)."""
-    return -((-num * (a + b)) // (num + den))
-
-
 def _per_segment(ufunc, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(sizes), values.dtype)
     full = np.flatnonzero(sizes)
@@ -132,7 +128,7 @@ def _per_segment(ufunc, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches, n: int, num: int, den: int, classes) -> Iterator[pa.RecordBatch]:
-    """id, mark, text → id, mark, set signature, size, prefix tokens, counts by hash class."""
+    """id, mark, text → id, mark, set signature, size, prefix tokens, sketch."""
     for batch in batches:
         for a, b, data, offsets in text_blocks(batch.column(2)):
             tokens, sizes = _token_sets(data, offsets, n, classes.value)
@@ -141,7 +137,9 @@ def _describe(batches, n: int, num: int, den: int, classes) -> Iterator[pa.Recor
             within = np.arange(len(tokens)) - np.repeat(first, sizes)
             head = tokens[within < np.repeat(prefix, sizes)]
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            profile = np.bincount(owner * CLASSES + (tokens % np.uint64(CLASSES)).astype(np.int64), minlength=len(sizes) * CLASSES)
+            bits = SKETCH_LONGS * 64
+            flips = np.bincount(owner * bits + (tokens % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits)
+            sketch = np.packbits((flips & 1).astype(bool)).view(np.int64)
             keys = [batch.column(i).slice(a, b - a) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -149,9 +147,9 @@ def _describe(batches, n: int, num: int, den: int, classes) -> Iterator[pa.Recor
                     pa.array(_per_segment(np.add, mix(tokens), sizes).view(np.int64)),
                     pa.array(_per_segment(np.bitwise_xor, mix(tokens ^ _ODD), sizes).view(np.int64)),
                     pa.array(sizes), list_array(head.view(np.int64), prefix, pa.int64()),
-                    list_array(profile, np.full(len(sizes), CLASSES), pa.int32()),
+                    list_array(sketch, np.full(len(sizes), SKETCH_LONGS), pa.int64()),
                 ],
-                ["id", "mark", "s1", "s2", "n", "prefix", "profile"],
+                ["id", "mark", "s1", "s2", "n", "prefix", "sketch"],
             )
 
 
@@ -185,14 +183,14 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label of that label; long chains shrink by half
     or more in a round.
     """
-    edges = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    edges = saved(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         closer = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        closer = stored(closer, "closer")
+        closer = saved(closer, "closer")
         jump = closer.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = stored(
+        after = saved(
             closer.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels"
         )
         if after.filter("label <> old").isEmpty():
@@ -210,89 +208,86 @@ def jaccard_components(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(rarity(rows, "text", n))  # 2 ** SKETCH_BITS bytes
-    schema = "id long, mark long, s1 long, s2 long, n long, prefix array<long>, profile array<int>"
-    described = stored(rows.mapInArrow(lambda b: _describe(b, n, num, den, classes), schema), "described")
+    schema = "id long, mark long, s1 long, s2 long, n long, prefix array<long>, sketch array<long>"
+    described = saved(rows.mapInArrow(lambda b: _describe(b, n, num, den, classes), schema), "described")
 
     # One node for each different set: its smallest id (and that row's text).
     signature = ["s1", "s2", "n"]
-    own = described.filter("n > 0 and id is not null")
-    nodes = stored(own.groupBy(*signature).agg(F.min("id").alias("node")), "nodes")
+    real = described.filter("n > 0 and id is not null")
+    nodes = saved(real.groupBy(*signature).agg(F.min("id").alias("node")), "nodes")
     # An id with several different sets stands for several nodes of the same number, which are then one.
-    heads = own.join(nodes, signature).filter("id = node")
-    held = heads.groupBy("node", *signature).agg(F.first("prefix").alias("prefix"), F.first("profile").alias("profile"), F.first("mark").alias("mark"))
-    held = held.withColumn("key", F.xxhash64("node", *signature))
-    held = stored(held, "held")
+    heads = real.join(nodes, signature).filter("id = node")
+    held = heads.groupBy("node", *signature).agg(F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("mark").alias("mark"))
+    held = saved(held.withColumn("key", F.xxhash64("node", *signature)), "held")
     posted = held.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = stored(posted.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
-    postings = stored(posted.join(shared, "token"), "postings")
-    lookup = held.select("key", "n", "profile")
-
-    def fit(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Column:
-        """Length and positional filter."""
-        small, large = F.least(a_n, b_n), F.greatest(a_n, b_n)
-        rest = 1 + F.least(a_n - a_pos, b_n - b_pos) - 1
-        return (den * small >= num * large) & ((num + den) * rest >= num * (a_n + b_n))
+    shared = saved(posted.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
+    postings = saved(posted.join(shared.hint("merge"), "token"), "postings")
+    postings = saved(postings.join(held.select("key", "sketch").hint("merge"), "key"), "sketched")
+
+    def fit(a: dict[str, Column], b: dict[str, Column]) -> Column:
+        """Length, positional and suffix filter."""
+        whole = a["n"] + b["n"]
+        rest = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
+        differing = sum((F.bit_count(F.get(a["sketch"], F.lit(i)).bitwiseXOR(F.get(b["sketch"], F.lit(i)))) for i in range(SKETCH_LONGS)), F.lit(0))
+        return (
+            (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"])) & ((num + den) * rest >= num * whole)
+            & ((num + den) * differing <= (den - num) * whole)
+        )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of keys that pass the suffix filter and then the comparison of the whole sets."""
-        both = (
-            pairs.join(lookup.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa")), "a")
-            .join(lookup.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb")), "b")
-        )
-        most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        open_ = stored(both.filter((num + den) * most >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
-        involved = open_.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = stored(involved.join(held.select("key", "node", "mark"), "key"), "involved")
-        texts = rows.join(wanted, (F.col("id") == F.col("node")) & (rows["mark"] == wanted["mark"])).select("key", "text")
+        """Links among pairs (a, b) of keys, by comparison of the whole sets."""
+        involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = saved(involved.join(held.select("key", "node", "mark"), "key"), "involved")
+        texts = rows.join(wanted.hint("merge"), (F.col("id") == F.col("node")) & (rows["mark"] == wanted["mark"])).select("key", "text")
         sets = texts.dropDuplicates(["key"]).mapInArrow(lambda b: _sets(b, n, classes), "node long, tokens binary")
-        sets = stored(sets, "sets")
-        whole = open_.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(
+        sets = saved(sets, "sets")
+        whole = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").hint("merge").join(
             sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"
         )
-        return stored(whole.select("a", "b", "ta", "tb").mapInArrow(lambda b: _verify(b, num, den), "a long, b long"), "links")
+        return saved(whole.select("a", "b", "ta", "tb").mapInArrow(lambda b: _verify(b, num, den), "a long, b long"), "links")
 
     def one_way(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # First round: every document with three pivots of each of its tokens.
-    place = F.struct("n", "key", "pos")
+    place = F.struct("n", "key", "pos", "sketch")
     pivots = postings.groupBy("token").agg(
         F.min(place).alias("p0"), F.max(place).alias("p1"), F.min_by(place, F.xxhash64("key", "token")).alias("p2")
     )
-    pivots = stored(
-        pivots.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p"))
-        .select("token", F.col("p.n").alias("bn"), F.col("p.key").alias("b"), F.col("p.pos").alias("bpos")),
-        "pivots",
+    pivots = saved(pivots.select("token", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("p")), "pivots")
+    own = {c: F.col(c) for c in ("n", "pos", "sketch")}
+    star = postings.join(
+        pivots.withColumnRenamed("token", "t").hint("merge"),
+        (F.col("token") == F.col("t")) & (F.col("key") != F.col("p.key")) & fit(own, {c: F.col(f"p.{c}") for c in own}),
     )
-    star = postings.withColumnRenamed("key", "a").join(pivots, "token")
-    star = star.filter((F.col("a") != F.col("b")) & fit(F.col("n"), F.col("pos"), F.col("bn"), F.col("bpos")))
-    links = verified(one_way(star))
+    star = saved(one_way(star.select(F.col("key").alias("a"), F.col("p.key").alias("b"))), "star")
+    links = verified(star)
     label = components(links)
 
     # Second round: tokens that hold more than one component, pairs of different components.
-    marked = stored(
+    marked = saved(
         postings.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "marked"
     )
-    mixed = stored(
+    mixed = saved(
         marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token"), "mixed"
     )
-    left = stored(marked.join(mixed, "token"), "left")
-    right = left.select("token", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bpos"), F.col("label").alias("blabel"))
-    rest = left.withColumnRenamed("key", "a").join(
-        right,
-        (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & (F.col("label") != F.col("blabel"))
-        & fit(F.col("n"), F.col("pos"), F.col("bn"), F.col("bpos")),
+    left = saved(marked.join(mixed.hint("merge"), "token"), "left")
+    other = left.select(*[F.col(c).alias(f"_{c}") for c in left.columns])
+    rest = left.join(
+        other.hint("merge"),
+        (F.col("token") == F.col("_token")) & (F.col("key") < F.col("_key")) & (F.col("label") != F.col("_label"))
+        & fit(own, {c: F.col(f"_{c}") for c in own}),
     )
-    fresh = one_way(rest).join(one_way(star), ["a", "b"], "left_anti")
-    links = links.unionAll(verified(fresh))
+    rest = one_way(rest.select(F.col("key").alias("a"), F.col("_key").alias("b")))
+    links = links.unionAll(verified(saved(rest.join(star, ["a", "b"], "left_anti"), "rest")))
 
     # Links of keys become links of ids; an id with several sets joins their components.
     ids = held.select("key", "node")
     named = links.join(ids.withColumnRenamed("key", "a").withColumnRenamed("node", "u"), "a").join(
         ids.withColumnRenamed("key", "b").withColumnRenamed("node", "v"), "b"
     )
-    several = own.join(nodes, signature).filter("id <> node")
-    ties = several.join(own.groupBy("id").agg(F.count_distinct("s1", "s2", "n").alias("k")).filter("k > 1").select("id"), "id")
+    several = real.join(nodes, signature).filter("id <> node")
+    ties = several.join(real.groupBy("id").agg(F.count_distinct("s1", "s2", "n").alias("k")).filter("k > 1").select("id"), "id")
     named = named.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(ties.select(F.col("id").alias("a"), F.col("node").alias("b")))
     final = components(named.filter("a <> b"))
     return (

@@ -3,7 +3,8 @@
 The built-in exact percentile keeps every distinct value of a group in one aggregation
 buffer. Here a mergeable sketch first brackets each wanted quantile; a second pass counts,
 with map-side combine, the few values inside the brackets and only *how many* rows lie
-between them. The order statistics are then read from those counts. Two scans, no shuffle
+between them. Brackets are cut into many value ranges: their counts, a bounded number per group, say which
+range holds an order statistic, and only the values of such ranges are ranked. Two scans, no shuffle
 of the values outside the brackets, and the result is exact (linear interpolation).
 """
 
@@ -19,12 +20,19 @@ from fieldcal.session import join_lookup
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+#: Value ranges in a bracket.
+_RANGES = 1024
+
+
 def _bracket(lows: Sequence[Column], highs: Sequence[Column], v: Column) -> Column:
-    """Place a value: itself when inside a bracket, else the lower edge of the next bracket."""
+    """Place a value: itself when inside a bracket, else the lower edge of the next bracket; ``slot`` numbers gaps and ranges."""
     placed = None
-    for low, high in zip(lows, highs):
-        gap = F.struct(low.alias("at"), F.lit(False).alias("inside"))
-        own = F.struct(v.alias("at"), F.lit(True).alias("inside"))
+    for i, (low, high) in enumerate(zip(lows, highs)):
+        first = i * (_RANGES + 2)
+        share = F.nanvl(F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0)), F.lit(0.0))
+        slot = F.lit(first + 1) + F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * _RANGES).cast("int")
+        gap = F.struct(low.alias("at"), F.lit(False).alias("inside"), F.lit(first).alias("slot"))
+        own = F.struct(v.alias("at"), F.lit(True).alias("inside"), slot.alias("slot"))
         placed = F.when(v < low, gap) if placed is None else placed.when(v < low, gap)
         placed = placed.when(v <= high, own)
     return placed
@@ -90,11 +98,21 @@ def exact_quantiles(
     counted = (
         placed.select(*keys, *carried, _bracket(lows, highs, F.col("_v")).alias("_p"))
         .where(F.col("_p").isNotNull())
-        .groupBy(*keys, *carried, F.col("_p.at").alias("_at"), F.col("_p.inside").alias("_inside"))
+        .groupBy(*keys, *carried, F.col("_p.at").alias("_at"), F.col("_p.inside").alias("_inside"), F.col("_p.slot").alias("_slot"))
         .agg(F.count("*").alias("_c"))
     )
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_at", "_inside")
-    ranked = counted.withColumn("_end", F.sum("_c").over(order))
+    # A bounded number of slots per group: where does each begin, and does it hold a wanted rank?
+    slots = counted.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_all"))
+    end = F.sum("_size").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slot"))
+    slots = slots.withColumn("_base", end - F.col("_size"))
+    wanted = F.lit(False)
+    for name in names:
+        for rank in (F.floor, F.ceil):
+            at = rank((F.col("_all") - 1) * F.lit(float(probs[name])))
+            wanted = wanted | ((F.col("_base") <= at) & (at < F.col("_base") + F.col("_size")))
+    slots = slots.where(wanted).select(*keys, "_slot", "_base")
+    order = Window.partitionBy(*keys, "_slot").orderBy("_at", "_inside")
+    ranked = counted.join(slots, [*keys, "_slot"]).withColumn("_end", F.col("_base") + F.sum("_c").over(order))
 
     def order_statistic(rank: Column) -> Column:
         covers = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)

@@ -29,7 +29,7 @@ from fieldcal.session import stored
 
 #: Hashed features; labelled documents of each label that the weights may be trained on.
 BUCKETS = 1 << 17
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 2_000
 ROUNDS = 250
 #: Features in fewer documents of the sample have no weight.
 LEAST_DOCUMENTS = 6
@@ -166,6 +166,7 @@ def train(
     lengths = np.concatenate([*rows["lengths"]]).astype(np.int64)
     bucket = np.concatenate([*rows["words"]]).astype(np.int64)
     doc = np.repeat(np.arange(len(y)), [len(x) for x in rows["lengths"]])
+    del rows
     if not len(bucket):
         return float(share)
     weights, bias = fit(bucket, np.repeat(np.arange(len(lengths)), lengths), doc, y)

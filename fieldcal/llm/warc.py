@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcal.session import scratch_path, stored
+from fieldcal.llm.scratch import saved, shuffle_files_removed
+from fieldcal.session import scratch_path
 
 VERSION = "WARC/1.1"
 #: Characters in a chunk, and in the block of one record.
@@ -75,10 +76,10 @@ def write_warc(
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     pages = pages.withColumn("sha", F.sha1(F.encode("payload", "UTF-8"))).withColumn("check", F.xxhash64("payload"))
-    known = stored(pages.select("id", "sha", "check", F.octet_length("payload").alias("n_bytes")), "digests")
+    known = saved(pages.select("id", "sha", "check", F.octet_length("payload").alias("n_bytes")), "digests")
     same = ["sha", "check", "n_bytes"]
     groups = known.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = known.join(groups, same).filter("id > first").select("id", "sha", "first").distinct()
+    again = saved(known.join(groups, same).filter("id > first").select("id", "sha", "first").distinct(), "revisits")
     rows = pages.join(again, ["id", "sha"], "left").withColumn("uuid", F.uuid())
     url = F.replace(F.regexp_replace("url", r"[\x00-\x20]", "%20"), F.lit("WARC/"), F.lit("WARC%2F"))
     name = F.coalesce(F.col("id").cast("string"), F.lit("null"))
@@ -113,7 +114,8 @@ def write_warc(
         ("Content-Length", length),
     )
     text = F.concat(F.when(is_first, head).otherwise(more), F.lit("\r\n"), "part")
-    rows.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    with shuffle_files_removed(pages.sparkSession):
+        rows.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def unchunk(body: bytes) -> bytes:
@@ -239,7 +241,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         F.col("origin").alias("record_id"), page.alias("page_id"), F.col("kind").alias("record_type"), refers.alias("refers_to"),
         "payload", "payload_bytes", "payload_digest", "error",
     )
-    records = stored(records, "records")
+    records = saved(records, "records")
     lengths = (
         records.filter("record_type = 'response' and error is null")
         .join(records.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct(), "page_id")

@@ -65,11 +65,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 def copies(
     docs: DataFrame, key: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7,
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: key, size, source_size, target, n_copies, taken."""
+    """One row per document: key, size, source_size, target, n_copies, taken, and the columns of ``carry``."""
     sizes = stored(
-        docs.select(F.col(key).alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
+        docs.select(
+            F.col(key).alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carry
+        ),
         "sizes",
     )
     targets = source_targets(sizes, weights, most)
@@ -92,7 +94,7 @@ def copies(
         .withColumn("n_copies", F.least(F.lit(most).cast("long"), crossed))
         .select(
             F.col("key").alias(key), "size", "source_size", "target", "n_copies",
-            (F.col("n_copies") * F.col("size")).alias("taken"),
+            (F.col("n_copies") * F.col("size")).alias("taken"), *carry,
         )
     )
 
@@ -100,15 +102,17 @@ def copies(
 def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mixed documents, each as often as it is taken, with their own columns.
 
-    Rows that share a key but not a source or text are told apart by the hash of the row.
+    The order in a source is by a hash of key, source and text. Each row has a number of its own, by which it gets the copies
+    of its own place, also among rows repeated whole; the rows are written with it, so that both sides agree on it.
     """
     names = docs.columns
     text_col, source_col = options.get("text_col", "text"), options.get("source_col", "source")
     mark = F.xxhash64(F.col(key), F.col(source_col), F.col(text_col))
     rows = docs.withColumn("__mark", F.struct(F.col(key).alias("key"), mark.alias("mark")))
-    counts = copies(rows, "__mark", **options).groupBy("__mark").agg(F.max("n_copies").alias("__n"))
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    taken = copies(rows, "__mark", carry=("__row",), **options).filter("n_copies > 0")
     return (
-        rows.join(counts.filter("__n > 0"), "__mark")
+        rows.join(taken.select("__row", "n_copies").withColumnRenamed("n_copies", "__n"), "__row")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
         .select(*names)
     )

@@ -97,6 +97,22 @@ def test_mixing(frame):
         assert abs(taken.get(size, 0) - target) <= 3 * max(r.size for r in members)
 
 
+def test_mixing_of_rows_repeated_whole(frame):
+    """Each of them gets the copies of its own place, as in ``copies``, not those of the luckiest."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a")] * 300 + [(2, text, "c")] * 300 + [(3, text, "b")] * 100 + [(10 + i, text, "b") for i in range(200)]
+    rows += [(4, text, None)] * 7
+    frames = frame(rows)
+    want: dict = {}
+    for r in copies(frames).withColumnRenamed("doc_id", "d").collect():
+        source = {1: "a", 2: "c", 4: None}.get(r.d, "b")
+        want[source] = want.get(source, 0) + r.n_copies
+    got: dict = {}
+    for r in mixed(frames).collect():
+        got[r.source] = got.get(r.source, 0) + 1
+    assert got == want and 2 * got["a"] < 320 and got["c"] < 480
+
+
 def test_mixing_all_rows_and_empty(frame):
     assert mixed(frame(ROWS)).count() > 0
     assert copies(frame(ROWS).limit(0)).collect() == []

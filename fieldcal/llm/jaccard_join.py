@@ -40,6 +40,8 @@ SKETCH_BITS = 20
 #: 64-bit words of the sketch of the suffix filter.
 SKETCH_LONGS = 8
 _CHUNK = 1 << 14
+#: Parts of the rows that are repeated whole.
+_SALTS = 16
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -198,13 +200,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def jaccard_components(
-    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """id, mark (hash of the text), n_shingles, component_id of every row; similarity is at least num / den.
+#: Columns that tell sets apart.
+_SIGNATURE = ["s1", "s2", "n"]
 
-    ``id_col`` holds whole numbers.
-    """
+
+def _key() -> Column:
+    """Number of a set, from its smallest id and its signature."""
+    return F.xxhash64("node", *_SIGNATURE)
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """Rows with the signature of their sets, node (smallest id) of each set, key and node of each set, links of keys."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     classes = spark.sparkContext.broadcast(rarity(rows, "text", n))  # 2 ** SKETCH_BITS bytes
@@ -212,13 +218,13 @@ def jaccard_components(
     described = saved(rows.mapInArrow(lambda b: _describe(b, n, num, den, classes), schema), "described")
 
     # One node for each different set: its smallest id (and that row's text).
-    signature = ["s1", "s2", "n"]
+    signature = _SIGNATURE
     real = described.filter("n > 0 and id is not null")
     nodes = saved(real.groupBy(*signature).agg(F.min("id").alias("node")), "nodes")
     # An id with several different sets stands for several nodes of the same number, which are then one.
     heads = real.join(nodes, signature).filter("id = node")
     held = heads.groupBy("node", *signature).agg(F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("mark").alias("mark"))
-    held = saved(held.withColumn("key", F.xxhash64("node", *signature)), "held")
+    held = saved(held.withColumn("key", _key()), "held")
     posted = held.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = saved(posted.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
     postings = saved(posted.join(shared.hint("merge"), "token"), "postings")
@@ -280,9 +286,20 @@ def jaccard_components(
     )
     rest = one_way(rest.select(F.col("key").alias("a"), F.col("_key").alias("b")))
     links = links.unionAll(verified(saved(rest.join(star, ["a", "b"], "left_anti"), "rest")))
+    return described, nodes, held.select("key", "node"), links
 
+
+def jaccard_components(
+    docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """id, mark (hash of the text), n_shingles, component_id of every row; similarity is at least num / den.
+
+    ``id_col`` holds whole numbers.
+    """
+    described, nodes, ids, links = _linked(docs, n, num, den, id_col, text_col)
+    signature = _SIGNATURE
+    real = described.filter("n > 0 and id is not null")
     # Links of keys become links of ids; an id with several sets joins their components.
-    ids = held.select("key", "node")
     named = links.join(ids.withColumnRenamed("key", "a").withColumnRenamed("node", "u"), "a").join(
         ids.withColumnRenamed("key", "b").withColumnRenamed("node", "v"), "b"
     )
@@ -299,7 +316,25 @@ def jaccard_components(
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component one document stays: the row whose id names it. Rows in no component, or without an id, all stay."""
-    found = jaccard_components(docs, n, num, den, id_col, text_col)
-    gone = found.filter("id <> component_id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    """Of each component one row stays: that of the smallest id, of its texts that of the smallest mark, of equal rows one.
+
+    A row belongs to a component by its own set: rows that share an id are judged each by its text. Rows whose text has no
+    words, or without an id, all stay.
+    """
+    described, nodes, _, links = _linked(docs, n, num, den, id_col, text_col)
+    label = components(links)
+    sets = nodes.withColumn("key", _key()).join(label.withColumnRenamed("node", "key"), "key", "left")
+    sets = sets.select(*_SIGNATURE, F.coalesce("label", "key").alias("component"))
+    found = described.filter("n > 0 and id is not null").select("id", "mark", *_SIGNATURE).join(sets, _SIGNATURE)
+    texts = saved(found.groupBy("id", "mark", "component").agg(F.count("*").alias("times")), "texts")
+    first = texts.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("first")).select("first.id", "first.mark")
+    first = saved(first, "first")
+    own = ["__id", "__mark"]
+    gone = saved(texts.join(first, ["id", "mark"], "left_anti").select("id", "mark").toDF(*own), "gone")
+    again = saved(texts.filter("times > 1").join(first, ["id", "mark"], "left_semi").select("id", "mark").toDF(*own), "again")
+    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", F.xxhash64(F.col(text_col)))
+    # Rows of one text are dealt by a salt; each task then drops its own repeats before the texts meet.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int")
+    salted = again.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    once = rows.withColumn("__salt", salt).join(salted, [*own, "__salt"], "left_semi").drop("__salt").dropDuplicates(own)
+    return rows.join(gone.unionAll(again), own, "left_anti").unionAll(once).select(*docs.columns)

@@ -252,6 +252,17 @@ def test_jaccard_edge_rows(frame):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _, _ in ROWS if i not in (2, 7, 9))
 
 
+def test_keep_one_where_ids_are_not_unique(frame):
+    near, other, alone = _prose(50, 90), _prose(51, 60), _prose(52, 70)
+    rows = [(3, near, "a"), (7, near + " end", "a"), (7, other, "b")]  # only the first text of id 7 is a near copy
+    rows += [(20, alone, "c")] * 40 + [(21, alone + " end", "c")] * 30  # rows repeated whole are one document
+    rows += [(30, near[::-1], "d")] * 5  # without any other text
+    rows += [(40, "", "e"), (40, "", "e"), (None, near, "f"), (None, near, "f")]  # no words or no id: all stay
+    kept = sorted((str(r.doc_id), r.text, r.source) for r in jaccard_join.keep_one(frame(rows)).collect())
+    want = [rows[0], rows[2], (20, alone, "c"), (30, near[::-1], "d"), *rows[-4:]]
+    assert kept == sorted((str(i), t, s) for i, t, s in want)
+
+
 # ---------------------------------------------------------------- classifiers
 
 

@@ -37,7 +37,15 @@ LENGTH = 100
 #: Bytes by which positions are chosen and first ranked; windows that round 3 ranks as one.
 SEED = 50
 STEP = 12
-_SHAPE = 1 << 10  # a stretch's shape is (place of the position in it) * _SHAPE + (number of windows)
+_MOST_WINDOWS = 46_340  # of a stretch, so that its shape fits into 32 bits
+
+
+def _base(length: int, seed: int) -> int:
+    """Base of a stretch's shape: (place of the position in it) * base + (number of windows, less than base)."""
+    width = length - seed + 1
+    if not (seed > 0 and 0 < width <= _MOST_WINDOWS):
+        raise ValueError(f"length - seed + 1 must be in 1 to {_MOST_WINDOWS} and seed positive: length {length}, seed {seed}")
+    return width + 1
 
 
 def _rolling(prefix: np.ndarray, size: int) -> np.ndarray:
@@ -112,6 +120,7 @@ def _seeds(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterato
 
 def _pairs(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
     """id, key, text → rank, pair, document, stretch of each sampled position, and whether its block settles it."""
+    base = _base(length, seed)
     for batch in batches:
         ids, marks = (batch.column(i).to_numpy() for i in (0, 1))
         for a, b, offsets, prefix, keys, doc, first, count, at in _block(batch, 2, seed, length):
@@ -120,7 +129,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterato
             place = first - offsets[doc]
             arrays = [
                 r1.view(np.int64), r2.view(np.int64), ids[a + doc], marks[a + doc], place.astype(np.int32),
-                ((at - first) * _SHAPE + count).astype(np.int32), _settled(ids[a:b], doc, place, r2, r1),
+                ((at - first) * base + count).astype(np.int32), _settled(ids[a:b], doc, place, r2, r1),
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["r1", "r2", "id", "key", "first", "shape", "settled"])
 
@@ -132,13 +141,13 @@ def _lists(batch: pa.RecordBatch, a: int, b: int, *columns: int) -> tuple[np.nda
     return doc, *(p.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for p in parts)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], length: int, base: int) -> Iterator[pa.RecordBatch]:
     """id, key, text, firsts, shapes → rank, document, first window and number of windows of each group of neighbours."""
     for batch in batches:
         ids, marks = (batch.column(i).to_numpy() for i in (0, 1))
         for a, b, data, offsets in text_blocks(batch.column(2)):
             doc, first, shape = _lists(batch, a, b, 3, 4)
-            back, count = shape // _SHAPE, shape % _SHAPE
+            back, count = shape // base, shape % base
             # Windows by their distance before the position: from back - count + 1 to back, in steps.
             low = (back - count + 1) // STEP
             steps = back // STEP - low + 1
@@ -207,6 +216,8 @@ def _per_document(rows: DataFrame, *values: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """id, key, first, count: runs of windows that also start earlier. ``docs`` has id, key (no nulls) and text (binary)."""
 
+    base = _base(length, seed)
+
     def with_texts(lists: DataFrame) -> DataFrame:
         own = (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key"))
         return docs.join(lists, own).select("id", "key", "text", *lists.columns[2:])
@@ -217,7 +228,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     # Round 2
     schema = "r1 long, r2 long, id long, key long, first int, shape int, settled boolean"
     pairs = saved(docs.mapInArrow(lambda b: _pairs(b, length, seed), schema).join(ranks, "r1", "left_semi"), "pairs")
-    count = F.col("shape") % _SHAPE
+    count = F.col("shape") % base
     settled = pairs.filter("settled").select("id", "key", "first", count.alias("count"))
     equal = pairs.filter("not settled").groupBy("r1", "r2").agg(F.min("id").alias("least"), F.count("*").alias("times"))
     equal = saved(equal, "equal")
@@ -230,7 +241,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     # Round 3
     texts = with_texts(_per_document(judged.filter("not again"), "first", "shape"))
     groups = saved(
-        texts.mapInArrow(lambda b: _groups(b, length), "rank long, id long, key long, first int, count int"), "groups"
+        texts.mapInArrow(lambda b: _groups(b, length, base), "rank long, id long, key long, first int, count int"), "groups"
     )
     ranks = saved(groups.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"), "group_ranks")
     shared = saved(groups.join(ranks, "rank", "left_semi").select("id", "key", "first", "count"), "shared")

@@ -222,6 +222,18 @@ def test_substring_dedup_edge_rows(frame):
     assert substring_dedup.substring_dedup(frame(ROWS).limit(0)).collect() == []
 
 
+def test_substring_dedup_of_long_strings(frame):
+    """Stretches of more than 1,023 windows."""
+    base = _prose(61, 1500)
+    docs = {1: base, 2: _prose(62, 300) + base[500:5000], 3: base[:1999], 4: base[1000:3000] + _prose(63, 50)}
+    got = substring_dedup.substring_dedup(frame([(k, v, "a") for k, v in docs.items()]), length=2000).collect()
+    want = brute.repeated_bytes(docs, 2000)
+    assert {r.doc_id: bytes(r.kept) for r in got} == {k: bytes(w[3]) for k, w in want.items()}
+    for length, seed in ((49, 50 + 1), (50_000, 50), (100, 0)):
+        with pytest.raises(ValueError):
+            substring_dedup.substring_dedup(frame(ROWS), length, seed)
+
+
 # ---------------------------------------------------------------- Jaccard join
 
 

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcal.llm.bpe import bpe
+from fieldcal.llm.collocations import collocations
 from fieldcal.llm.exact_dedup import exact_dedup
+from fieldcal.llm.fill_in_middle import fill_in_middle, restored
 from fieldcal.llm.jaccard_join import jaccard_components
 from fieldcal.llm.line_dedup import MIN_SITES, line_dedup
 from fieldcal.llm.mixing import copies
 from fieldcal.llm.quality import score_quality
+from fieldcal.llm.simhash import hex_digits, simhash_components
 from fieldcal.llm.substring_dedup import substring_dedup
 from fieldcal.llm.topk_search import top_k
 from fieldcal.llm.toxicity import score_toxicity, train
@@ -204,3 +207,72 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JO
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query(
+    r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:(i + k - 1)::BIGINT], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3]) AS k)),
+frequent AS (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM frequent WHERE k > 1),
+scored AS (
+  SELECT x.lang, x.k, x.phrase, x.a, c, l.f AS l, r.f AS r,
+         ((1000000::HUGEINT * x.a::HUGEINT * x.a::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT))::BIGINT AS score
+  FROM cuts x JOIN frequent l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:c], ' ')
+  JOIN frequent r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[(c + 1):x.k], ' ')),
+weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM scored),
+longer AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM cuts WHERE k = 3 AND c = 1),
+around AS (SELECT lang, phrase, max(a) AS a FROM longer GROUP BY ALL),
+ranked AS (
+  SELECT x.lang, x.phrase, x.a, x.l, x.r, x.score,
+         row_number() OVER (PARTITION BY x.lang ORDER BY x.score DESC, x.a DESC, x.phrase) AS rank
+  FROM weakest x LEFT JOIN around o ON x.k = 2 AND o.lang = x.lang AND o.phrase = x.phrase
+  WHERE place = 1 AND (o.a IS NULL OR 100 * o.a < 50 * x.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+drawn AS (
+  SELECT doc_id, text, w, len(w)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(w) + 1) AS c1,
+         ('0x' || substr(h, 9, 8))::BIGINT % (len(w) + 1) AS c2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT *, array_to_string(w[1:least(c1, c2)], '') AS p, array_to_string(w[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(w[greatest(c1, c2) + 1:n], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(p)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN len(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts"""
+)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
+        F.sha2(F.encode(back, "UTF-8"), 256).alias("restored_sha256"),
+    )
+
+
+@query()
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_table(spark, sf_dir, "documents"), n=3, bits=2)
+    return found.select(F.col("id").alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")

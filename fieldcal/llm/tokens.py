@@ -7,6 +7,7 @@ the same per byte as a short one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +20,10 @@ BLOCK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+#: Words of up to so many times eight bytes are hashed together.
+LANES = 8
 
 
 def byte_values(seed: int, fold_case: bool) -> np.ndarray:
@@ -129,6 +134,38 @@ def word_class() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def fold_case() -> np.ndarray:
+    """Every byte, A-Z as a-z."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each slice of ``data``, mixed after every eight bytes.
+
+    Unlike a polynomial over the bytes it has no structure that special texts could use. Slices of more than
+    ``LANES`` times eight bytes, of which a block holds few, are hashed one by one.
+    """
+    length = end - start
+    out = mix(length.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 1) & _MASK))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    rest = np.flatnonzero(length <= 8 * LANES)
+    for k in range(LANES):
+        rest = rest[length[rest] > 8 * k]
+        if not len(rest):
+            break
+        lane = lanes[start[rest] + 8 * k] & masks[np.minimum(length[rest] - 8 * k, 8)]
+        out[rest] = mix(out[rest] * _ODD + lane)
+    for i in np.flatnonzero(length > 8 * LANES).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        out[i] ^= np.uint64(int.from_bytes(digest, "little"))
+    return out
+
+
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers start[i], start[i] + 1, ... (length[i] of them) for all i in turn."""
     total = int(length.sum())

@@ -12,8 +12,9 @@ Which n-grams are that frequent is found in two passes over the texts, without a
    reach zero go. What was taken is added up, and it stays below the threshold (rather than exceed it, a
    partition doubles its capacity), so every n-gram of ``least`` or more occurrences survives.
 2. The survivors set bits in a table of at most ``2 ** MOST_BITS`` bits, which all tasks get. N-grams that are not in it are not
-   frequent; the others are counted exactly, by their words: each task adds up its own, Spark adds those. N-grams
-   that came through by chance have too small a count, and go. A fuller table costs time, not results.
+   frequent; the others are counted exactly, by their words: each task adds up its own and sends each partition its phrases
+   and counts, which are added there. N-grams that came through by chance have too small a count, and go. A fuller table
+   costs time, not results.
 
 Defined results: null and empty texts have no words; a null language is ``und``; rows that share an id or are repeated whole
 count each; phrases of equal score and count are ordered by their UTF-8 bytes; an empty table gives no rows; other columns are
@@ -28,15 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcal.llm.scratch import saved
-from fieldcal.llm.tokens import fold_case, mix, runs, text_blocks, word_hash
+from fieldcal.llm.tokens import fold_case, mix, one_blank, runs, text_blocks, word_hash
+from fieldcal.operators.ordering import with_positions
 
 #: Occurrences of n-grams for each hash partition, and counters of its summary in units of mass over threshold.
-MASS = 1 << 20
+MASS = 1 << 22
 HEADROOM = 2
 #: log2 of the bits of the survivors' table at most, and bits for each survivor.
 MOST_BITS = 27
@@ -44,7 +45,6 @@ _BITS_EACH = 32
 #: Entries that a task adds up before it sends them on.
 _FLUSH = 1 << 22
 _PHRASES = 1 << 19
-_SALTS = 64
 SCALE = 1_000_000
 _WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -66,7 +66,7 @@ class _Block:
     """Words of a block of texts, and the hash of every n-gram of 1 to ``longest`` words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: list[str], longest: int):
-        self.data, self.langs = fold_case()[data], langs
+        self.data, self.langs = fold_case()[data], np.array([*langs, ""], object)[:-1]
         self.start, self.end, self.doc = runs(_IS_WORD[data], offsets)
         names = [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in langs]
         words = word_hash(self.data, self.start, self.end, 17)
@@ -91,13 +91,14 @@ class _Block:
         self.hashes = np.concatenate([none.astype(np.uint64), *hashes])
         self.size = np.concatenate([none.astype(np.int8), *size])
 
-    def phrase(self, i: int) -> str:
-        """Words of n-gram ``i``, one blank between two."""
-        words = range(self.at[i], self.at[i] + self.size[i])
-        return b" ".join(self.data[self.start[w] : self.end[w]].tobytes() for w in words).decode("utf-8")
+    def phrases(self, which: np.ndarray) -> list[bytes]:
+        """The words of some n-grams, one blank between two."""
+        words, at, to = one_blank(self.data, _IS_WORD[self.data], self.start, self.end)
+        first = self.at[which]
+        return [words[i:j] for i, j in zip(at[first].tolist(), to[first + self.size[which] - 1].tolist())]
 
-    def lang(self, i: int) -> str:
-        return self.langs[self.doc[self.at[i]]]
+    def langs_of(self, which: np.ndarray) -> np.ndarray:
+        return self.langs[self.doc[self.at[which]]]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[_Block]:
@@ -120,7 +121,7 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    return keys[first], np.add.reduceat(counts[order], first, dtype=np.int64)
 
 
 def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
@@ -142,7 +143,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], longest: int, parts: int) -> Itera
     pending, held = [], 0
     for block in _blocks(batches, longest):
         if len(block.hashes):
-            pending.append(np.unique(_keys(block.hashes, parts), return_counts=True))
+            keys, counts = np.unique(_keys(block.hashes, parts), return_counts=True)
+            pending.append((keys, counts.astype(np.uint32)))
             held += len(pending[-1][0])
         if held >= _FLUSH:
             yield sent(pending)
@@ -225,13 +227,26 @@ def _table(survivors: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], longest: int, parts: int, table, bits: int) -> Iterator[pa.RecordBatch]:
-    """Second pass of a task: lang, phrase, words, times of the n-grams in the table."""
+    """Second pass of a task: lang, part, phrases (one a line), times of the n-grams in the table."""
     known, place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    times, langs, phrases, sizes = np.zeros(0, np.int64), [], [], []
+    times, langs, phrases = np.zeros(0, np.int64), [], []
 
     def sent() -> pa.RecordBatch:
-        arrays = [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(times)]
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "words", "times"])
+        names, lang = np.unique(np.concatenate(langs), return_inverse=True)
+        part = np.zeros(len(times), np.int64)
+        part[place] = (_keys(known, parts) >> np.uint64(32)).astype(np.int64)
+        group = lang * parts + part
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+        at = order.tolist()
+        lines = [b"\n".join([phrases[i] for i in at[a:b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        first = group[edges[:-1]]
+        arrays = [
+            pa.array(names[first // parts], pa.string()), pa.array((first % parts).astype(np.int32)), pa.array(lines, pa.binary()),
+            _packed(times[order].astype("<i8"), edges),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, ["lang", "part", "phrases", "times"])
 
     for block in _blocks(batches, longest):
         at = _places(_keys(block.hashes, parts), bits)
@@ -245,20 +260,38 @@ def _counts(batches: Iterator[pa.RecordBatch], longest: int, parts: int, table,
         old[inside] = known[spot[inside]] == found[inside]
         times[place[spot[old]]] += n[old]
         fresh = np.flatnonzero(~old)
-        for i in live[first[fresh]].tolist():
-            langs.append(block.lang(i))
-            phrases.append(block.phrase(i))
-            sizes.append(int(block.size[i]))
+        which = live[first[fresh]]
+        langs.append(block.langs_of(which))
+        phrases += block.phrases(which)
         known = np.insert(known, spot[fresh], found[fresh])
         place = np.insert(place, spot[fresh], np.arange(len(times), len(times) + len(fresh)))
         times = np.concatenate([times, n[fresh]])
         if len(times) >= _PHRASES:
             yield sent()
-            known, place, times, langs, phrases, sizes = known[:0], place[:0], times[:0], [], [], []
+            known, place, times, langs, phrases = known[:0], place[:0], times[:0], [], []
     if len(times):
         yield sent()
 
 
+def _exact(counted: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, words, times of the phrases with ``least`` or more occurrences."""
+
+    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        for batch in batches:
+            for phrases, times in zip(batch.column("phrases"), batch.column("times")):
+                for phrase, n in zip(phrases.as_py().split(b"\n"), np.frombuffer(times.as_buffer(), "<i8").tolist()):
+                    total[phrase] = total.get(phrase, 0) + n
+        kept = [(phrase, n) for phrase, n in total.items() if n >= least]
+        arrays = [
+            pa.array([key[0].as_py()] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.binary()).cast(pa.string()),
+            pa.array([p.count(b" ") + 1 for p, _ in kept], pa.int32()), pa.array([n for _, n in kept], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "words", "times"])
+
+    return counted.groupBy("lang", "part").applyInArrow(added, "lang string, phrase string, words int, times long")
+
+
 def frequent_ngrams(docs: DataFrame, longest: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words, times of all n-grams of ``least`` or more occurrences; lang, n (words) of each language."""
     text = F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -271,9 +304,8 @@ def frequent_ngrams(docs: DataFrame, longest: int = 3, least: int = 10, lang_col
     survivors = saved(_survivors(pairs, capacity, least), "survivors")
     table, bits = _table(survivors)
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 2 ** MOST_BITS bits at most
-    counted = texts.mapInArrow(lambda b: _counts(b, longest, parts, shared, bits), "lang string, phrase string, words int, times long")
-    times = counted.groupBy("lang", "phrase", "words").agg(F.sum("times").alias("times")).filter(F.col("times") >= least)
-    return saved(times, "frequent"), totals
+    counted = texts.mapInArrow(lambda b: _counts(b, longest, parts, shared, bits), "lang string, part int, phrases binary, times binary")
+    return saved(_exact(counted, least), "frequent"), totals
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -319,12 +351,13 @@ def collocations(
         F.col("outer").isNull() | (100 * F.col("outer") < share * F.col("a"))
     )
     alone = alone.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    # The first ones of each of many parts of a language, and of those the first ones.
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    salted = alone.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)))
-    best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
+    # A place in the order of all languages, less the first place of its language, is the place in the language.
+    order = [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    placed = with_positions(saved(alone, "alone"), order, "place")
+    starts = placed.groupBy(F.col("lang").alias("pl")).agg(F.min("place").alias("start"))
+    rank = F.col("place") - F.col("start") + 1
+    best = placed.join(starts, F.col("lang") == F.col("pl")).withColumn("rank", rank).filter(F.col("rank") <= top).drop("pl")
     words = totals.select(F.col("lang").alias("pl"), "n")
     return best.join(words, F.col("lang") == F.col("pl")).select(
-        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
     )

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fieldcal.llm.jaccard_join import components
 from fieldcal.llm.scratch import saved
-from fieldcal.llm.tokens import fold_case, runs, text_blocks, word_class
+from fieldcal.llm.tokens import fold_case, one_blank, runs, text_blocks, word_class
 
 #: Seed of the shingles' hash.
 SEED = 42
@@ -50,13 +50,7 @@ def shingle_slices(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[bytes
     start, end, doc = runs(word, offsets)
     if not len(start):
         return b"", start, end, doc
-    keep = word.astype(bool)
-    keep[1:] |= word[:-1].astype(bool)  # the first blank behind a word
-    plain = fold_case()[data]
-    plain[word == 0] = 0x20
-    width = end - start
-    wide = width + (word[np.minimum(end, len(word) - 1)] == 0)  # with that blank
-    at = np.cumsum(wide) - wide
+    words, at, to = one_blank(fold_case()[data], word, start, end)
     count = np.bincount(doc, minlength=len(offsets) - 1)
     full = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
     short = np.flatnonzero((count > 0) & (count < n))
@@ -65,7 +59,7 @@ def shingle_slices(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[bytes
     last = np.concatenate([full + n - 1, first + count[short] - 1])
     order = np.argsort(begin, kind="stable")
     begin, last = begin[order], last[order]
-    return plain[keep].tobytes(), at[begin], at[last] + width[last], doc[begin]
+    return words, at[begin], to[last], doc[begin]
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:

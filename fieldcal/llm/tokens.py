@@ -166,6 +166,22 @@ def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return out
 
 
+def one_blank(data: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words from ``start`` to ``end`` with one blank between two, and their places in there.
+
+    ``word`` is 1 for bytes of words. Neighbours of one text have a blank between them, so n words of a row are one slice.
+    """
+    if not len(start):
+        return b"", start, end
+    keep = word.astype(bool)
+    keep[1:] |= word[:-1].astype(bool)  # the first byte behind a word
+    plain = np.where(word == 0, np.uint8(0x20), data)
+    width = end - start
+    wide = width + (word[np.minimum(end, len(word) - 1)] == 0)
+    at = np.cumsum(wide) - wide
+    return plain[keep].tobytes(), at, at + width
+
+
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers start[i], start[i] + 1, ... (length[i] of them) for all i in turn."""
     total = int(length.sum())

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldcal.session import durable
+from fieldcal.session import stored
 
 # Hash keys are spread over 16**4 prefixes, so the per-prefix counts are a bounded driver fetch.
 _PREFIX_DIGITS = 4
@@ -24,10 +24,10 @@ def _numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> tuple[
 
     Rows are range-partitioned and sorted; the place inside a partition comes from the
     built-in row counter, and only one offset per partition is joined back. The sorted
-    rows are checkpointed because counts and rows must see the same partition bounds.
+    rows are written because counts and rows must see the same partition bounds.
     """
-    ranged = durable(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = stored(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranged"
     )
     part = F.shiftright(F.col("_id"), 33)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")).collect()

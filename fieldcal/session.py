@@ -1,10 +1,12 @@
-"""Session helpers: the shared checkpoint folder and size-checked broadcasts."""
+"""Session helpers: the shared checkpoint folder, written tables and their lifetime, size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +42,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scratch scopes", default=())
+
+
+def _remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables ``stored`` inside are removed at the end, but those stored with ``keep``.
+
+    For operators of several steps: what the returned DataFrame reads is kept, the steps before it are not. Kept tables belong
+    to the scope around this one, if there is one.
+    """
+    paths: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), paths))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        _remove(spark, paths)
+
+
+def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     For tables that many passes read, such as training rows: later passes scan only the
     columns they need and never repeat the work before, also after an executor was lost.
+    The table goes with the ``scratch_scope`` around it, with ``keep`` with the one around that.
     """
     path = scratch_path(df.sparkSession, name)
+    scopes = _SCOPES.get()[:-1] if keep else _SCOPES.get()
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,7 @@
 """Jaccard self-join on word n-grams with rare-first prefix filtering.
 
 Tokens. A document's set holds its distinct n-word shingles as 64-bit tokens. One pass counts all shingles of the corpus in
-a table of fixed size; the class of that count stands in the token's first bits, so the natural order of tokens
+a table that grows with the corpus; the class of that count stands in the token's first bits, so the natural order of tokens
 is rare-first and the same for all documents. Two documents of similarity t share a token among the first
 ``size - ceil(t * size) + 1`` of each (their prefixes).
 
@@ -25,6 +25,7 @@ component; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcal.llm.scratch import saved
-from fieldcal.llm.tokens import byte_values, list_array, mix, prefix_hash, runs, span_hash, text_blocks, word_class
+from fieldcal.llm.tokens import fold_case, list_array, mix, runs, text_blocks, word_class, word_hash
+from fieldcal.session import scratch_scope
 
-#: log2 of the places in the table of shingle counts.
-SKETCH_BITS = 20
+#: log2 of the places in the table of shingle counts: one for so many bytes of text, from the least to the most.
+PLACE_BYTES = 64
+LEAST_BITS, MOST_BITS = 16, 24
 #: 64-bit words of the sketch of the suffix filter.
 SKETCH_LONGS = 8
 _CHUNK = 1 << 14
@@ -50,7 +53,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     start, end, doc = runs(word_class()[data], offsets)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words = span_hash(prefix_hash(data, byte_values(11, fold_case=True)), start, end)
+    words = word_hash(fold_case()[data], start, end, 11)
     count = np.bincount(doc, minlength=len(offsets) - 1)
     first = np.cumsum(count) - count
     hashes, docs = [], []
@@ -68,12 +71,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.concatenate(hashes), np.concatenate(docs)
 
 
-def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+def _count(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << bits, np.uint32)  # any count gives a right order
     for batch in batches:
         for _, _, data, offsets in text_blocks(batch.column(0)):
             hashes, _ = shingles(data, offsets, n)
-            total += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            places, times = np.unique((hashes >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            total[places] += times.astype(np.uint32)
     for at in range(0, len(total), _CHUNK):
         part = total[at : at + _CHUNK]
         if part.any():
@@ -94,12 +98,14 @@ def _add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def rarity(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     """Class 0 to 255 of the corpus count of each place of the count table: eight classes for each doubling."""
-    partial = docs.select(F.col(text_col)).mapInArrow(lambda b: _count(b, n), "chunk int, counts binary")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / PLACE_BYTES)))))
+    partial = docs.select(F.col(text_col)).mapInArrow(lambda b: _count(b, n, bits), "chunk int, counts binary")
     # Added up in two steps, so that no task adds the counts of all tasks.
     salted = partial.withColumn("part", F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(64)))
     halfway = salted.groupBy("chunk", "part").applyInArrow(_add, "chunk int, counts binary")
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in halfway.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect():  # of fixed size
+    total = np.zeros(1 << bits, np.int64)
+    for row in halfway.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").toLocalIterator():  # 2 ** bits counts in all
         total[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], "<i8")
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
 
@@ -107,7 +113,7 @@ def rarity(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 def _token_sets(data: np.ndarray, offsets: np.ndarray, n: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all documents in turn, each document's ascending and distinct, and their numbers."""
     hashes, doc = shingles(data, offsets, n)
-    rare = classes[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    rare = classes[(hashes >> np.uint64(65 - len(classes).bit_length())).astype(np.int64)].astype(np.uint64)
     tokens = (rare << np.uint64(56)) | (mix(hashes) >> np.uint64(8))
     counts = np.bincount(doc, minlength=len(offsets) - 1)
     if (np.diff(doc) < 0).any():
@@ -135,7 +141,9 @@ def _describe(batches, n: int, num: int, den: int, classes) -> Iterator[pa.Recor
         for a, b, data, offsets in text_blocks(batch.column(2)):
             tokens, sizes = _token_sets(data, offsets, n, classes.value)
             first = np.cumsum(sizes) - sizes
-            prefix = np.where(sizes > 0, sizes - -(-num * sizes // den) + 1, 0)
+            # A set that even one more token makes too different has no partner but its equal.
+            prefix = np.where(den * sizes >= num * (sizes + 1), sizes - -(-num * sizes // den) + 1, 0)
+            prefix[sizes == 0] = 0
             within = np.arange(len(tokens)) - np.repeat(first, sizes)
             head = tokens[within < np.repeat(prefix, sizes)]
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -213,7 +221,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     """Rows with the signature of their sets, node (smallest id) of each set, key and node of each set, links of keys."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
-    classes = spark.sparkContext.broadcast(rarity(rows, "text", n))  # 2 ** SKETCH_BITS bytes
+    classes = spark.sparkContext.broadcast(rarity(rows, "text", n))  # 2 ** MOST_BITS bytes at most
     schema = "id long, mark long, s1 long, s2 long, n long, prefix array<long>, sketch array<long>"
     described = saved(rows.mapInArrow(lambda b: _describe(b, n, num, den, classes), schema), "described")
 
@@ -225,10 +233,11 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     heads = real.join(nodes, signature).filter("id = node")
     held = heads.groupBy("node", *signature).agg(F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("mark").alias("mark"))
     held = saved(held.withColumn("key", _key()), "held")
-    posted = held.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = saved(posted.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
-    postings = saved(posted.join(shared.hint("merge"), "token"), "postings")
-    postings = saved(postings.join(held.select("key", "sketch").hint("merge"), "key"), "sketched")
+    with scratch_scope(spark):
+        posted = held.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
+        shared = saved(posted.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token"), "shared")
+        postings = saved(posted.join(shared.hint("merge"), "token"), "postings")
+        postings = saved(postings.join(held.select("key", "sketch").hint("merge"), "key"), "sketched", keep=True)
 
     def fit(a: dict[str, Column], b: dict[str, Column]) -> Column:
         """Length, positional and suffix filter."""
@@ -242,15 +251,16 @@ def _linked(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b) of keys, by comparison of the whole sets."""
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = saved(involved.join(held.select("key", "node", "mark"), "key"), "involved")
-        texts = rows.join(wanted.hint("merge"), (F.col("id") == F.col("node")) & (rows["mark"] == wanted["mark"])).select("key", "text")
-        sets = texts.dropDuplicates(["key"]).mapInArrow(lambda b: _sets(b, n, classes), "node long, tokens binary")
-        sets = saved(sets, "sets")
-        whole = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").hint("merge").join(
-            sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"
-        )
-        return saved(whole.select("a", "b", "ta", "tb").mapInArrow(lambda b: _verify(b, num, den), "a long, b long"), "links")
+        with scratch_scope(spark):
+            involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+            wanted = saved(involved.join(held.select("key", "node", "mark"), "key"), "involved")
+            texts = rows.join(wanted.hint("merge"), (F.col("id") == F.col("node")) & (rows["mark"] == wanted["mark"])).select("key", "text")
+            sets = texts.dropDuplicates(["key"]).mapInArrow(lambda b: _sets(b, n, classes), "node long, tokens binary")
+            sets = saved(sets, "sets")
+            whole = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").hint("merge").join(
+                sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"
+            )
+            return saved(whole.select("a", "b", "ta", "tb").mapInArrow(lambda b: _verify(b, num, den), "a long, b long"), "links", keep=True)
 
     def one_way(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -296,23 +306,25 @@ def jaccard_components(
 
     ``id_col`` holds whole numbers.
     """
-    described, nodes, ids, links = _linked(docs, n, num, den, id_col, text_col)
-    signature = _SIGNATURE
-    real = described.filter("n > 0 and id is not null")
-    # Links of keys become links of ids; an id with several sets joins their components.
-    named = links.join(ids.withColumnRenamed("key", "a").withColumnRenamed("node", "u"), "a").join(
-        ids.withColumnRenamed("key", "b").withColumnRenamed("node", "v"), "b"
-    )
-    several = real.join(nodes, signature).filter("id <> node")
-    ties = several.join(real.groupBy("id").agg(F.count_distinct("s1", "s2", "n").alias("k")).filter("k > 1").select("id"), "id")
-    named = named.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(ties.select(F.col("id").alias("a"), F.col("node").alias("b")))
-    final = components(named.filter("a <> b"))
-    return (
-        described.select("id", "mark", *signature).join(nodes, signature, "left")
-        .withColumn("node", F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("node", "id")))
-        .join(final, "node", "left")
-        .select("id", "mark", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
-    )
+    with scratch_scope(docs.sparkSession):
+        described, nodes, ids, links = _linked(docs, n, num, den, id_col, text_col)
+        signature = _SIGNATURE
+        real = described.filter("n > 0 and id is not null").select("id", *signature).distinct()
+        # Links of keys become links of ids; an id with several sets joins their components.
+        named = links.join(ids.withColumnRenamed("key", "a").withColumnRenamed("node", "u"), "a").join(
+            ids.withColumnRenamed("key", "b").withColumnRenamed("node", "v"), "b"
+        )
+        several = real.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
+        ties = real.join(several, "id").join(nodes, signature).filter("id <> node").select("id", "node").distinct()
+        named = named.select(F.col("u").alias("a"), F.col("v").alias("b")).unionAll(ties.toDF("a", "b"))
+        final = components(named.filter("a <> b"))
+        found = (
+            described.select("id", "mark", *signature).join(nodes, signature, "left")
+            .withColumn("node", F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("node", "id")))
+            .join(final, "node", "left")
+            .select("id", "mark", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
+        )
+        return saved(found, "components", keep=True)
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,20 +333,25 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     A row belongs to a component by its own set: rows that share an id are judged each by its text. Rows whose text has no
     words, or without an id, all stay.
     """
-    described, nodes, _, links = _linked(docs, n, num, den, id_col, text_col)
-    label = components(links)
-    sets = nodes.withColumn("key", _key()).join(label.withColumnRenamed("node", "key"), "key", "left")
-    sets = sets.select(*_SIGNATURE, F.coalesce("label", "key").alias("component"))
-    found = described.filter("n > 0 and id is not null").select("id", "mark", *_SIGNATURE).join(sets, _SIGNATURE)
-    texts = saved(found.groupBy("id", "mark", "component").agg(F.count("*").alias("times")), "texts")
-    first = texts.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("first")).select("first.id", "first.mark")
-    first = saved(first, "first")
-    own = ["__id", "__mark"]
-    gone = saved(texts.join(first, ["id", "mark"], "left_anti").select("id", "mark").toDF(*own), "gone")
-    again = saved(texts.filter("times > 1").join(first, ["id", "mark"], "left_semi").select("id", "mark").toDF(*own), "again")
-    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", F.xxhash64(F.col(text_col)))
+    with scratch_scope(docs.sparkSession):
+        described, nodes, _, links = _linked(docs, n, num, den, id_col, text_col)
+        label = components(links)
+        sets = nodes.withColumn("key", _key()).join(label.withColumnRenamed("node", "key"), "key", "left")
+        sets = sets.select(*_SIGNATURE, F.coalesce("label", "key").alias("component"))
+        found = described.filter("n > 0 and id is not null").select("id", "mark", *_SIGNATURE).join(sets, _SIGNATURE)
+        texts = saved(found.groupBy("id", "mark", "component").agg(F.count("*").alias("times")), "texts")
+        first = texts.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("first")).select("first.id", "first.mark")
+        first = saved(first, "first")
+        own = ["id", "mark"]
+        gone = saved(texts.join(first, own, "left_anti").select(*own), "gone", keep=True)
+        again = saved(texts.filter("times > 1").join(first, own, "left_semi").select(*own), "again", keep=True)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(F.col(text_col)).alias("mark"),
+    )
     # Rows of one text are dealt by a salt; each task then drops its own repeats before the texts meet.
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int")
-    salted = again.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    once = rows.withColumn("__salt", salt).join(salted, [*own, "__salt"], "left_semi").drop("__salt").dropDuplicates(own)
-    return rows.join(gone.unionAll(again), own, "left_anti").unionAll(once).select(*docs.columns)
+    salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    once = rows.withColumn("salt", salt).join(salted, [*own, "salt"], "left_semi").drop("salt").dropDuplicates(own)
+    left = rows.join(gone.unionAll(again), own, "left_anti").unionByName(once)
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ their place in the source times that number: no sum runs over a whole source in
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; sources of size 0
 have target 0 and emit nothing; rows repeated whole are documents of their own; an empty table gives no rows;
-other columns are carried along untouched by ``mixed``. A rerun with the same seed gives the same copies.
+other columns are carried along untouched by ``mixed``, whatever their names. A rerun with the same seed gives the same copies.
 """
 
 from __future__ import annotations
@@ -17,14 +17,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldcal.llm.scratch import saved
 from fieldcal.operators.ordering import with_positions
-from fieldcal.session import stored
+from fieldcal.session import scratch_scope, stored
 
 #: Weights by the place of a source in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: No source is taken more often than this.
 MOST = 3
 _OFFSET_BITS = 20
+#: A row that makes more than one in so many copies is dealt over many tasks; there are fewer than that many such rows.
+_HOT = 1024
+_CHUNK = 256
 
 
 def word_count(text: Column) -> Column:
@@ -99,20 +103,41 @@ def copies(
     )
 
 
+def _hashable(docs: DataFrame) -> list[Column]:
+    return [F.to_json(F.col(f"`{c}`")) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+
+
 def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mixed documents, each as often as it is taken, with their own columns.
 
-    The order in a source is by a hash of key, source and text. Each row has a number of its own, by which it gets the copies
-    of its own place, also among rows repeated whole; the rows are written with it, so that both sides agree on it.
+    The order in a source is by a hash of key and row. Rows are known by key and 64 bits of hash of the row; rows repeated whole
+    get the copies of all their places together, which makes the same rows. They are put together inside each task before
+    the texts are shuffled, and a row of very many copies is copied by many tasks.
     """
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
     text_col, source_col = options.get("text_col", "text"), options.get("source_col", "source")
-    mark = F.xxhash64(F.col(key), F.col(source_col), F.col(text_col))
-    rows = docs.withColumn("__mark", F.struct(F.col(key).alias("key"), mark.alias("mark")))
-    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    taken = copies(rows, "__mark", carry=("__row",), **options).filter("n_copies > 0")
-    return (
-        rows.join(taken.select("__row", "n_copies").withColumnRenamed("n_copies", "__n"), "__row")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-        .select(*names)
-    )
+    mark = F.struct(F.col(key).alias("key"), F.xxhash64(*_hashable(docs)).alias("hash")).alias("mark")
+    with scratch_scope(spark):
+        marked = docs.select(mark, F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+        options = {**options, "text_col": "text", "source_col": "source"}
+        taken = copies(marked, "mark", **options).groupBy("mark").agg(F.sum("n_copies").alias("n")).filter("n > 0")
+        taken = saved(taken.select("mark", "n", F.struct("mark.key", "mark.hash").alias("own")), "taken", keep=True)
+    hot = F.col("n") * _HOT > (taken.agg(F.sum("n")).first()[0] or 0)
+    rows = docs.select(mark, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+
+    def joined(some: DataFrame, counts: DataFrame) -> DataFrame:
+        """One of the rows of each mark, with its number of copies."""
+        one = some.groupBy(F.xxhash64("mark").alias("place"), "mark").agg(F.first("row").alias("row"))
+        counts = counts.select(F.xxhash64("own").alias("at"), "own", "n").hint("merge")
+        return one.join(counts, (F.col("place") == F.col("at")) & F.col("mark").eqNullSafe(F.col("own"))).select("row", "n")
+
+    out = joined(rows, taken.filter(~hot)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    often = taken.filter(hot)
+    if not often.isEmpty():
+        few = F.broadcast(often.select("own"))  # fewer than _HOT rows
+        many = joined(rows.join(few, F.col("mark").eqNullSafe(F.col("own")), "left_semi"), often)
+        chunks = many.withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(_CHUNK).cast("long"))))
+        dealt = chunks.repartition(F.xxhash64(F.col("row").getField(key), "from"))
+        last = F.least(F.col("from") + _CHUNK - 1, F.col("n"))
+        out = out.unionByName(dealt.withColumn("copy", F.explode(F.sequence("from", last))).select("row", "n", "copy"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names])

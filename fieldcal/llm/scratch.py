@@ -26,11 +26,11 @@ def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; its shuffle files go as soon as it is written.
 
     The table replaces the shuffle files for all later steps, so an operator of many steps needs the disk of its largest
-    step and of what it has written, not of all its shuffles.
+    step and of what it has written, not of all its shuffles. Inside a ``scratch_scope`` the table goes with it, unless ``keep``.
     """
     with shuffle_files_removed(df.sparkSession):
-        return stored(df, name)
+        return stored(df, name, keep)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from fieldcal.llm.jaccard_join import components
 from fieldcal.llm.scratch import saved
 from fieldcal.llm.tokens import fold_case, one_blank, runs, text_blocks, word_class
+from fieldcal.session import scratch_scope
 
 #: Seed of the shingles' hash.
 SEED = 42
@@ -131,20 +132,21 @@ def close_links(prints: DataFrame, bits: int = 2) -> DataFrame:
 def simhash_components(docs: DataFrame, n: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (fingerprint as a signed number), component_id of every row."""
     described = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    described = saved(described.mapInArrow(lambda b: _describe(b, n), "id long, fp long"), "fingerprints")
-    prints = saved(described.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("times")), "prints")
-    label = components(close_links(prints, bits))
-    rooted = prints.join(label.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
-    rooted = saved(rooted.select("fp", "first", "times", "root"), "rooted")
-    # A component of one fingerprint has its name already.
-    groups = rooted.filter("root <> fp").select("root").distinct()
-    named = rooted.join(groups, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
-    known = saved(
-        rooted.join(named.hint("merge"), "root", "left")
-        .select(F.col("fp").alias("own"), "times", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")),
-        "components",
-    )
-    total = prints.agg(F.sum("times")).first()[0] or 0
+    with scratch_scope(docs.sparkSession):
+        described = saved(described.mapInArrow(lambda b: _describe(b, n), "id long, fp long"), "fingerprints", keep=True)
+        prints = saved(described.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("times")), "prints")
+        label = components(close_links(prints, bits))
+        rooted = prints.join(label.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
+        rooted = saved(rooted.select("fp", "first", "times", "root"), "rooted")
+        # A component of one fingerprint has its name already.
+        groups = rooted.filter("root <> fp").select("root").distinct()
+        named = rooted.join(groups, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
+        known = saved(
+            rooted.join(named.hint("merge"), "root", "left")
+            .select(F.col("fp").alias("own"), "times", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")),
+            "components", keep=True,
+        )
+    total = known.agg(F.sum("times")).first()[0] or 0
     hot = F.col("times") * HOT > total  # fewer than HOT fingerprints
     often, seldom = (known.filter(c).select("own", "component_id") for c in (hot, ~hot))
     told = described.join(F.broadcast(often), F.col("fp") == F.col("own"), "left")

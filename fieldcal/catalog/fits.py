@@ -278,6 +278,31 @@ def fit_knn(spark, sf_dir):
     return rounded(regression_metrics(model.transform(split.where("split = 'test'")), "y", "prediction", ["zone"]))
 
 
+@query(
+    """WITH q AS (SELECT p_partkey, p_brand AS zone, p_retailprice * p_size / 10 AS a, p_size::DOUBLE AS b FROM part),
+    t AS (SELECT l_extendedprice AS a, l_quantity AS b, l_extendedprice / 500 + l_tax * 100 AS y FROM lineitem),
+    n AS (SELECT p_partkey, any_value(zone) AS zone, min({'d': sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b)), 'y': t.y}, 7) AS near
+          FROM q, t GROUP BY p_partkey),
+    e AS (SELECT p_partkey, zone, unnest(near) AS e FROM n),
+    p AS (SELECT p_partkey, zone, avg(e.y) AS prediction, max(e.d) AS reach FROM e GROUP BY ALL)
+    SELECT zone, count(*) AS n, round(avg(prediction), 6) AS prediction, round(min(prediction), 6) AS least, round(max(prediction), 6) AS most FROM p GROUP BY zone"""
+)
+def fit_knn_all_lines(spark, sf_dir):
+    """Every line item is a training row; the parts ask for their seven nearest."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_extendedprice").alias("a"), F.col("l_quantity").alias("b"), (F.col("l_extendedprice") / 500 + F.col("l_tax") * 100).alias("y")
+    )
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("zone"), (F.col("p_retailprice") * F.col("p_size") / 10).alias("a"), F.col("p_size").cast("double").alias("b")
+    )
+    scored = CalibrationEstimator("knn", "y", numeric=["a", "b"], k=7).fit(lines).transform(parts)
+    return rounded(
+        scored.groupBy("zone").agg(
+            F.count("*").alias("n"), F.avg("prediction").alias("prediction"), F.min("prediction").alias("least"), F.max("prediction").alias("most")
+        )
+    )
+
+
 @query(
     f"""WITH {_TRAIN_SQL}, f AS (SELECT *, ntile(3) OVER (ORDER BY key) AS fold FROM train),
     g AS (SELECT h.fold, half, parity, avg(truth) AS prediction FROM range(1, 4) h(fold) JOIN f ON f.fold <> h.fold GROUP BY ALL),

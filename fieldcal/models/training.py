@@ -267,8 +267,9 @@ class CalibrationModel(Model):
             extra = {"kind": "ml"}
             fitted.write().overwrite().save(f"{path}/fitted")
         else:
-            extra = {"kind": "neighbours", **{k: v for k, v in vars(fitted).items() if k != "train"}}
-            fitted.train.write.mode("overwrite").parquet(f"{path}/table")
+            extra = {"kind": "neighbours", **{k: v for k, v in vars(fitted).items() if k not in ("rows", "cells")}}
+            fitted.rows.write.mode("overwrite").parquet(f"{path}/table")
+            fitted.cells.write.mode("overwrite").parquet(f"{path}/cells")
         if self.featurizer is not None:
             self.featurizer.write().overwrite().save(f"{path}/featurizer")
         line = json.dumps({"meta": self.meta, **extra, "featurized": self.featurizer is not None})
@@ -300,8 +301,8 @@ class CalibrationModel(Model):
         elif kind == "table":
             fitted = spark.read.parquet(f"{path}/table")
         elif kind == "neighbours":
-            options = {k: stored[k] for k in ("k", "weights", "max_shared_rows", "block_rows")}
-            fitted = Neighbours(spark.read.parquet(f"{path}/table"), **options)
+            options = {k: stored[k] for k in ("k", "weights", "block_rows")}
+            fitted = Neighbours(spark.read.parquet(f"{path}/table"), spark.read.parquet(f"{path}/cells"), **options)
         return cls(meta, featurizer, fitted)
 
 

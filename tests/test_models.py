@@ -133,7 +133,7 @@ def test_elasticnet_path_equals_direct_descent(spark):
 
 
 @pytest.mark.parametrize("weights", ["uniform", "distance"])
-def test_neighbours_by_both_ways_equal_brute_force(spark, weights):
+def test_neighbours_equal_brute_force(spark, weights):
     rng = random.Random(8)
     train = [((float(rng.randint(0, 20)), float(rng.randint(0, 20))), float(rng.randint(0, 99))) for _ in range(400)]
     train += [((5.0, 5.0), 50.0)] * 200  # a third of the rows are copies
@@ -149,12 +149,24 @@ def test_neighbours_by_both_ways_equal_brute_force(spark, weights):
             expected[i] = np.mean([y for d, y in near if d == 0])
         else:
             expected[i] = sum(y / d for d, y in near) / sum(1 / d for d, _ in near)
-    for options in ({}, {"max_shared_rows": 50, "block_rows": 30}):
+    # columns of any name pass through
+    q = q.select("i", "features", *[F.lit(7).alias(c) for c in ("x", "y", "d", "cell", "row", "vote")])
+    for options in ({}, {"most_pivots": 1}, {"most_pivots": 7, "block_rows": 30}):
         got = fit_knn(t, k=5, weights=weights, **options).transform(q).collect()
-        assert len(got) == len(queries)
+        assert len(got) == len(queries) and got[0].asDict()["x"] == 7
         assert {r.i: r.prediction for r in got} == pytest.approx(expected)
 
 
+def test_neighbours_of_few_rows(spark):
+    t = spark.createDataFrame([(Vectors.dense([float(i), 0.0]), float(i)) for i in (0, 1, 5)], ["features", "label"])
+    q = spark.createDataFrame([(Vectors.dense([4.0, 0.0]),), (Vectors.dense([-9.0, 1.0]),)], ["features"])
+    got = fit_knn(t, k=3).transform(q).collect()
+    assert [r.prediction for r in got] == [2.0, 2.0]
+    assert fit_knn(t, k=1).transform(q.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        fit_knn(t, k=4)
+
+
 def test_fits_do_not_depend_on_partitioning(data):
     for model in ("linear", "elasticnet", "basic_median_delta"):
         a = estimator(model, scaling="robust", **SETTINGS[model]).fit(data.repartition(1)).transform(data)

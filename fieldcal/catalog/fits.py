@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -201,23 +203,126 @@ def fit_tree(spark, sf_dir):
     return _score_cells(spark, sf_dir, "decision_tree", maxDepth=2)
 
 
-@query(_CELL_METRICS_SQL)
+#: Upper ends of the shares of 0, 1, 2… draws of a row.
+_DRAWS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+_RESAMPLED_SQL = f"""{_TRAIN_SQL},
+    u AS (SELECT train.*, t, ('0x' || substr(md5('14593|draw|' || (t // 4) || '|' || key), (1 + 8 * (t % 4))::INTEGER, 8))::BIGINT::DOUBLE / 4294967296 AS u
+          FROM train, range(3) r(t)),
+    d AS (SELECT *, {" + ".join(f"(u >= {c!r}::DOUBLE)::INTEGER" for c in _DRAWS)} AS w FROM u),
+    c AS (SELECT t, half, parity, sum(w * truth) / sum(w) AS v FROM d GROUP BY ALL),
+    o AS (SELECT key, any_value(truth) AS y, avg(v) AS vote FROM d JOIN c USING (t, half, parity) WHERE w = 0 GROUP BY key),
+    g AS (SELECT half, parity, avg(v) AS prediction FROM c GROUP BY half, parity),
+    s AS (SELECT zone, split, truth, prediction FROM p JOIN g USING (half, parity))"""
+_RESAMPLED_METRICS_SQL = f"""WITH {_RESAMPLED_SQL} SELECT zone, split, {_METRICS_SQL},
+    (SELECT round(1 - avg(pow(y - vote, 2)) / var_pop(y), 6) FROM o) AS oob_r2 FROM s GROUP BY zone, split"""
+
+
+def _score_resampled(spark, sf_dir, model, **setting):
+    rows = _cell_rows(spark, sf_dir)
+    fitted = _cell_estimator(model, numTrees=3, **setting).fit(rows.where("split = 'train'"))
+    scores = regression_metrics(fitted.transform(rows), "truth", "prediction", ["zone", "split"])
+    return rounded(scores.withColumn("oob_r2", F.lit(fitted.fitted.oob_r2)))
+
+
+@query(_RESAMPLED_METRICS_SQL)
 def fit_forest(spark, sf_dir):
-    """Without resampling and with all features every tree is the same."""
-    return _score_cells(
-        spark, sf_dir, "random_forest", numTrees=3, maxDepth=6, featureSubsetStrategy="all", min_leaf=1, bootstrap=False
-    )
+    """Three resampled trees, features drawn for each node: weighted means of the cells, and the out-of-bag score."""
+    return _score_resampled(spark, sf_dir, "random_forest", maxDepth=6, featureSubsetStrategy="sqrt", min_leaf=1)
 
 
-@query(_CELL_METRICS_SQL)
+@query(_RESAMPLED_METRICS_SQL)
 def fit_bagging(spark, sf_dir):
-    return _score_cells(spark, sf_dir, "bagging", numTrees=3, bootstrap=False)
+    return _score_resampled(spark, sf_dir, "bagging")
 
 
-@query(_CELL_METRICS_SQL)
+def _gbt_sql(rounds: int, step: float) -> str:
+    """Rounds of one cut each, by the flag that explains more of what is left; table f<rounds> holds the cells' predictions."""
+    parts = ["f0 AS (SELECT half, parity, count(*) AS n, sum(truth) AS s, (SELECT avg(truth) FROM train) AS f FROM train GROUP BY ALL)"]
+    for i in range(1, rounds + 1):
+        was = f"f{i - 1}"
+        for flag in ("half", "parity"):
+            parts.append(f"{flag}{i} AS (SELECT {flag}, sum(s - n * f) / sum(n) AS m, pow(sum(s - n * f), 2) / sum(n) AS gain FROM {was} GROUP BY {flag})")
+        first = f"(SELECT sum(gain) FROM half{i}) >= (SELECT sum(gain) FROM parity{i})"
+        parts.append(
+            f"f{i} AS (SELECT x.half, x.parity, n, s, f + {step}::DOUBLE * CASE WHEN {first} THEN h.m ELSE q.m END AS f "
+            f"FROM {was} x JOIN half{i} h ON h.half = x.half JOIN parity{i} q ON q.parity = x.parity)"
+        )
+    return ", ".join(parts)
+
+
+@query(
+    f"""WITH {_TRAIN_SQL}, {_gbt_sql(3, 0.4)}, s AS (SELECT zone, split, truth, f AS prediction FROM p JOIN f3 USING (half, parity))
+    SELECT zone, split, {_METRICS_SQL} FROM s GROUP BY zone, split"""
+)
 def fit_gbt(spark, sf_dir):
-    """The first tree holds the cell means, later ones have nothing to add."""
-    return _score_cells(spark, sf_dir, "gradient_boosting", maxIter=3, maxDepth=3, stepSize=0.1, min_leaf=2)
+    """Three rounds of one cut each, with the step."""
+    return _score_cells(spark, sf_dir, "gradient_boosting", maxIter=3, maxDepth=1, stepSize=0.4)
+
+
+def _gbt_quantile_sql(rounds: int, step: float, alpha: float) -> str:
+    """The same for a quantile: cuts explain the signs of the residuals, leaves hold the residuals' quantile."""
+    parts = [f"f0 AS (SELECT half, parity, truth, (SELECT quantile_cont(truth, {alpha}) FROM train) AS f FROM train)"]
+    for i in range(1, rounds + 1):
+        was, sign = f"f{i - 1}", f"CASE WHEN truth > f THEN {alpha}::DOUBLE ELSE {alpha - 1}::DOUBLE END"
+        for flag in ("half", "parity"):
+            parts.append(f"{flag}{i} AS (SELECT {flag}, quantile_cont(truth - f, {alpha}) AS m, pow(sum({sign}), 2) / count(*) AS gain FROM {was} GROUP BY {flag})")
+        first = f"(SELECT sum(gain) FROM half{i}) >= (SELECT sum(gain) FROM parity{i})"
+        parts.append(
+            f"f{i} AS (SELECT x.half, x.parity, truth, f + {step}::DOUBLE * CASE WHEN {first} THEN h.m ELSE q.m END AS f "
+            f"FROM {was} x JOIN half{i} h ON h.half = x.half JOIN parity{i} q ON q.parity = x.parity)"
+        )
+    return ", ".join([*parts, f"g AS (SELECT half, parity, any_value(f) AS prediction FROM f{rounds} GROUP BY ALL)"])
+
+
+@query(
+    f"""WITH {_TRAIN_SQL}, {_gbt_quantile_sql(2, 0.5, 0.75)}, s AS (SELECT zone, split, truth, prediction FROM p JOIN g USING (half, parity))
+    SELECT zone, split, {_METRICS_SQL} FROM s GROUP BY zone, split"""
+)
+def fit_gbt_quantile(spark, sf_dir):
+    """Two rounds for the upper quartile."""
+    return _score_cells(spark, sf_dir, "gradient_boosting", loss="quantile", alpha=0.75, maxIter=2, maxDepth=1, stepSize=0.5)
+
+
+@query(
+    f"""WITH {_TRAIN_SQL}, v AS (SELECT *, ('0x' || substr(md5('14593|validation|' || {" || '|' || ".join(LINE_KEY)}), 1, 8))::BIGINT::DOUBLE / 4294967296 < 0.25 AS held FROM train),
+    g AS (SELECT half, parity, avg(truth) AS prediction FROM v WHERE NOT held GROUP BY ALL),
+    s AS (SELECT zone, split, truth, prediction FROM p JOIN g USING (half, parity))
+    SELECT zone, split, 4::INTEGER AS rounds, {_METRICS_SQL} FROM s GROUP BY zone, split"""
+)
+def fit_gbt_stops_early(spark, sf_dir):
+    """With a step of 1 the first tree says all it can; three rounds without gain on the rows held back end the fit, long before
+    the hundredth."""
+    rows = _cell_rows(spark, sf_dir)
+    estimator = _cell_estimator(
+        "gradient_boosting", maxIter=100, maxDepth=2, stepSize=1.0, validation_fraction=0.25, n_iter_no_change=3
+    )
+    fitted = estimator.fit(rows.where("split = 'train'"))
+    scores = regression_metrics(fitted.transform(rows), "truth", "prediction", ["zone", "split"])
+    return rounded(scores.withColumn("rounds", F.lit(len(fitted.fitted.trees))))
+
+
+_CUT_SQL = f"""{_TRAIN_SQL}, q AS (SELECT *, least(3, floor(raw / 13))::INTEGER AS x FROM train),
+    sides AS (SELECT c, x > c AS above, count(*) AS n, sum(truth) AS s, median(truth) AS m FROM q, range(3) r(c) GROUP BY ALL),
+    away AS (SELECT sides.c, sum(abs(truth - m)) AS e FROM q JOIN sides ON sides.above = (q.x > sides.c) GROUP BY 1),
+    best AS (
+      SELECT 'squared_error' AS criterion, arg_max(c, g) AS c FROM (SELECT c, sum(s * s / n) AS g FROM sides GROUP BY c)
+      UNION ALL SELECT 'poisson', arg_max(c, g) FROM (SELECT c, sum(s * ln(s / n)) AS g FROM sides GROUP BY c)
+      UNION ALL SELECT 'absolute_error', arg_min(c, e) FROM away),
+    s AS (SELECT criterion, zone, split, truth, CASE criterion WHEN 'absolute_error' THEN m ELSE sides.s / n END AS prediction
+          FROM p JOIN best ON true JOIN sides ON sides.c = best.c AND sides.above = (least(3, floor(raw / 13))::INTEGER > sides.c))"""
+
+
+@query(f"WITH {_CUT_SQL} SELECT criterion, zone, split, {_METRICS_SQL} FROM s GROUP BY criterion, zone, split")
+def fit_tree_criteria(spark, sf_dir):
+    """The best cut of a four-valued feature by squared error, Poisson deviance and absolute error."""
+    rows = _rows(spark, sf_dir).withColumn("x", F.least(F.lit(3), F.floor(F.col("raw") / 13)).cast("double"))
+    train, criteria = rows.where("split = 'train'"), ["squared_error", "poisson", "absolute_error"]
+    for name in criteria:
+        model = CalibrationEstimator("decision_tree", "truth", numeric=["x"], raw="raw", key=LINE_KEY, seed=14593, criterion=name, maxDepth=1)
+        rows = model.fit(train).transform(rows).withColumnRenamed("prediction", f"p_{name}")
+    choices = F.array(*[F.struct(F.lit(n).alias("criterion"), F.col(f"p_{n}").alias("prediction")) for n in criteria])
+    long = rows.select("zone", "split", "truth", F.inline(choices))
+    return rounded(regression_metrics(long, "truth", "prediction", ["criterion", "zone", "split"]))
 
 
 def _boost_sql(rounds: int) -> str:
@@ -455,7 +560,7 @@ def fit_elasticnet_one_feature(spark, sf_dir):
 # With one two-valued feature these models must all predict the mean of the group.
 _GROUP_MODELS = {
     "linear": {}, "gamma": {"regParam": 0.0, "maxIter": 50, "tol": 1e-12}, "poisson": {"regParam": 0.0, "maxIter": 50, "tol": 1e-12},
-    "sgd": {"loss": "squaredError", "regParam": 0.0}, "decision_tree": {"maxDepth": 1}, "gradient_boosting": {"maxIter": 1, "maxDepth": 1},
+    "sgd": {"loss": "squaredError", "regParam": 0.0}, "decision_tree": {"maxDepth": 1}, "gradient_boosting": {"maxIter": 1, "maxDepth": 1, "stepSize": 1.0},
     "adaboost": {"n_estimators": 1, "max_depth": 1},
 }
 _GROUP_SQL = f"""{_TRAIN_SQL}, g AS (SELECT l_linestatus, avg(truth) AS prediction FROM train GROUP BY 1)"""

@@ -16,14 +16,10 @@ from pyspark.ml.param import Param, Params
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
-    GBTRegressionModel,
-    GBTRegressor,
     GeneralizedLinearRegression,
     GeneralizedLinearRegressionModel,
     LinearRegression,
     LinearRegressionModel,
-    RandomForestRegressionModel,
-    RandomForestRegressor,
 )
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +28,8 @@ from fieldcal.functions.measure import clip
 from fieldcal.models import baseline
 from fieldcal.models.adaboost import BoostedMedian, fit_adaboost_r2
 from fieldcal.models.elasticnet import LinearFit, fit_elasticnet_cv
-from fieldcal.models.knn import fit_knn
+from fieldcal.models.knn import Neighbours, fit_knn
+from fieldcal.models.trees import CRITERIA, LOSSES, TreeEnsemble, fit_boosting, fit_forest
 from fieldcal.operators.metrics import linear_scaling, regression_metrics
 from fieldcal.operators.ordering import contiguous_folds, hash_key, head_condition, split_label
 from fieldcal.operators.prep import apply_scaling, augment, feature_pipeline, fit_scaling
@@ -66,37 +63,38 @@ GRIDS: dict[str, dict[str, list]] = {
         "numTrees": [10, 20, 50, 100, 150, 200],
         "maxDepth": [3, 6, 9, 12, 15],
         "featureSubsetStrategy": ["sqrt", "log2", "all"],
+        "min_split": [2, 4, 6, 8],
         "min_leaf": [0.001, 0.01, 0.1, 1, 2, 4],
+        "criterion": list(CRITERIA),
+        "oob_score": [True, False],
     },
     "gradient_boosting": {
-        "lossType": ["squared", "absolute"],
+        "loss": list(LOSSES),
         "stepSize": [1e-4, 1e-3, 1e-2, 1e-1],
         "maxIter": [10, 20, 50, 100, 150, 200],
         "featureSubsetStrategy": ["sqrt", "log2"],
         "maxDepth": [3, 6, 9, 12, 15],
+        "min_split": [2, 4, 6, 8],
         "min_leaf": [0.001, 0.01, 0.1, 1, 2, 4],
         "validation_fraction": [0.1, 0.2, 0.3],
+        "n_iter_no_change": [10, 20, 30],
     },
-    "bagging": {"numTrees": [10, 20, 50, 100, 150, 200]},
+    "bagging": {"numTrees": [10, 20, 50, 100, 150, 200], "oob_score": [True, False]},
     "adaboost": {
         "n_estimators": [10, 20, 50, 100, 150, 200],
         "learning_rate": [1e-4, 1e-3, 1e-2, 1e-1, 1.0],
         "loss": ["linear", "square", "exponential"],
     },
     "knn": {"k": [3, 5, 7], "weights": ["uniform", "distance"]},
-    "decision_tree": {"maxDepth": [3, 6, 9, 12, 15]},
+    "decision_tree": {
+        "criterion": list(CRITERIA),
+        "splitter": ["best", "random"],
+        "maxDepth": [3, 6, 9, 12, 15],
+        "featureSubsetStrategy": ["sqrt", "log2", "all"],
+    },
 }
 
 
-def _tree_params(params: Mapping[str, Any]) -> dict[str, Any]:
-    """A leaf minimum of 1 or more is a row count, below 1 a share of the rows."""
-    out = dict(params)
-    leaf = out.pop("min_leaf", None)
-    if leaf is not None:
-        out.update({"minInstancesPerNode": int(leaf)} if leaf >= 1 else {"minWeightFractionPerNode": float(leaf)})
-    return out
-
-
 def make_regressor(name: str, params: Mapping[str, Any], seed: int) -> Estimator:
     """The Spark ML estimator of a model name, on columns ``features`` and ``label``."""
     if name == "linear":
@@ -107,14 +105,8 @@ def make_regressor(name: str, params: Mapping[str, Any], seed: int) -> Estimator
         if params.get("loss") == "huber":  # huber takes the squared penalty only
             params = {**params, "elasticNetParam": 0.0}
         return LinearRegression(standardization=False, **params)
-    if name == "random_forest":
-        return RandomForestRegressor(seed=seed, **_tree_params(params))
-    if name == "bagging":
-        return RandomForestRegressor(seed=seed, featureSubsetStrategy="all", **{"numTrees": 10, "maxDepth": _FULL_DEPTH, **params})
-    if name == "gradient_boosting":
-        return GBTRegressor(seed=seed, **_tree_params(params))
     if name == "decision_tree":
-        return DecisionTreeRegressor(seed=seed, **_tree_params(params))
+        return DecisionTreeRegressor(seed=seed, **params)
     raise ValueError(f"unknown model {name}")
 
 
@@ -185,12 +177,21 @@ class CalibrationEstimator(Estimator):
             return fit_adaboost_r2(ready, seed=self.seed, **setting)
         if self.model == "knn":
             return fit_knn(ready, **setting)
-        if "validation_fraction" in setting:
-            # A hashed share of the rows is held back; boosting stops when their error no longer falls.
-            row = hash_key(self.seed, F.lit("validation"), *([F.col(c) for c in self.key] or [F.xxhash64(vector_to_array("features"), "label")]))
-            share = F.conv(F.left(row, F.lit(8)), 16, 10).cast("double") / float(2**32)
-            ready = ready.withColumn("validate", share < setting["validation_fraction"])
-            setting = {k: v for k, v in setting.items() if k != "validation_fraction"} | {"validationIndicatorCol": "validate"}
+        own = [F.col(c) for c in self.key] or [F.xxhash64(vector_to_array("features"), "label")]
+        row = hash_key(self.seed, *own)
+        if self.model == "random_forest":
+            return fit_forest(ready, row, self.seed, **{"numTrees": 20, "featureSubsetStrategy": "sqrt", **setting})
+        if self.model == "bagging":
+            return fit_forest(ready, row, self.seed, **{"maxDepth": _FULL_DEPTH, **setting})
+        if self.model == "decision_tree" and set(setting) - {"maxDepth"}:
+            return fit_forest(ready, row, self.seed, **{"numTrees": 1, "bootstrap": False, **setting})
+        if self.model == "gradient_boosting":
+            setting, held = dict(setting), None
+            if "validation_fraction" in setting:  # a hashed share of the rows
+                drawn = hash_key(self.seed, F.lit("validation"), *own)
+                held = F.conv(F.left(drawn, F.lit(8)), 16, 10).cast("double") / float(2**32) < setting.pop("validation_fraction")
+                setting.setdefault("n_iter_no_change", 10)
+            return fit_boosting(ready, row, self.seed, validate=held, **setting)
         return make_regressor(self.model, setting, self.seed).fit(ready)
 
     def _fit_baseline(self, train: DataFrame, target: str) -> CalibrationModel:
@@ -261,6 +262,8 @@ class CalibrationModel(Model):
         elif isinstance(fitted, DataFrame):
             extra = {"kind": "table"}
             fitted.write.mode("overwrite").parquet(f"{path}/table")
+        elif isinstance(fitted, TreeEnsemble):
+            extra = {"kind": "trees", "trees": fitted.to_json()}
         elif fitted is None:
             extra = {"kind": "none"}
         elif hasattr(fitted, "write"):
@@ -277,8 +280,6 @@ class CalibrationModel(Model):
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> CalibrationModel:
-        from fieldcal.models.knn import Neighbours
-
         stored = json.loads(spark.read.text(f"{path}/meta").first()[0])
         meta, kind = stored["meta"], stored["kind"]
         if "scaling" in meta:
@@ -287,8 +288,7 @@ class CalibrationModel(Model):
         ml = {
             "linear": LinearRegressionModel, "sgd": LinearRegressionModel,
             "gamma": GeneralizedLinearRegressionModel, "poisson": GeneralizedLinearRegressionModel,
-            "random_forest": RandomForestRegressionModel, "bagging": RandomForestRegressionModel,
-            "gradient_boosting": GBTRegressionModel, "decision_tree": DecisionTreeRegressionModel,
+            "decision_tree": DecisionTreeRegressionModel,
         }
         fitted: Any = None
         if kind == "ml":
@@ -298,6 +298,8 @@ class CalibrationModel(Model):
         elif kind == "boosted":
             trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i}") for i in range(len(stored["weights"]))]
             fitted = BoostedMedian(trees, stored["weights"])
+        elif kind == "trees":
+            fitted = TreeEnsemble.from_json(stored["trees"])
         elif kind == "table":
             fitted = spark.read.parquet(f"{path}/table")
         elif kind == "neighbours":

@@ -14,6 +14,11 @@ from fieldcal.sources.files import read_lines, seed_table, write_csv
 from fieldcal.sources.results import flatten_results, read_results
 
 _ZONES = ["A", "N", "R"]
+#: What each guard says.
+_GUARD_WORDS = {
+    "existing target": "already exists", "negative distance": "must be a non-negative number", "empty source": "no CSV rows found",
+    "outcome not 0 or 1": "non-binary values",
+}
 _GOOD, _BAD = "model;linear;seed_index;3", "model;linear;seed_index;999"
 _PARTS = [("r2", "1 - avg(pow(truth - prediction, 2)) / var_pop({t})"), ("mae", "avg(abs(truth - prediction))"),
           ("mse", "avg(pow(truth - prediction, 2))"), ("rmse", "sqrt(avg(pow(truth - prediction, 2)))")]
@@ -37,24 +42,35 @@ def _scores_sql() -> str:
     s AS (SELECT parts.*, a * raw + b AS prediction FROM parts, f)
     {_scores_sql()}
     UNION ALL SELECT 'seed', '3', seed::DOUBLE FROM seeds WHERE i = 3
-    UNION ALL SELECT 'ledger', '{_GOOD}', NULL UNION ALL SELECT 'failure', '{_BAD}', NULL"""
+    UNION ALL SELECT 'minutes known', 'plan', 1 UNION ALL SELECT 'data', 'lines.csv', NULL UNION ALL SELECT 'timestamps', 'times.csv', NULL
+    UNION ALL SELECT 'feature', 'raw', NULL
+    UNION ALL SELECT 'ledger', '{_GOOD}', NULL FROM range(2) UNION ALL SELECT 'failure', '{_BAD}', NULL"""
 )
 def experiment_trace(spark, sf_dir):
-    """Records, ledger and failures of two runs; the second asks for a seed that the list does not have."""
+    """Records, ledger and failures of three runs: one, the same again, and one that asks for a seed the list does not have.
+
+    The run done twice has two ledger lines and one record.
+    """
     out, seed_file = scratch_path(spark, "experiment"), scratch_path(spark, "seeds")
     numbers = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 1000 + 7).cast("string").alias("value"))
     numbers.orderBy("n_nationkey").select("value").coalesce(1).write.text(seed_file)
     seeds = seed_table(read_lines(spark, seed_file))
     rows = stored(pairs(spark, sf_dir).select(*LINE_KEY, "truth", "raw", "zone"), "training")
     options = {"model": "linear", "target": "truth", "numeric": ["raw"], "key": LINE_KEY, "scaling": "robust"}
-    for line, index in ((_GOOD, 3), (_BAD, 999)):
-        run_experiment(line, rows, "A", options, seeds, index, LINE_KEY, out, "plan", zone_names=_ZONES, keys={"scaling": "robust"})
+    for line, index in ((_GOOD, 3), (_GOOD, 3), (_BAD, 999)):
+        run_experiment(
+            line, rows, "A", options, seeds, index, LINE_KEY, out, "plan", zone_names=_ZONES, keys={"scaling": "robust"}, data="lines.csv",
+            timestamps="times.csv",
+        )
     records = read_results(spark, f"{out}/results", _ZONES, multi_line=False)
     scores = flatten_results(records, _ZONES).where("score is not null")
     nothing = F.lit(None).cast("double")
     found = [
         scores.select(F.lit("score").alias("part"), F.concat_ws("|", "zone", "metric", "kind").alias("name"), F.col("score").alias("value")),
         records.select(F.lit("seed").alias("part"), F.col("seed_index").cast("string").alias("name"), F.col("seed").cast("double").alias("value")),
+        records.select(F.lit("minutes known").alias("part"), F.col("run_id").alias("name"), (F.col("execution_time_in_minutes") > 0).cast("double").alias("value")),
+        records.select(F.lit("feature").alias("part"), F.explode("selected_features").alias("name"), nothing.alias("value")),
+        *[records.select(F.lit(c).alias("part"), F.col(c).alias("name"), nothing.alias("value")) for c in ("data", "timestamps")],
         read_lines(spark, f"{out}/completed_plan").select(F.lit("ledger").alias("part"), F.col("value").alias("name"), nothing.alias("value")),
         spark.read.json(f"{out}/failures").select(F.lit("failure").alias("part"), F.col("arguments").alias("name"), nothing.alias("value")),
     ]
@@ -62,11 +78,11 @@ def experiment_trace(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES ('existing target', TRUE), ('negative distance', TRUE), ('empty source', TRUE), ('outcome not 0 or 1', TRUE)) g(guard, raised),
-    (SELECT count(*) AS regions FROM region), (SELECT count(*) AS labels FROM labels)"""
+    """SELECT * FROM (VALUES ('existing target', 'already exists'), ('negative distance', 'must be a non-negative number'),
+      ('empty source', 'no CSV rows found'), ('outcome not 0 or 1', 'non-binary values')) g(guard, message), (SELECT count(*) AS regions FROM region), (SELECT count(*) AS labels FROM labels)"""
 )
 def guards_raise(spark, sf_dir):
-    """Every guard on inputs and outputs raises; the counts say which rows it was tried on."""
+    """Every guard on inputs and outputs fails with its own words; the counts say which rows it was tried on."""
     regions, labels = table(spark, sf_dir, "region"), table(spark, sf_dir, "labels")
     taken, empty = scratch_path(spark, "taken"), scratch_path(spark, "empty")
     write_csv(regions, taken)
@@ -80,13 +96,14 @@ def guards_raise(spark, sf_dir):
         ).collect(),
     }
 
-    def raises(action) -> bool:
+    def told(action, words: str) -> str:
+        """The words, if the action fails with them; else what it failed with."""
         try:
             action()
-        except Exception:
-            return True
-        return False
+        except Exception as error:
+            return words if words in str(error) else str(error)[:200]
+        return "nothing"
 
-    rows = [(name, raises(action)) for name, action in tests.items()]
+    rows = [(name, told(action, _GUARD_WORDS[name])) for name, action in tests.items()]
     counts = {"regions": F.lit(regions.count()), "labels": F.lit(labels.count())}
-    return spark.createDataFrame(rows, "guard string, raised boolean").withColumns({k: c.cast("long") for k, c in counts.items()})
+    return spark.createDataFrame(rows, "guard string, message string").withColumns({k: c.cast("long") for k, c in counts.items()})

@@ -450,6 +450,49 @@ def train_three_zones(spark, sf_dir):
     return rounded(train_and_score(rows, "A", _cell_estimator("decision_tree", maxDepth=2), LINE_KEY, test_size=0.3, grid={}))
 
 
+_STEPS_SQL = f"""{_KEYED_SQL}, q AS (SELECT * REPLACE (truth + 3 * raw AS truth), least(3, floor(raw / 13))::INTEGER AS x FROM parts),
+    f AS (SELECT *, ntile(3) OVER (ORDER BY key) AS fold FROM q WHERE split = 'train'),
+    cuts AS (SELECT h.fold, c, x > c AS above, count(*) AS n, sum(truth) AS s FROM range(1, 4) h(fold) JOIN f ON f.fold <> h.fold, range(3) r(c) GROUP BY ALL),
+    best AS (SELECT fold, arg_max(c, g) AS c FROM (SELECT fold, c, sum(s * s / n) AS g FROM cuts GROUP BY ALL) GROUP BY fold),
+    one AS (SELECT fold, c, above, s / n AS v FROM cuts JOIN best USING (fold, c)),
+    two AS (SELECT h.fold, x, avg(truth) AS v FROM range(1, 4) h(fold) JOIN f ON f.fold <> h.fold GROUP BY ALL),
+    e AS (SELECT 1 AS d, f.fold, sqrt(avg(pow(truth - v, 2))) AS e FROM f JOIN one ON one.fold = f.fold AND one.above = (x > one.c) GROUP BY f.fold
+          UNION ALL SELECT 3, f.fold, sqrt(avg(pow(truth - v, 2))) FROM f JOIN two ON two.fold = f.fold AND two.x = f.x GROUP BY f.fold),
+    tried AS (SELECT d, avg(e) AS rmse FROM e GROUP BY d)"""
+
+
+def _steps(spark, sf_dir):
+    """All lines with a truth that follows a four-valued number, and a tree on that number alone."""
+    rows = _rows(spark, sf_dir).drop("split").withColumns(
+        {"x": F.least(F.lit(3), F.floor(F.col("raw") / 13)).cast("double"), "truth": F.col("truth") + 3 * F.col("raw")}
+    )
+    return rows, CalibrationEstimator("decision_tree", "truth", numeric=["x"], raw="raw", key=LINE_KEY, seed=14593)
+
+
+@query(f"WITH {_STEPS_SQL} SELECT d::INTEGER AS depth, round(rmse, 6) AS rmse, rmse = (SELECT min(rmse) FROM tried) AS best FROM tried")
+def search_winner(spark, sf_dir):
+    """A search with one true winner: errors of both settings, and the setting of the refitted model."""
+    rows, tree = _steps(spark, sf_dir)
+    train = exact_split(rows.where("zone = 'A'"), LINE_KEY, 0.3, 14593).where("split = 'train'").drop("split")
+    best, tried = random_search(tree, train, LINE_KEY, n_iter=2, cv=3, seed=14593, grid={"maxDepth": [1, 3]})
+    table = [(s["maxDepth"], rmse, s["maxDepth"] == best.fitted.getOrDefault("maxDepth")) for s, rmse in tried]
+    return rounded(spark.createDataFrame(table, "depth int, rmse double, best boolean"))
+
+
+@query(
+    f"""WITH {_STEPS_SQL}, g AS (SELECT x, avg(truth) AS deep FROM q WHERE split = 'train' GROUP BY x),
+    all_cuts AS (SELECT c, x > c AS above, count(*) AS n, sum(truth) AS s FROM q, range(3) r(c) WHERE split = 'train' GROUP BY ALL),
+    flat AS (SELECT above, c, s / n AS v FROM all_cuts WHERE c = (SELECT arg_max(c, g) FROM (SELECT c, sum(s * s / n) AS g FROM all_cuts GROUP BY c))),
+    s AS (SELECT q.*, CASE WHEN (SELECT arg_min(d, rmse) FROM tried) = 3 THEN deep ELSE v END AS prediction
+          FROM q JOIN g USING (x) JOIN flat ON flat.above = (q.x > flat.c))
+    {_ZONE_METRICS_SQL}"""
+)
+def train_with_search(spark, sf_dir):
+    """Train on one zone with a real search inside, and score all three with the winner."""
+    rows, tree = _steps(spark, sf_dir)
+    return rounded(train_and_score(rows, "A", tree, LINE_KEY, test_size=0.3, n_iter=2, cv=3, grid={"maxDepth": [1, 3]}))
+
+
 @query(
     f"""WITH {_KEYED_SQL}, train AS (SELECT * FROM parts WHERE split = 'train'),
     f AS (SELECT regr_slope(truth, raw) AS a, regr_intercept(truth, raw) AS b FROM train),

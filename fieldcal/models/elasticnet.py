@@ -12,9 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldcal.models.blocks import SCHEMA, added, block_rows, matrix
+
 
 @dataclass
 class LinearFit:
@@ -24,11 +26,14 @@ class LinearFit:
     intercept: float
     penalty: float | None = None
 
-    def transform(self, df: DataFrame, features: str = "features", output: str = "prediction") -> DataFrame:
-        x = vector_to_array(F.col(features))
+    def column(self, features: Column) -> Column:
+        """The prediction, from an array of features."""
         weights = F.array(*[F.lit(float(c)) for c in self.coefficients])
-        dot = F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
-        return df.withColumn(output, dot + F.lit(float(self.intercept)))
+        dot = F.aggregate(F.zip_with(features, weights, lambda a, b: a * b), F.lit(0.0), lambda acc, t: acc + t)
+        return dot + F.lit(float(self.intercept))
+
+    def transform(self, df: DataFrame, features: str = "features", output: str = "prediction") -> DataFrame:
+        return df.withColumn(output, self.column(vector_to_array(F.col(features))))
 
 
 def _moment_parts(batches: Iterator[pa.RecordBatch], shift: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -37,23 +42,15 @@ def _moment_parts(batches: Iterator[pa.RecordBatch], shift: np.ndarray) -> Itera
     parts: dict[int, np.ndarray] = {}
     for batch in batches:
         fold = batch.column(0).to_numpy(zero_copy_only=False)
-        z = np.column_stack(
-            [batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(fold), p - 1)]
-        ) - shift if len(fold) else np.zeros((0, p))
+        if not len(fold):
+            continue
+        z = np.column_stack([batch.column(1).to_numpy(zero_copy_only=False), matrix(batch.column(2), len(fold))]) - shift
         for f in np.unique(fold):
             rows = z[fold == f]
             total = parts.setdefault(int(f), np.zeros(1 + p + p * p))
             total += np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows).ravel()])
     if parts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()])], ["f", "m"])
-
-
-def _add_parts(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = 0.0
-    for table in tables:
-        for part in table.column("m"):
-            total = total + np.frombuffer(part.as_py())
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["f", "m"])
+        yield block_rows(parts)
 
 
 def fold_moments(df: DataFrame, features: str, label: str, fold: str, shift: np.ndarray) -> dict[int, tuple]:
@@ -66,14 +63,8 @@ def fold_moments(df: DataFrame, features: str, label: str, fold: str, shift: np.
     rows = df.select(
         F.col(fold).cast("int").alias("f"), F.col(label).cast("double").alias("y"), vector_to_array(F.col(features)).alias("x")
     )
-    parts = rows.mapInArrow(lambda b: _moment_parts(b, shift), "f int, m binary")
-    salted = parts.withColumn("part", F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(64)))
-    halfway = salted.groupBy("f", "part").applyInArrow(_add_parts, "f int, m binary")
-    moments = {}
-    for row in halfway.groupBy("f").applyInArrow(_add_parts, "f int, m binary").collect():  # one row per fold
-        m = np.frombuffer(row["m"])
-        moments[row["f"]] = (int(m[0]), m[1 : 1 + p], m[1 + p :].reshape(p, p))
-    return moments
+    blocks = added(rows.mapInArrow(lambda b: _moment_parts(b, shift), SCHEMA))
+    return {f: (int(m[0]), m[1 : 1 + p], m[1 + p :].reshape(p, p)) for f, m in blocks.items()}
 
 
 def _centred(n: float, s: np.ndarray, m: np.ndarray):
@@ -81,64 +72,67 @@ def _centred(n: float, s: np.ndarray, m: np.ndarray):
     return mean, m - n * np.outer(mean, mean)
 
 
-def _path(gram, xy, n, penalties, l1_ratio, tol=1e-8, max_iter=2000):
-    """Coordinate descent on moments, from the largest penalty down with warm starts."""
-    w = np.zeros(len(xy))
-    fitted = np.zeros(len(xy))  # gram @ w, kept up to date
-    diag, target = np.diag(gram).tolist(), xy.tolist()
-    out = []
-    for alpha in penalties:
-        l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
-        for _ in range(max_iter):
-            biggest = 0.0
-            for j, d in enumerate(diag):
-                if d + l2 == 0:
-                    continue
-                old = float(w[j])
-                rho = target[j] - float(fitted[j]) + d * old
-                new = (rho - l1 if rho > l1 else rho + l1 if rho < -l1 else 0.0) / (d + l2)
-                if new != old:
-                    w[j] = new
-                    fitted += gram[j] * (new - old)
-                    biggest = max(biggest, abs(new - old))
-            if biggest <= tol * max(1.0, np.abs(w).max(initial=0.0)):
-                break
-        out.append(w.copy())
-    return out
+def _paths(grams, xys, ns, penalties, l1_ratio, tol=1e-9, max_iter=20_000) -> np.ndarray:
+    """Coordinate descent on the moments of all data sets and for all penalties at once: set, penalty, feature."""
+    sets, p = xys.shape
+    w = np.zeros((sets, len(penalties), p))
+    fitted = np.zeros_like(w)  # gram @ w, kept up to date
+    l1, l2 = penalties * l1_ratio * ns[:, None], penalties * (1 - l1_ratio) * ns[:, None]
+    for _ in range(max_iter):
+        moved = 0.0
+        for j in range(p):
+            d = grams[:, j, j][:, None]
+            old = w[:, :, j].copy()
+            rho = xys[:, j][:, None] - fitted[:, :, j] + d * old
+            size = d + l2
+            new = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0) / np.where(size > 0, size, 1.0)
+            step = np.where(size > 0, new - old, 0.0)
+            w[:, :, j] += step
+            fitted += step[:, :, None] * grams[:, j, :][:, None, :]
+            moved = max(moved, np.abs(step).max())
+        if moved <= tol * max(1.0, np.abs(w).max(initial=0.0)):
+            break
+    return w
+
+
+class FoldMoments:
+    """Moments of the folds of a table, from one pass; every setting is then solved from them."""
+
+    def __init__(self, df: DataFrame, features: str = "features", label: str = "label", fold: str = "fold"):
+        first = df.select(features, F.col(label).cast("double")).first()
+        if first is None:
+            raise ValueError("no rows to fit")
+        self.shift = np.concatenate([[first[1]], first[0].toArray()])
+        folds = fold_moments(df, features, label, fold, self.shift)
+        self.held = [folds[f] for f in sorted(folds)]
+        whole = tuple(sum(f[i] for f in self.held) for i in range(3))
+        sets = [whole, *[tuple(whole[i] - f[i] for i in range(3)) for f in self.held]]  # all rows, then without each fold
+        self.n = np.array([s[0] for s in sets], dtype=float)
+        self.means, self.cross = (np.array(v) for v in zip(*[_centred(*s) for s in sets]))
+
+    def fit(self, l1_ratio: float = 0.5, n_alphas: int = 100, eps: float = 1e-3) -> LinearFit:
+        """Choose the penalty by the mean squared error over the folds, on all rows.
+
+        An ``l1_ratio`` of 0 has no natural largest penalty; 0.001 stands in for it when the path is laid out.
+        """
+        grams, xys = self.cross[:, 1:, 1:], self.cross[:, 0, 1:]
+        top = np.abs(xys[0]).max(initial=0.0) / (self.n[0] * max(l1_ratio, 1e-3))
+        if top == 0:
+            return LinearFit([0.0] * xys.shape[1], float(self.means[0, 0] + self.shift[0]), 0.0)
+        penalties = top * np.power(eps, np.arange(n_alphas) / max(1, n_alphas - 1))
+        paths = _paths(grams, xys, self.n, penalties, l1_ratio)
+        errors = np.zeros(len(penalties))
+        for (n, s, m), mean, ws in zip(self.held, self.means[1:], paths[1:]):
+            b = mean[0] - ws @ mean[1:]
+            v = np.column_stack([np.ones(len(ws)), -ws])  # residual = v . z - b
+            errors += (np.einsum("ij,jk,ik->i", v, m, v) - 2 * b * (v @ s) + n * b * b) / n
+        best = int(np.argmin(errors))
+        w, z_mean = paths[0, best], self.means[0] + self.shift
+        return LinearFit([float(c) for c in w], float(z_mean[0] - w @ z_mean[1:]), float(penalties[best]))
 
 
 def fit_elasticnet_cv(
-    df: DataFrame, features: str = "features", label: str = "label", fold: str = "fold",
-    l1_ratio: float = 0.5, n_alphas: int = 100, eps: float = 1e-3,
+    df: DataFrame, features: str = "features", label: str = "label", fold: str = "fold", l1_ratio: float = 0.5, n_alphas: int = 100, eps: float = 1e-3
 ) -> LinearFit:
-    """Choose the penalty by the mean squared error over the folds and refit on all rows.
-
-    An ``l1_ratio`` of 0 has no natural largest penalty; 0.001 stands in for it when the path is laid out.
-    """
-    first = df.select(features, F.col(label).cast("double")).first()
-    if first is None:
-        raise ValueError("no rows to fit")
-    shift = np.concatenate([[first[1]], first[0].toArray()])
-    p = len(shift) - 1
-    folds = fold_moments(df, features, label, fold, shift)
-    n_all = sum(f[0] for f in folds.values())
-    s_all = sum(f[1] for f in folds.values())
-    m_all = sum(f[2] for f in folds.values())
-    mean_all, c_all = _centred(n_all, s_all, m_all)
-    top = np.abs(c_all[0, 1:]).max() / (n_all * max(l1_ratio, 1e-3))
-    if top == 0:
-        return LinearFit([0.0] * p, float(mean_all[0] + shift[0]), 0.0)
-    penalties = top * np.power(eps, np.arange(n_alphas) / max(1, n_alphas - 1))
-
-    errors = np.zeros(len(penalties))
-    for held in folds.values():
-        n_t, s_t, m_t = n_all - held[0], s_all - held[1], m_all - held[2]
-        mean_t, c_t = _centred(n_t, s_t, m_t)
-        for i, w in enumerate(_path(c_t[1:, 1:], c_t[0, 1:], n_t, penalties, l1_ratio)):
-            b = mean_t[0] - w @ mean_t[1:]
-            v = np.concatenate([[1.0], -w])  # residual = v . z - b
-            errors[i] += (v @ held[2] @ v - 2 * b * (v @ held[1]) + held[0] * b * b) / held[0]
-    best = int(np.argmin(errors))
-    w = _path(c_all[1:, 1:], c_all[0, 1:], n_all, penalties[: best + 1], l1_ratio)[-1]
-    z_mean = mean_all + shift
-    return LinearFit([float(c) for c in w], float(z_mean[0] - w @ z_mean[1:]), float(penalties[best]))
+    """Elastic net of one setting, see :class:`FoldMoments`."""
+    return FoldMoments(df, features, label, fold).fit(l1_ratio, n_alphas, eps)

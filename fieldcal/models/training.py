@@ -2,42 +2,44 @@
 
 from __future__ import annotations
 
+import importlib
 import itertools
 import json
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
-    GeneralizedLinearRegression,
-    GeneralizedLinearRegressionModel,
     LinearRegression,
-    LinearRegressionModel,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcal.functions.measure import clip
 from fieldcal.models import baseline
 from fieldcal.models.adaboost import BoostedMedian, fit_adaboost_r2
-from fieldcal.models.elasticnet import LinearFit, fit_elasticnet_cv
+from fieldcal.models.elasticnet import FoldMoments, LinearFit
+from fieldcal.models.glm import LogLinear, fit_glms
 from fieldcal.models.knn import Neighbours, fit_knn
 from fieldcal.models.trees import CRITERIA, LOSSES, TreeEnsemble, fit_boosting, fit_forest
 from fieldcal.operators.metrics import linear_scaling, regression_metrics
 from fieldcal.operators.ordering import contiguous_folds, hash_key, head_condition, split_label
 from fieldcal.operators.prep import apply_scaling, augment, feature_pipeline, fit_scaling
+from fieldcal.session import scratch_scope, stored
 
 #: Models that always see all training rows, unscaled, with the plain target.
 _ON_RAW_VALUES = ("cocal_only", "basic_median_delta")
 #: Trees of the bagged model grow until their leaves are pure, or to the largest depth there is.
 _FULL_DEPTH = 30
+#: Models whose fit reads the ready rows many times; the others read them once or write a table of their own.
+_MANY_READS = ("gamma", "poisson", "sgd", "decision_tree", "elasticnet")
 
 BASELINES = ["cocal_only", "basic_median", "basic_median_plain_delta", "basic_median_delta"]
 
@@ -95,12 +97,35 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 
 
+#: User models: fit(rows with ``features`` and ``label``, setting, seed) gives an object with ``transform(df)``, which adds ``prediction``.
+_REGISTERED: dict[str, Callable[[DataFrame, Mapping[str, Any], int], Any]] = {}
+
+
+def register_model(name: str, fit: Callable[[DataFrame, Mapping[str, Any], int], Any], grid: Mapping[str, Sequence] | None = None) -> None:
+    """Make a model known by name, with the grid that a search draws from.
+
+    What ``fit`` returns is stored with its own ``write()``, if it has one, as ML models do; it is read back with the ``load`` of its class.
+    """
+    if name in GRIDS and name not in _REGISTERED:
+        raise ValueError(f"{name} is a model of the library")
+    GRIDS[name], _REGISTERED[name] = dict(grid or {}), fit
+
+
+@dataclass
+class Prepared:
+    """Training rows made ready once: augmented, scaled and encoded; fits of any setting start from them."""
+
+    rows: DataFrame
+    scaled: DataFrame
+    scaling: dict[str, tuple[float, float]]
+    featurizer: PipelineModel | None
+    ready: DataFrame | None  # key columns, features, label
+
+
 def make_regressor(name: str, params: Mapping[str, Any], seed: int) -> Estimator:
     """The Spark ML estimator of a model name, on columns ``features`` and ``label``."""
     if name == "linear":
         return LinearRegression(regParam=0.0, solver="normal", **params)
-    if name in ("gamma", "poisson"):
-        return GeneralizedLinearRegression(family=name, link="log", **params)
     if name == "sgd":
         if params.get("loss") == "huber":  # huber takes the squared penalty only
             params = {**params, "elasticNetParam": 0.0}
@@ -137,42 +162,54 @@ class CalibrationEstimator(Estimator):
         self._setDefault(setting=setting)
 
     def _fit(self, dataset: DataFrame) -> CalibrationModel:
-        setting = dict(self.getOrDefault(self.setting))
+        with scratch_scope(dataset.sparkSession):
+            return self.fit_prepared(self.prepare(dataset, self.model in _MANY_READS), [dict(self.getOrDefault(self.setting))])[0]
+
+    def _label(self) -> Column:
+        return F.log1p(self.target) if self.log_scale_target else F.col(self.target).cast("double")
+
+    def prepare(self, dataset: DataFrame, write: bool = True) -> Prepared:
+        """Augment, scale and encode; with ``write`` the result is written, for fits that read it many times."""
         key = hash_key(self.seed, *[F.col(c) for c in self.key]) if self.key else F.lit("")
         if self.augmentation != "none" and not self.key:
             raise ValueError("augmentation needs the key columns of a row")
         rows = augment(dataset, self.augmentation, self.target, self.numeric, key, self.seed)
         scaling = fit_scaling(rows, self.numeric, self.scaling)
         scaled = apply_scaling(rows, scaling)
-        label = F.log1p(self.target) if self.log_scale_target else F.col(self.target).cast("double")
         if self.model in BASELINES:
-            made = self._fit_baseline(scaled.withColumn("_label", label), "_label")
-            made.meta |= {"log_scale_target": self.log_scale_target, "scaling": {c: s for c, s in scaling.items() if s != (0.0, 1.0)}}
-            return self._post(made, rows)
+            return Prepared(rows, scaled, scaling, None, None)
         featurizer = feature_pipeline(self.categorical, self.numeric).fit(scaled)
-        keep = [*[F.col(c) for c in self.key], F.col("features"), label.alias("label")]
-        ready = featurizer.transform(scaled).select(*keep)
-        ready = ready.persist(StorageLevel.MEMORY_AND_DISK)  # every fit but one reads it many times
-        try:
-            fitted = self._fit_model(ready, setting)
-        finally:
-            ready.unpersist()
-        made = CalibrationModel(
-            {
-                "model": self.model, "numeric": self.numeric, "scaling": scaling,
-                "log_scale_target": self.log_scale_target, "slope": 1.0, "intercept": 0.0,
-            },
-            featurizer, fitted,
-        )
-        return self._post(made, rows)
+        ready = featurizer.transform(scaled).select(*[F.col(c) for c in self.key], F.col("features"), self._label().alias("label"))
+        return Prepared(rows, scaled, scaling, featurizer, stored(ready, "ready") if write else ready)
 
-    def _fit_model(self, ready: DataFrame, setting: dict[str, Any]) -> Any:
+    def fit_prepared(self, prepared: Prepared, settings: Sequence[Mapping[str, Any]], parallelism: int = 1) -> list[CalibrationModel]:
+        """One model for each setting. Least squares families share their passes over the rows among all settings."""
+        if self.model in BASELINES:
+            made = self._fit_baseline(prepared.scaled.withColumn("_label", self._label()), "_label")
+            made.meta |= {"log_scale_target": self.log_scale_target, "scaling": {c: v for c, v in prepared.scaling.items() if v != (0.0, 1.0)}}
+            return [self._post(made, prepared.rows)] * len(settings)
+        ready = prepared.ready
         if self.model == "elasticnet":
             if self.key:
                 folded = contiguous_folds(ready, self.key, 5, self.seed)
             else:
                 folded = ready.withColumn("fold", F.pmod(F.xxhash64(vector_to_array("features"), "label"), F.lit(5)))
-            return fit_elasticnet_cv(folded, **setting)
+            moments = FoldMoments(folded)
+            fitted = [moments.fit(**s) for s in settings]
+        elif self.model in ("gamma", "poisson"):
+            fitted = fit_glms(ready, self.model, settings)
+        else:
+            with ThreadPool(max(1, min(parallelism, len(settings)))) as pool:
+                fitted = pool.map(lambda s: self._fit_model(ready, dict(s)), settings)
+        meta = {
+            "model": self.model, "numeric": self.numeric, "scaling": prepared.scaling, "log_scale_target": self.log_scale_target,
+            "slope": 1.0, "intercept": 0.0,
+        }
+        return [self._post(CalibrationModel(dict(meta), prepared.featurizer, f), prepared.rows) for f in fitted]
+
+    def _fit_model(self, ready: DataFrame, setting: dict[str, Any]) -> Any:
+        if self.model in _REGISTERED:
+            return _REGISTERED[self.model](ready, setting, self.seed)
         if self.model == "adaboost":
             return fit_adaboost_r2(ready, seed=self.seed, **setting)
         if self.model == "knn":
@@ -235,26 +272,34 @@ class CalibrationModel(Model):
             center, scale = meta.get("scaling", {}).get(meta["raw"], (0.0, 1.0))
             shifted = (F.col(meta["raw"]) - F.lit(float(center))) / F.lit(float(scale)) + F.lit(float(meta["offset"]))
             return df.withColumn("prediction", shifted)
-        # The original numbers are carried under other names while their scaled form is used.
-        carried = df.withColumns({f"_raw_{c}": F.col(c) for c in meta["numeric"]})
-        predicted = self.fitted.transform(self.featurizer.transform(apply_scaling(carried, meta["scaling"])))
+        predicted = self.fitted.transform(self.ready(df))
         return predicted.select(
             *[F.col(f"_raw_{c}").alias(c) if c in meta["numeric"] else F.col(c) for c in kept], "prediction"
         )
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
+    def ready(self, df: DataFrame) -> DataFrame:
+        """Rows with ``features``; the original numbers are carried under other names, ``_raw_…``."""
+        carried = df.withColumns({f"_raw_{c}": F.col(c) for c in self.meta["numeric"]})
+        return self.featurizer.transform(apply_scaling(carried, self.meta["scaling"]))
+
+    def post(self, prediction: Column) -> Column:
+        """Target re-scaling of a raw prediction."""
         m = self.meta
-        scored = self.raw_transform(dataset)
         if m["slope"] == 1.0 and m["intercept"] == 0.0 and not m["log_scale_target"]:
-            return scored
-        p = clip(F.lit(m["slope"]) * F.col("prediction")) + F.lit(m["intercept"])
-        return scored.withColumn("prediction", F.expm1(p) if m["log_scale_target"] else p)
+            return prediction
+        p = clip(F.lit(m["slope"]) * prediction) + F.lit(m["intercept"])
+        return F.expm1(p) if m["log_scale_target"] else p
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.raw_transform(dataset).withColumn("prediction", self.post(F.col("prediction")))
 
     # Persistence: the featurizer and an ML model keep their own format, the rest is one JSON line.
     def save(self, path: str, spark: SparkSession) -> None:
         fitted, extra = self.fitted, {}
         if isinstance(fitted, LinearFit):
             extra = {"kind": "linear_fit", "linear_fit": vars(fitted)}
+        elif isinstance(fitted, LogLinear):
+            extra = {"kind": "log_linear", "linear_fit": vars(fitted.line)}
         elif isinstance(fitted, BoostedMedian):
             extra = {"kind": "boosted", "weights": fitted.weights}
             for i, tree in enumerate(fitted.trees):
@@ -267,7 +312,7 @@ class CalibrationModel(Model):
         elif fitted is None:
             extra = {"kind": "none"}
         elif hasattr(fitted, "write"):
-            extra = {"kind": "ml"}
+            extra = {"kind": "ml", "class": [type(fitted).__module__, type(fitted).__qualname__]}
             fitted.write().overwrite().save(f"{path}/fitted")
         else:
             extra = {"kind": "neighbours", **{k: v for k, v in vars(fitted).items() if k not in ("rows", "cells")}}
@@ -280,30 +325,28 @@ class CalibrationModel(Model):
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> CalibrationModel:
-        stored = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        meta, kind = stored["meta"], stored["kind"]
+        record = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        meta, kind = record["meta"], record["kind"]
         if "scaling" in meta:
             meta["scaling"] = {c: tuple(v) for c, v in meta["scaling"].items()}
-        featurizer = PipelineModel.load(f"{path}/featurizer") if stored["featurized"] else None
-        ml = {
-            "linear": LinearRegressionModel, "sgd": LinearRegressionModel,
-            "gamma": GeneralizedLinearRegressionModel, "poisson": GeneralizedLinearRegressionModel,
-            "decision_tree": DecisionTreeRegressionModel,
-        }
+        featurizer = PipelineModel.load(f"{path}/featurizer") if record["featurized"] else None
         fitted: Any = None
         if kind == "ml":
-            fitted = ml[meta["model"]].load(f"{path}/fitted")
+            module, name = record["class"]
+            fitted = getattr(importlib.import_module(module), name).load(f"{path}/fitted")
         elif kind == "linear_fit":
-            fitted = LinearFit(**stored["linear_fit"])
+            fitted = LinearFit(**record["linear_fit"])
+        elif kind == "log_linear":
+            fitted = LogLinear(LinearFit(**record["linear_fit"]))
         elif kind == "boosted":
-            trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i}") for i in range(len(stored["weights"]))]
-            fitted = BoostedMedian(trees, stored["weights"])
+            trees = [DecisionTreeRegressionModel.load(f"{path}/tree_{i}") for i in range(len(record["weights"]))]
+            fitted = BoostedMedian(trees, record["weights"])
         elif kind == "trees":
-            fitted = TreeEnsemble.from_json(stored["trees"])
+            fitted = TreeEnsemble.from_json(record["trees"])
         elif kind == "table":
             fitted = spark.read.parquet(f"{path}/table")
         elif kind == "neighbours":
-            options = {k: stored[k] for k in ("k", "weights", "block_rows")}
+            options = {k: record[k] for k in ("k", "weights", "block_rows")}
             fitted = Neighbours(spark.read.parquet(f"{path}/table"), spark.read.parquet(f"{path}/cells"), **options)
         return cls(meta, featurizer, fitted)
 
@@ -321,27 +364,33 @@ def random_search(
 ) -> tuple[CalibrationModel, list[tuple[dict[str, Any], float]]]:
     """Randomised search on contiguous folds with RMSE, refitted on all rows.
 
-    Returns the refitted best model and every setting tried with its mean RMSE. The folds are
-    computed once and kept; ``parallelism`` fits run at the same time.
+    Returns the refitted best model and every setting tried with its mean RMSE. A fold is prepared once, for all settings,
+    and written; ``parallelism`` fits run at the same time. Of equal errors the setting drawn first wins.
     """
     settings = draw_settings(GRIDS[estimator.model] if grid is None else grid, n_iter, seed)
-    folded = contiguous_folds(train, key, cv, seed).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def error_of(task: tuple[int, int]) -> float:
-        i, fold = task
-        fitted = estimator.copy({estimator.setting: settings[i]}).fit(folded.where(F.col("fold") != fold))
-        scored = fitted.transform(folded.where(F.col("fold") == fold))
-        return regression_metrics(scored, estimator.target, "prediction").first()["rmse"]
-
-    try:
-        tasks = [(i, fold) for i in range(len(settings)) for fold in range(cv)]
-        with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-            errors = pool.map(error_of, tasks)
-        tried = [(s, sum(errors[i * cv : (i + 1) * cv]) / cv) for i, s in enumerate(settings)]
-        best = min(tried, key=lambda t: t[1])[0]
-        return estimator.copy({estimator.setting: best}).fit(folded), tried
-    finally:
-        folded.unpersist()
+    errors = [[] for _ in settings]
+    with scratch_scope(train.sparkSession):
+        folded = stored(contiguous_folds(train, key, cv, seed), "folded")
+        for fold in range(cv):
+            with scratch_scope(train.sparkSession):
+                prepared = estimator.prepare(folded.where(F.col("fold") != fold))
+                models = estimator.fit_prepared(prepared, settings, parallelism)
+                for i, rmse in enumerate(_rmse_of(models, folded.where(F.col("fold") == fold), estimator.target, parallelism)):
+                    errors[i].append(rmse)
+    tried = [(s, sum(e) / cv) for s, e in zip(settings, errors)]
+    best = min(tried, key=lambda t: t[1])[0]
+    return estimator.copy({estimator.setting: best}).fit(train), tried
+
+
+def _rmse_of(models: Sequence[CalibrationModel], test: DataFrame, target: str, parallelism: int) -> list[float]:
+    """Error of each model on the same rows; models that are formulas share one pass."""
+    if all(isinstance(m.fitted, (LinearFit, LogLinear)) for m in models):
+        ready = models[0].ready(test)
+        x, truth = vector_to_array(F.col("features")), F.col(target)
+        squares = [F.avg(F.pow(truth - m.post(m.fitted.column(x)), 2)).alias(f"e{i}") for i, m in enumerate(models)]
+        return [float(e) ** 0.5 for e in ready.agg(*squares).first()]
+    with ThreadPool(max(1, min(parallelism, len(models)))) as pool:
+        return pool.map(lambda m: regression_metrics(m.transform(test), target, "prediction").first()["rmse"], models)
 
 
 def train_and_score(

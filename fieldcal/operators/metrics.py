@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ["r2", "mae", "mse", "rmse"]
+_REGISTERED: dict[str, Callable[[Column, Column], Column]] = {}
+
+
+def register_metric(name: str, expression: Callable[[Column, Column], Column]) -> None:
+    """Make an aggregate of truth and prediction known by name; all scores then hold it too, in the same pass."""
+    if name in METRICS and name not in _REGISTERED:
+        raise ValueError(f"{name} is a metric of the library")
+    _REGISTERED[name] = expression
+    if name not in METRICS:
+        METRICS.append(name)
+
+
+def forget_metric(name: str) -> None:
+    """Undo :func:`register_metric`."""
+    if _REGISTERED.pop(name, None) is not None:
+        METRICS.remove(name)
 
 
 def metric_columns(truth: Column, prediction: Column, suffix: str = "") -> list[Column]:
@@ -27,6 +43,7 @@ def metric_columns(truth: Column, prediction: Column, suffix: str = "") -> list[
         F.avg(F.abs(error)).alias(f"mae{suffix}"),
         mse.alias(f"mse{suffix}"),
         F.sqrt(mse).alias(f"rmse{suffix}"),
+        *[f(y, F.when(both, prediction.cast("double"))).alias(f"{name}{suffix}") for name, f in _REGISTERED.items()],
     ]
 
 

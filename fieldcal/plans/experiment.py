@@ -28,13 +28,15 @@ class Outcome:
 
 def run_experiment(
     line: str, zones: DataFrame, main_zone: str, options: Mapping[str, Any], seeds: DataFrame, seed_index: int, key: Sequence[str],
-    out: str, run_id: str, zone: str = "zone", zone_names: Sequence[str] = (), keys: Mapping[str, str] | None = None, **training: Any,
+    out: str, run_id: str, zone: str = "zone", zone_names: Sequence[str] = (), keys: Mapping[str, str] | None = None,
+    data: str | None = None, timestamps: str | None = None, **training: Any,
 ) -> Outcome | None:
     """Run one line of an experiment plan and write its traces below ``out``.
 
     ``options`` are those of :class:`CalibrationEstimator`, without the seed, which is entry ``seed_index`` of the seed
-    list. A run that ends well leaves a nested score record (``results``, in folders by ``keys``), its model and a
-    ledger line; one that fails leaves a row in ``failures`` and returns None, so that other runs go on.
+    list. A run that ends well leaves a nested score record (``results``, in folders by ``keys``, run and seed), its model and a
+    ledger line; one that fails leaves a row in ``failures`` and returns None, so that other runs go on. The same run again
+    replaces its record and model. ``data`` and ``timestamps`` name the files that ``zones`` came from, for the record.
     """
     spark = zones.sparkSession
     try:
@@ -53,6 +55,8 @@ def run_experiment(
         record = nest_results(wide.withColumn("run_id", F.lit(run_id)), list(zone_names), ["run_id"]).withColumns(
             {
                 "seed": F.lit(estimator.seed), "seed_index": F.lit(seed_index), "execution_time_in_minutes": F.lit(minutes),
+                "selected_features": F.array(*[F.lit(c) for c in [*estimator.categorical, *estimator.numeric]]),
+                "data": F.lit(data).cast("string"), "timestamps": F.lit(timestamps).cast("string"),
                 **{name: F.lit(value) for name, value in (keys or {}).items()},
             }
         )

@@ -39,10 +39,20 @@ def nest_results(scores: DataFrame, zones: Sequence[str], keys: Sequence[str]) -
     return scores.groupBy(*keys).agg(*maps)
 
 
+#: A run is known by these, besides its layout keys.
+RUN_KEY = ("run_id", "seed_index")
+
+
 def write_results(records: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append run records as JSON, optionally one folder per layout key."""
-    writer = records.write.mode("append")
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
+    """Write run records as JSON, in one folder for each layout key, run and seed.
+
+    A folder that is written again is replaced and all others stay, so a rerun leaves one record.
+    """
+    folders = [*partition_by, *[k for k in RUN_KEY if k in records.columns and k not in partition_by]]
+    if not folders:
+        records.write.mode("append").json(path)
+        return
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).json(path)
 
 
 def flag_digit(value: Column) -> Column:

@@ -99,16 +99,18 @@ def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("BM_P", F.col("l_quantity") / 2 + 990),
         one("AN_CO2", F.col("l_quantity")),
     )
-    return li.select(
+    wide = li.select(  # one text for all readings of a line
         F.concat(at.cast("string"), F.lit(".500")).alias("time"),
         (F.lit(REF_LON) + (F.col("l_partkey") % 11 - 5) * F.lit(0.004)).alias("lon"),
         (F.lit(REF_LAT) + (F.col("l_partkey") % 13 - 6) * F.lit(0.004)).alias("lat"),
         F.concat(F.lit("CAMO00"), (F.col("l_suppkey") % 5).cast("string")).alias("device"),
-        F.inline(sensors),
         F.col("l_quantity").alias("gps_kmh"),
         (F.col("l_partkey") % 360).cast("double").alias("gps_dir"),
         (F.col("l_suppkey") % 300).cast("double").alias("gps_alt"),
+        sensors.alias("sensors"),
     )
+    columns = ["time", "lon", "lat", "device"], ["gps_kmh", "gps_dir", "gps_alt"]
+    return wide.select(*columns[0], F.inline("sensors"), *columns[1])
 
 
 LINEITEM_READINGS_SQL = """

@@ -42,6 +42,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Size of the row groups of written tables, the smallest part that a task can read.
+ROW_GROUP_BYTES = 4 << 20
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scratch scopes", default=())
 
 
@@ -73,13 +75,14 @@ def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
 
     For tables that many passes read, such as training rows: later passes scan only the
     columns they need and never repeat the work before, also after an executor was lost.
-    The table goes with the ``scratch_scope`` around it, with ``keep`` with the one around that.
+    The table goes with the ``scratch_scope`` around it, with ``keep`` with the one around that. Its row groups are small, so that
+    a table written by few tasks is read by many.
     """
     path = scratch_path(df.sparkSession, name)
     scopes = _SCOPES.get()[:-1] if keep else _SCOPES.get()
     if scopes:
         scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

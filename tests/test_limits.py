@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldcal.functions.tails import _small_u_tail
 from fieldcal.models.elasticnet import fit_elasticnet_cv
-from fieldcal.models.training import make_regressor
+from fieldcal.models.training import CalibrationEstimator
 from fieldcal.operators.eda import density_by_category
 from fieldcal.operators.ordering import exact_split
 from fieldcal.operators.quantiles import exact_quantiles
@@ -113,5 +113,8 @@ def test_any_file_name_and_compression(spark, tmp_path):
         score_file(spark, str(tmp_path / "empty.csv"), str(tmp_path / "out"), 1.0)
 
 
-def test_bagged_trees_grow_to_the_largest_depth():
-    assert make_regressor("bagging", {}, 1).getMaxDepth() == 30
+def test_bagged_trees_grow_until_their_leaves_are_pure(spark):
+    """Every row of a tree's draw has a leaf of its own, however deep."""
+    rows = spark.createDataFrame([(i, float(i), float(i * i % 37)) for i in range(64)], "k long, x double, y double")
+    fitted = CalibrationEstimator("bagging", "y", numeric=["x"], key=["k"], numTrees=2).fit(rows).fitted
+    assert all(sum(left == 0 for left in tree.left) > 20 for tree in fitted.trees)

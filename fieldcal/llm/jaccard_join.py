@@ -38,8 +38,8 @@ from fieldcal.llm.tokens import fold_case, list_array, mix, runs, text_blocks, w
 from fieldcal.session import scratch_scope
 
 #: log2 of the places in the table of shingle counts: one for so many bytes of text, from the least to the most.
-PLACE_BYTES = 64
-LEAST_BITS, MOST_BITS = 16, 24
+PLACE_BYTES = 1024
+LEAST_BITS, MOST_BITS = 16, 22
 #: 64-bit words of the sketch of the suffix filter.
 SKETCH_LONGS = 8
 _CHUNK = 1 << 14
@@ -71,6 +71,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.concatenate(hashes), np.concatenate(docs)
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest one needs."""
+    kind = next((k for k in ("<u1", "<u2", "<u4") if counts.max() <= np.iinfo(k).max), "<i8")
+    return counts.astype(kind).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[len(data) // _CHUNK])
+
+
 def _count(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << bits, np.uint32)  # any count gives a right order
     for batch in batches:
@@ -82,7 +92,7 @@ def _count(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.
         part = total[at : at + _CHUNK]
         if part.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([at // _CHUNK], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["chunk", "counts"]
+                [pa.array([at // _CHUNK], pa.int32()), pa.array([_pack(part)], pa.binary())], ["chunk", "counts"]
             )
 
 
@@ -90,9 +100,9 @@ def _add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     total = np.zeros(_CHUNK, np.int64)
     for table in tables:
         for part in table.column("counts"):
-            total += np.frombuffer(part.as_py(), "<i8")
+            total += _unpack(part.as_py())
     yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"]
+        [pa.array([key[0].as_py()], pa.int32()), pa.array([_pack(total)], pa.binary())], ["chunk", "counts"]
     )
 
 
@@ -106,7 +116,7 @@ def rarity(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     halfway = salted.groupBy("chunk", "part").applyInArrow(_add, "chunk int, counts binary")
     total = np.zeros(1 << bits, np.int64)
     for row in halfway.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").toLocalIterator():  # 2 ** bits counts in all
-        total[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], "<i8")
+        total[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = _unpack(bytes(row["counts"]))
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
 
 

@@ -4,9 +4,10 @@ Every text has a 64-bit hash. A *bucket* is a range of hash values: all hashes t
 ``depth`` bits. The directory starts with one bucket; a bucket with more than ``capacity`` different hashes
 is split by one more bit, which doubles the directory, until every bucket fits. The index entries (hash,
 digest, document) are written to shared files in key order, so each owner task holds a range of keys and a
-key with very many documents spans several tasks. The entries of a hash form a chain: their texts are compared byte
-by byte by grouping on the text itself, where each task first adds up its own copies, and a chain with two
-different texts (a hash collision) yields two groups.
+key with very many documents spans several tasks. The entries of a (bucket, hash) form a chain. A chain of one entry is a
+document of its own, whatever its text. For longer chains the texts are compared byte by byte: each task first adds up its
+own equal texts, so that a hot text travels as one row a task, and each different text becomes a node of its chain, with
+the row that stays. Two texts of one hash (a collision) are two nodes. Every entry of the index then finds its node.
 
 DataFrame functions only. Defined results: a null text counts as empty; empty texts are equal to each
 other; rows repeated whole count as members of their group; rows with a null id count in ``group_size`` and
@@ -49,8 +50,12 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
             F.min(F.struct("depth", "bucket")).alias("place")
         )
         found = stored(placed.select("slot", "place.bucket", "place.depth"), "directory")
-        if bits >= 60 or found.count() == slots.count():
+        if found.count() == slots.count():
             return found, bits
+        if bits >= 60:  # more than ``capacity`` hashes share 60 bits: such a slot is a bucket of its own
+            own = F.lit(1 << bits) + F.col("slot")
+            whole = slots.select("slot").join(found, "slot", "left")
+            return whole.select("slot", F.coalesce("bucket", own).alias("bucket"), F.coalesce("depth", F.lit(bits)).alias("depth")), bits
         bits = min(60, bits + _SPARE_BITS)
 
 
@@ -64,21 +69,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots, bits = directory(keys, capacity)
     index = stored(
         entries.withColumn("slot", _prefix(F.col("h"), bits))
-        .join(slots, "slot", "left")
-        .select(F.coalesce("bucket", F.col("slot")).alias("bucket"), "h", "sha", "id")
+        .join(slots, "slot")
+        .select("bucket", "h", "sha", "id")
         .repartitionByRange("bucket", "h", "id")
         .sortWithinPartitions("bucket", "h", "id"),
         "index",
     )
-    groups = (
+    chains = index.groupBy("bucket", "h").agg(F.count("*").alias("entries")).filter("entries > 1")
+    texts_of_one_hash = (
         texts.groupBy("h", "text")  # equal hash, then equal bytes; copies are added up before the shuffle
         .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
         .select("h", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), "keep_id", "group_size")
     )
-    groups = stored(groups, "groups")
-    alone = F.col("group_size").isNull()
-    return index.join(groups, ["h", "sha"], "left").select(
+    nodes = stored(texts_of_one_hash.join(chains, "h").drop("entries"), "nodes")
+    alone = F.col("group_size").isNull()  # a chain of one entry, or one whose bytes no other text has
+    return index.join(nodes, ["bucket", "h", "sha"], "left").select(
         F.col("id").alias(id_col),
         F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),

@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from fieldcal.llm import bpe as bpe_module
+from fieldcal.llm import exact_dedup as exact_dedup_module
 from fieldcal.llm import jaccard_join, quality, substring_dedup, topk_search, toxicity, warc
 from fieldcal.llm.catalog import VOCABULARY
 from fieldcal.llm.exact_dedup import directory, exact_dedup
@@ -62,6 +63,33 @@ def test_exact_dedup_empty(frame):
     assert exact_dedup(frame(ROWS).limit(0)).collect() == []
 
 
+def test_rows_come_out_of_the_index(frame, monkeypatch):
+    found = exact_dedup_module.directory
+
+    def lost(keys, capacity):
+        slots, bits = found(keys, capacity)
+        return slots.filter("bucket % 2 = 0"), bits
+
+    monkeypatch.setattr(exact_dedup_module, "directory", lost)
+    got = exact_dedup(frame(ROWS), capacity=1).count()
+    assert 0 < got < len(ROWS)  # buckets that the directory lacks give no rows
+
+
+def test_two_texts_of_one_hash_are_two_nodes(frame, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    texts = ["a", "b", "a", None, "", "c"]
+    got = exact_dedup(frame([(i, t, "s") for i, t in enumerate(texts)]), capacity=8).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == {
+        0: (2, 2, False), 1: (1, 1, True), 2: (2, 2, True), 3: (4, 2, False), 4: (4, 2, True), 5: (5, 1, True),
+    }
+
+
+def test_hashes_that_share_sixty_bits_stay_in_the_directory(spark):
+    keys = spark.createDataFrame([(5,), (6,), (7,), (-1,)], "h long")
+    slots, bits = directory(keys, 1)
+    assert bits == 60 and sorted(r.slot for r in slots.collect()) == [0, 2**60 - 1]
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
     slots, bits = directory(keys, 100)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcal.catalog.registry import LINE_KEY, pairs, query, rounded, table
@@ -538,6 +541,32 @@ def model_save_load(spark, sf_dir):
     )
 
 
+#: Models that are stored in different ways; tests/test_models.py stores every name.
+_STORED_MODELS = {
+    "linear": {}, "gamma": {"maxIter": 5}, "random_forest": {"numTrees": 2, "maxDepth": 3}, "basic_median_delta": {},
+}
+
+
+@query(
+    f"""SELECT model, count(*) AS n, 0.0::DOUBLE AS largest_difference
+    FROM lineitem, (SELECT unnest({sorted(_STORED_MODELS)}) AS model) GROUP BY model"""
+)
+def model_pipeline_save_load(spark, sf_dir):
+    """Models as stages of a pipeline that is stored and read back: all predictions are the same."""
+    rows = _rows(spark, sf_dir)
+    checked = []
+    for model, setting in sorted(_STORED_MODELS.items()):
+        stage = _estimator(model, scaling="standard", groups=["l_linestatus", "l_linenumber"], **setting)
+        fitted, path = Pipeline(stages=[stage]).fit(rows.where("split = 'train'")), scratch_path(spark, "pipeline")
+        fitted.write().save(path)
+        both = PipelineModel.load(path).transform(fitted.transform(rows).withColumnRenamed("prediction", "first"))
+        checked.append(
+            both.select(F.lit(model).alias("model"), F.abs(F.col("first") - F.col("prediction")).alias("difference"))
+        )
+    together = functools.reduce(DataFrame.unionAll, checked)
+    return together.groupBy("model").agg(F.count("difference").alias("n"), F.max("difference").alias("largest_difference"))
+
+
 # ---------------------------------------------------------------- fits that SQL can state in closed form
 
 

@@ -19,6 +19,7 @@ from pyspark.ml.regression import (
     DecisionTreeRegressor,
     LinearRegression,
 )
+from pyspark.ml.util import MLReadable, MLWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from fieldcal.models.adaboost import BoostedMedian, fit_adaboost_r2
 from fieldcal.models.elasticnet import FoldMoments, LinearFit
 from fieldcal.models.glm import LogLinear, fit_glms
 from fieldcal.models.knn import Neighbours, fit_knn
+from fieldcal.models.persistence import StageReader, StageWriter
 from fieldcal.models.trees import CRITERIA, LOSSES, TreeEnsemble, fit_boosting, fit_forest
 from fieldcal.operators.metrics import linear_scaling, regression_metrics
 from fieldcal.operators.ordering import contiguous_folds, hash_key, head_condition, split_label
@@ -135,7 +137,7 @@ def make_regressor(name: str, params: Mapping[str, Any], seed: int) -> Estimator
     raise ValueError(f"unknown model {name}")
 
 
-class CalibrationEstimator(Estimator):
+class CalibrationEstimator(Estimator, MLWritable, MLReadable):
     """Augment, scale, encode and fit one calibration model.
 
     ``raw`` is the sensor column the baselines build on; ``groups`` are the category columns of the
@@ -161,6 +163,14 @@ class CalibrationEstimator(Estimator):
         self.linear_scaling, self.log_scale_target, self.seed = linear_scaling, log_scale_target, seed
         self._setDefault(setting=setting)
 
+    def write(self) -> StageWriter:
+        names = ("model", "target", "numeric", "categorical", "raw", "groups", "key", "scaling", "augmentation", "linear_scaling", "log_scale_target", "seed")
+        return StageWriter(self, {name: getattr(self, name) for name in names})
+
+    @classmethod
+    def read(cls) -> StageReader:
+        return StageReader(lambda options, path, spark: cls(**options))
+
     def _fit(self, dataset: DataFrame) -> CalibrationModel:
         with scratch_scope(dataset.sparkSession):
             return self.fit_prepared(self.prepare(dataset, self.model in _MANY_READS), [dict(self.getOrDefault(self.setting))])[0]
@@ -255,7 +265,7 @@ class CalibrationEstimator(Estimator):
         return made
 
 
-class CalibrationModel(Model):
+class CalibrationModel(Model, MLWritable, MLReadable):
     """A fitted model; ``transform`` adds the column ``prediction``."""
 
     def __init__(self, meta: dict[str, Any], featurizer: PipelineModel | None, fitted: Any):
@@ -293,8 +303,23 @@ class CalibrationModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.raw_transform(dataset).withColumn("prediction", self.post(F.col("prediction")))
 
-    # Persistence: the featurizer and an ML model keep their own format, the rest is one JSON line.
-    def save(self, path: str, spark: SparkSession) -> None:
+    def write(self) -> StageWriter:
+        return StageWriter(self, parts=self._write_parts)
+
+    @classmethod
+    def read(cls) -> StageReader:
+        return StageReader(lambda options, path, spark: cls._read_parts(path, spark))
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """Store the model; one that lies there is replaced."""
+        self.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession | None = None) -> CalibrationModel:
+        return cls.read().load(path)
+
+    # The featurizer and an ML model keep their own format, the rest is one JSON line.
+    def _write_parts(self, path: str, spark: SparkSession) -> None:
         fitted, extra = self.fitted, {}
         if isinstance(fitted, LinearFit):
             extra = {"kind": "linear_fit", "linear_fit": vars(fitted)}
@@ -324,7 +349,7 @@ class CalibrationModel(Model):
         spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
-    def load(cls, path: str, spark: SparkSession) -> CalibrationModel:
+    def _read_parts(cls, path: str, spark: SparkSession) -> CalibrationModel:
         record = json.loads(spark.read.text(f"{path}/meta").first()[0])
         meta, kind = record["meta"], record["kind"]
         if "scaling" in meta:

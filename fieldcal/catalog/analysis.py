@@ -23,10 +23,10 @@ from fieldcal.catalog.registry import (
     table,
 )
 from fieldcal.models.baseline import (
-    group_offsets,
     grouped_prediction,
     median_of_delta,
     median_of_target,
+    offsets_with_total,
     raw_prediction,
     shifted_prediction,
 )
@@ -136,8 +136,8 @@ def unseen_group_fallback(spark, sf_dir):
     p = pairs(spark, sf_dir)
     train = p.where("split = 'train' and l_linenumber < 5")
     groups = ["l_linestatus", "l_linenumber"]
-    offsets = group_offsets(train, "truth", "raw", groups)
-    return _score_baseline(grouped_prediction(p, "raw", offsets, groups, median_of_delta(train, "truth", "raw")))
+    offsets, total = offsets_with_total(train, "truth", "raw", groups)
+    return _score_baseline(grouped_prediction(p, "raw", offsets, groups, total))
 
 
 # ---------------------------------------------------------------- summaries

@@ -101,6 +101,12 @@ def column_shape(spark, sf_dir):
     return select_features(move_before_target(moved, ["price"], "target"), [], "target")
 
 
+@query("SELECT l_tax, l_shipdate, l_discount, l_quantity FROM lineitem")
+def feature_selection(spark, sf_dir):
+    """The listed features in the order of the list, then the target; all other columns go."""
+    return select_features(table(spark, sf_dir, "lineitem"), ["l_tax", "l_shipdate", "l_discount"], "l_quantity")
+
+
 @query("SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem")
 def select_by_type(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")

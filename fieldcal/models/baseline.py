@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcal.operators.quantiles import exact_quantiles
-from fieldcal.session import join_lookup
+from fieldcal.session import join_lookup, stored
 
 
 def raw_prediction(df: DataFrame, raw: str, output: str = "prediction") -> DataFrame:
@@ -29,8 +29,28 @@ def shifted_prediction(df: DataFrame, raw: str, offset: float, output: str = "pr
 
 def group_offsets(train: DataFrame, target: str, raw: str, groups: Sequence[str]) -> DataFrame:
     """Median of target minus raw per group, column ``offset``."""
-    delta = train.select(*groups, (F.col(target) - F.col(raw)).alias("d"))
-    return exact_quantiles(delta, "d", {"offset": 0.5}, groups).select(*groups, "offset")
+    return offsets_with_total(train, target, raw, groups)[0]
+
+
+def offsets_with_total(train: DataFrame, target: str, raw: str, groups: Sequence[str]) -> tuple[DataFrame, float | None]:
+    """Median of target minus raw per group, column ``offset``, and over all rows, from the same two scans.
+
+    Every row counts once for its group and once for the total; rows with a NULL in their group only for the total. The
+    result is written, so that both parts read it; it belongs to the fitted model, not to the steps of a fit. Without rows the
+    total is None.
+    """
+    whole = F.lit(True)
+    for name in groups:
+        whole = whole & F.col(name).isNotNull()
+    key = F.struct(*[F.col(name) for name in groups])
+    sets = F.filter(F.array(F.struct(F.lit(True).alias("total"), F.when(F.lit(False), key).alias("of")),
+                            F.struct(F.lit(False).alias("total"), F.when(whole, key).alias("of"))),
+                    lambda x: x["total"] | x["of"].isNotNull())
+    delta = train.select(F.explode(sets).alias("set"), (F.col(target) - F.col(raw)).alias("d"))
+    medians = stored(exact_quantiles(delta, "d", {"offset": 0.5}, ["set"]).select("set", "offset"), "offsets", keep=True)
+    total = medians.where("set.total").first()
+    offsets = medians.where("not set.total").select(*[F.col("set.of").getField(name).alias(name) for name in groups], "offset")
+    return offsets, None if total is None else total["offset"]
 
 
 def grouped_prediction(

@@ -249,10 +249,10 @@ class CalibrationEstimator(Estimator, MLWritable, MLReadable):
         offsets = None
         if self.model == "basic_median":
             meta["offset"] = baseline.median_of_target(train, target)
-        elif self.model in ("basic_median_plain_delta", "basic_median_delta"):
+        elif self.model == "basic_median_plain_delta":
             meta["offset"] = baseline.median_of_delta(train, target, self.raw)
-        if self.model == "basic_median_delta":
-            offsets = baseline.group_offsets(train, target, self.raw, self.groups)
+        elif self.model == "basic_median_delta":
+            offsets, meta["offset"] = baseline.offsets_with_total(train, target, self.raw, self.groups)
         return CalibrationModel(meta, None, offsets)
 
     def _post(self, made: CalibrationModel, rows: DataFrame) -> CalibrationModel:

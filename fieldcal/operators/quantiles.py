@@ -95,10 +95,13 @@ def exact_quantiles(
 
     lows = [F.col(f"_lo{i}") for i in range(len(names))]
     highs = [F.col(f"_hi{i}") for i in range(len(names))]
+    # The join below asks for slots that are not null; asked for here too, both of its sides share one scan and shuffle.
     counted = (
         placed.select(*keys, *carried, _bracket(lows, highs, F.col("_v")).alias("_p"))
         .where(F.col("_p").isNotNull())
-        .groupBy(*keys, *carried, F.col("_p.at").alias("_at"), F.col("_p.inside").alias("_inside"), F.col("_p.slot").alias("_slot"))
+        .select(*keys, *carried, F.col("_p.at").alias("_at"), F.col("_p.inside").alias("_inside"), F.col("_p.slot").alias("_slot"))
+        .where(F.col("_slot").isNotNull())
+        .groupBy(*keys, *carried, "_at", "_inside", "_slot")
         .agg(F.count("*").alias("_c"))
     )
     # A bounded number of slots per group: where does each begin, and does it hold a wanted rank?

@@ -27,32 +27,52 @@ _SMALL_SAMPLE = 8
 _SMALL_SIGNED = 50
 
 
+class _RangeSums:
+    """What one test has so far in a range: all of it adds up batch by batch."""
+
+    def __init__(self, part: int, keys: list[pa.Array], k: int):
+        self.part, self.keys = part, keys
+        self.s, self.l, self.q, self.g, self.t = np.zeros(k), np.zeros((k, k)), np.zeros((k, k)), np.zeros(k * k), 0.0
+
+    def add(self, c: np.ndarray) -> None:
+        """Counts per sample of the next values, in order."""
+        k = c.shape[1]
+        below = self.s + np.cumsum(c, axis=0) - c
+        whole = c.sum(axis=1)
+        self.l += c.T @ (below + c / 2)
+        self.q += (c * c).T @ c
+        self.g += np.concatenate([np.abs(c - c[:, [i]]).sum(axis=0) for i in range(k)])
+        self.t += float((whole**3 - whole).sum())
+        self.s += c.sum(axis=0)
+
+    def row(self, names: list[str]) -> pa.RecordBatch:
+        sums = [self.s.tolist(), self.l.ravel().tolist(), self.q.ravel().tolist(), self.g.tolist(), self.t]
+        return pa.RecordBatch.from_arrays([pa.array([self.part], pa.int32()), *self.keys, *[pa.array([x]) for x in sums]], names)
+
+
 def _range_parts(batches: Iterator[pa.RecordBatch], k: int, n_keys: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (part, keys, value, counts) of one range → one row for each test of the range.
 
-    Sums of the counts, pairs within the range, the products that tie sums need, and distances between samples.
+    Sums of the counts, pairs within the range, the products that tie sums need, and distances between samples. One batch
+    is held at a time; a test that goes on in the next batch goes on with its sums.
     """
-    table = pa.Table.from_batches(list(batches))
-    names = ["_part", *table.column_names[1 : 1 + n_keys], "s", "l", "q", "g", "t"]
-    if not table.num_rows:
-        return
-    counts = table.column(table.num_columns - 1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-    keys = list(zip(*[table.column(1 + i).to_pylist() for i in range(n_keys)])) if n_keys else [()] * len(counts)
-    starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-    rows = []
-    for start, end in zip(starts, [*starts[1:], len(keys)]):
-        c = counts[start:end]
-        below = np.cumsum(c, axis=0) - c
-        whole = c.sum(axis=1)
-        rows.append((
-            c.sum(axis=0).tolist(), (c.T @ (below + c / 2)).ravel().tolist(), ((c * c).T @ c).ravel().tolist(),
-            np.concatenate([np.abs(c - c[:, [i]]).sum(axis=0) for i in range(k)]).tolist(), float((whole**3 - whole).sum()),
-        ))
-    part = table.column(0)[0].as_py()
-    columns = [pa.array([part] * len(rows), pa.int32())]
-    columns += [table.column(1 + i).combine_chunks().take(pa.array(starts)) for i in range(n_keys)]
-    columns += [pa.array(x) for x in zip(*rows)]
-    yield pa.RecordBatch.from_arrays(columns, names)
+    sums, last, names = None, None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = ["_part", *batch.schema.names[1 : 1 + n_keys], "s", "l", "q", "g", "t"]
+        counts = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        keys = list(zip(*[batch.column(1 + i).to_pylist() for i in range(n_keys)])) if n_keys else [()] * len(counts)
+        starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        for start, end in zip(starts, [*starts[1:], len(keys)]):
+            if sums is None or keys[start] != last:
+                if sums is not None:
+                    yield sums.row(names)
+                part = batch.column(0)[start].as_py()
+                sums, last = _RangeSums(part, [batch.column(1 + i).slice(start, 1) for i in range(n_keys)], k), keys[start]
+            sums.add(counts[start:end])
+    if sums is not None:
+        yield sums.row(names)
 
 
 def _join_ranges(table: pa.Table, k: int, n_keys: int) -> pa.Table:

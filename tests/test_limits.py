@@ -4,17 +4,19 @@ import gzip
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from fieldcal.functions.tails import _small_u_tail
+from fieldcal.models.baseline import offsets_with_total
 from fieldcal.models.elasticnet import fit_elasticnet_cv
 from fieldcal.models.training import CalibrationEstimator
 from fieldcal.operators.eda import density_by_category
 from fieldcal.operators.ordering import exact_split
 from fieldcal.operators.quantiles import exact_quantiles
-from fieldcal.operators.ranktests import fisher_2x2, kruskal_wallis, mann_whitney_pairs, wilcoxon_signed_rank
+from fieldcal.operators.ranktests import _range_parts, fisher_2x2, kruskal_wallis, mann_whitney_pairs, wilcoxon_signed_rank
 from fieldcal.operators.reshape import pivot_mean
 from fieldcal.plans.scoring import score_file
 from fieldcal.sources.files import merged_readings, read_readings
@@ -118,3 +120,59 @@ def test_bagged_trees_grow_until_their_leaves_are_pure(spark):
     rows = spark.createDataFrame([(i, float(i), float(i * i % 37)) for i in range(64)], "k long, x double, y double")
     fitted = CalibrationEstimator("bagging", "y", numeric=["x"], key=["k"], numTrees=2).fit(rows).fitted
     assert all(sum(left == 0 for left in tree.left) > 20 for tree in fitted.trees)
+
+
+def test_group_and_total_medians_take_two_scans(spark):
+    """Groups and total come from the same two scans; rows of a null group count only for the total."""
+    rng = np.random.default_rng(5)
+    rows = [(["a", "b", None][i % 3], i % 4 if i % 7 else None, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "g string, h int, y double, x double"
+    train = spark.createDataFrame(rows, schema).mapInArrow(counting, schema)
+    offsets, total = offsets_with_total(train, "y", "x", ["g", "h"])
+    got = {(r.g, r.h): r.offset for r in offsets.collect()}
+    deltas = {}
+    for g, h, y, x in rows:
+        if g is not None and h is not None:
+            deltas.setdefault((g, h), []).append(y - x)
+    assert got == pytest.approx({key: float(np.median(d)) for key, d in deltas.items()})
+    assert total == pytest.approx(float(np.median([y - x for _, _, y, x in rows])))
+    assert read.value == 2 * len(rows)
+
+
+def test_group_medians_without_rows(spark):
+    offsets, total = offsets_with_total(spark.createDataFrame([], "g string, y double, x double"), "y", "x", ["g"])
+    assert offsets.count() == 0 and total is None
+
+
+def test_rank_sums_do_not_depend_on_batches():
+    """A test cut into many batches, and many tests in a batch, give the sums of whole ranges."""
+    rng = np.random.default_rng(6)
+    keys = ["a"] * 7 + ["b"] + ["c"] * 12
+    counts = rng.integers(0, 4, size=(len(keys), 3)).astype(float)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(counts.ravel()), 3).cast(pa.list_(pa.float64()))
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array([4] * len(keys), pa.int32()), pa.array(keys), pa.array(np.arange(len(keys), dtype=float)), flat], ["_part", "key", "_v", "c"]
+    )
+
+    def sums(size):
+        pieces = [whole.slice(i, size) for i in range(0, len(keys), size)]
+        return pa.Table.from_batches(list(_range_parts(iter([whole.slice(0, 0), *pieces]), 3, 1))).to_pylist()
+
+    expected = sums(len(keys))
+    assert [r["key"] for r in expected] == ["a", "b", "c"]
+    for size in (1, 2, 5, 8):
+        assert sums(size) == expected
+    for r in expected:
+        c = counts[[k == r["key"] for k in keys]]
+        values = [np.repeat(np.arange(len(c)), c[:, i].astype(int)) for i in range(3)]
+        above = [float(sum((x > y) + 0.5 * (x == y) for x in values[i] for y in values[j])) for i in range(3) for j in range(3)]
+        assert r["l"] == above and r["s"] == c.sum(axis=0).tolist()
+        assert r["t"] == float((c.sum(axis=1) ** 3 - c.sum(axis=1)).sum())
+    assert list(_range_parts(iter([whole.slice(0, 0)]), 3, 1)) == []

@@ -7,8 +7,10 @@ composition and there are few of them, so a block of text is scanned by composin
 table (the composition is associative): all rows of a grid at once, then the row totals, then the states. Document
 beginnings are constant functions, so documents never touch.
 
-The pieces, slices of the text's bytes, are merged by rank once each and cached; ids, their byte offsets and
-the decoded bytes of a batch come from the cache by array indexing.
+The pieces are slices of the text's bytes. Arrow finds the distinct ones of a block; those that are no token
+themselves are merged all together, as rows of a matrix: in each round every row merges its pair of lowest rank, and ranks of
+pairs come from a hash table of all splits of tokens. Only long pieces, and lengths of which a block has few, are merged one by one.
+Ids, their byte offsets and the decoded bytes of a block come from the distinct pieces by array indexing.
 
 Defined results: a null text is an empty text, which has no ids and decodes to nothing; invalid UTF-8 is
 replaced as ``make_valid_utf8`` does; a piece of any length is merged in n log n steps; rows repeated whole are encoded
@@ -25,10 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcal.llm.tokens import list_array, ranges, text_blocks
+from fieldcal.llm.tokens import buffers, list_array, ranges, text_blocks
 
 # Classes of code points, and of apostrophes before one or two letters of a contraction.
 _OTHER, _LETTER, _NUMBER, _SPACE, _WHITE, _SHORT, _LONG = range(7)
@@ -43,10 +46,16 @@ WHITE_SPACE = [
     *range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 
-#: Bounds of the cache of merged pieces in one worker: pieces, and their bytes.
-CACHE_PIECES = 200_000
+#: Widths of the matrices of pieces (longer ones are merged one by one), the fewest rows worth a matrix, and its most places.
+WIDTHS = (4, 8, 16, 32, 64, 128, 256)
+FEWEST_ROWS = 32
+MATRIX_PLACES = 1 << 18
+
+#: Bound of the cache of pieces merged one by one in one worker: their bytes.
 CACHE_BYTES = 16 << 20
 
+_NO_PAIR = np.iinfo(np.int32).max
+
 
 @lru_cache(maxsize=1)
 def code_point_classes() -> np.ndarray:
@@ -198,52 +207,153 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Pieces(dict):
-    """Piece → number; ids of piece k are ids[at[k]:at[k + 1]]."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.reset()
+class Pairs:
+    """Rank of the token that two neighbouring parts make, for arrays of parts.
 
-    def reset(self) -> None:
-        self.clear()
-        self.ids, self.at, self.bytes = [], [0], 0
+    A part is a token's rank; bytes that are no tokens have numbers from ``unknown`` on.
+    """
 
-    def __missing__(self, piece: bytes) -> int:
-        self.ids.extend(merge(piece, self.ranks))
-        self.at.append(len(self.ids))
-        self.bytes += len(piece)
-        self[piece] = code = len(self)
-        return code
-
-    def ready(self) -> None:
-        if len(self) > CACHE_PIECES or self.bytes > CACHE_BYTES:
-            self.reset()
+    def __init__(self, ranks: dict[bytes, int]):
+        self.unknown = max(ranks.values(), default=-1) + 1
+        number = {bytes([b]): self.unknown + b for b in range(256)} | ranks
+        self.byte = np.array([number[bytes([b])] for b in range(256)], np.int32)
+        self.width = self.unknown + 256
+        found = [
+            (number[token[:k]] * self.width + number[token[k:]], rank)
+            for token, rank in ranks.items() for k in range(1, len(token)) if token[:k] in number and token[k:] in number
+        ]
+        key, rank = np.array(found, np.int64).reshape(-1, 2).T
+        bits = max(8, (3 * len(key)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        place, slot, rest = np.full(1 << bits, -1, np.int64), self._slot(key), np.arange(len(key))
+        while len(rest):  # open addressing: who finds a place taken goes on to the next
+            free = rest[place[slot[rest]] < 0]
+            place[slot[free]] = free
+            rest = rest[place[slot[rest]] != rest]
+            slot[rest] = (slot[rest] + 1) & self.mask
+        used = place >= 0
+        self.keys, self.ranks = np.full(len(place), -1, np.int64), np.full(len(place), _NO_PAIR, np.int32)
+        self.keys[used], self.ranks[used] = key[place[used]], rank[place[used]]
+        self.of_bytes = self(np.repeat(self.byte, 256), np.tile(self.byte, 256))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks, ``_NO_PAIR`` for pairs that make no token or where a part is missing (below 0)."""
+        key = np.where((left < 0) | (right < 0), np.int64(-1), left.astype(np.int64) * self.width + right)
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.ranks[slot], np.int32(_NO_PAIR))
+        rest = np.flatnonzero((there != key) & (there >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            there = self.keys[slot[rest]]
+            hit = there == key[rest]
+            out[rest[hit]] = self.ranks[slot[rest[hit]]]
+            rest = rest[~hit & (there >= 0)]
+        return out
+
+    def merge(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge`` for many pieces of up to ``width`` bytes: ids of all in turn, and their number in each."""
+        column = np.arange(width + 1)
+        text = data[np.minimum(start[:, None] + column, len(data) - 1)]
+        inside = column < length[:, None]
+        parts = np.where(inside, self.byte[text], np.int32(-1))  # the last column stays free
+        pair = np.where(inside[:, 1:], self.of_bytes[text[:, :-1].astype(np.int32) << 8 | text[:, 1:]], np.int32(_NO_PAIR))
+        out, row = np.full(parts.shape, -1, np.int32), np.arange(len(start))
+        while len(row):
+            at, here = pair.argmin(axis=1), np.arange(len(row))  # the leftmost of equal ranks
+            best = pair[here, at]
+            done = best == _NO_PAIR
+            if done.any():
+                out[row[done], : parts.shape[1]] = parts[done]
+                go = ~done
+                row, parts, pair, at, best = row[go], parts[go], pair[go], at[go], best[go]
+                here = here[: len(row)]
+            if not len(row):
+                break
+            parts[here, at] = best
+            stays = np.ones(parts.shape, bool)
+            stays[here, at + 1] = False
+            parts = parts[stays].reshape(len(row), -1)
+            stays = np.ones(pair.shape, bool)
+            stays[here, at] = False
+            pair = pair[stays].reshape(len(row), -1)
+            # with the neighbours left and right; to the left of the first part lies the free last column
+            fresh = self(np.concatenate([parts[here, at - 1], best]), np.concatenate([best, parts[here, at + 1]]))
+            pair[here, at - 1], pair[here, at] = fresh[: len(row)], fresh[len(row) :]
+        real = out >= 0
+        ids = out[real]
+        if len(ids) and ids.max() >= self.unknown:
+            raise KeyError("a byte of the text is no token")
+        return ids, real.sum(axis=1)
 
 
 class Codec:
     def __init__(self, path: str):
-        ranks = load_ranks(path)
-        self.pieces = _Pieces(ranks)
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
+        self.ranks = load_ranks(path)
+        self.pairs = Pairs(self.ranks)
+        self.vocabulary = pa.array(list(self.ranks), pa.large_binary())
+        self.rank = np.array(list(self.ranks.values()), np.int32)
+        self.single: dict[bytes, np.ndarray] = {}
+        self.single_bytes = 0
+        tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
             tokens[rank] = token
         self.token_length = np.array([len(t) for t in tokens], np.int64)
         self.token_start = np.cumsum(self.token_length) - self.token_length
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
 
+    def _merge_single(self, piece: bytes) -> np.ndarray:
+        if piece not in self.single:
+            if self.single_bytes > CACHE_BYTES:
+                self.single, self.single_bytes = {}, 0
+            self.single[piece] = np.array(merge(piece, self.ranks), np.int32)
+            self.single_bytes += len(piece)
+        return self.single[piece]
+
+    def merged(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, those of each one behind another, and where these begin and how many they are."""
+        data, offsets = buffers(pieces)
+        length = np.diff(offsets)
+        token = pc.index_in(pieces, value_set=self.vocabulary)
+        known = token.is_valid().to_numpy(zero_copy_only=False)
+        ids = [self.rank[token.drop_null().to_numpy()]]
+        count = known.astype(np.int64)
+        begin = np.cumsum(count) - count
+        filled = len(ids[0])
+        fit = np.searchsorted(WIDTHS, length)
+        fit[known] = -1
+        alone = [np.flatnonzero(fit == len(WIDTHS))]
+        for k, width in enumerate(WIDTHS):
+            rows = np.flatnonzero(fit == k)
+            if len(rows) < FEWEST_ROWS:
+                alone.append(rows)
+                continue
+            for part in np.array_split(rows, -(-len(rows) * width // MATRIX_PLACES)):
+                found, count[part] = self.pairs.merge(data, offsets[part], length[part], width)
+                begin[part] = filled + np.cumsum(count[part]) - count[part]
+                ids.append(found)
+                filled += len(found)
+        for i in np.concatenate(alone).tolist():
+            found = self._merge_single(data[offsets[i] : offsets[i + 1]].tobytes())
+            begin[i], count[i] = filled, len(found)
+            ids.append(found)
+            filled += len(found)
+        return np.concatenate(ids), begin, count
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in turn, and their number in each document."""
         start = piece_starts(data, offsets)
-        end = np.append(start[1:], len(data))
-        text = data.tobytes()
-        self.pieces.ready()
-        code = np.fromiter(
-            map(self.pieces.__getitem__, map(text.__getitem__, map(slice, start.tolist(), end.tolist()))), np.int64, len(start)
-        )
-        at = np.array(self.pieces.at, np.int64)
-        length = at[code + 1] - at[code]
-        ids = np.array(self.pieces.ids, np.int32)[ranges(at[code], length)]
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
+        where = pa.py_buffer(np.append(start, len(data)))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, where, pa.py_buffer(data)]).dictionary_encode()
+        code = pieces.indices.to_numpy()
+        pool, begin, count = self.merged(pieces.dictionary)
+        length = count[code]
+        ids = pool[ranges(begin[code], length)]
         total = np.concatenate([[0], np.cumsum(length)])
         return ids, np.diff(total[np.searchsorted(start, offsets)])
 

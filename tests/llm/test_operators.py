@@ -227,6 +227,40 @@ def test_bpe_pieces_by_chance(library):
         assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
 
 
+def test_bpe_merges_distinct_pieces_together(library, monkeypatch):
+    """A corpus of ever new words costs no Python loop for each: only lengths of few pieces, and long ones, go one by one."""
+    rng = random.Random(6)
+    longest = ["".join(rng.choices("abé中", k=400)) for _ in range(3)]
+    texts = [" ".join("".join(rng.choices("abcdestéß中", k=rng.randint(1, 60))) for _ in range(400)) for _ in range(20)] + longest
+    alone = []
+
+    def merge(piece, ranks, plain=bpe_module.merge):
+        alone.append(piece)
+        return plain(piece, ranks)
+
+    monkeypatch.setattr(bpe_module, "merge", merge)
+    raw = [t.encode() for t in texts]
+    ids, counts = bpe_module.Codec(VOCABULARY).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [library.encode_ordinary(t) for t in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert {t.encode() for t in longest} <= set(alone) and len(alone) < 300
+
+
+def test_bpe_with_ranks_in_any_order(tmp_path):
+    """Tokens that merging does not reach, and merges that make a token of lower rank than their own parts."""
+    rng = random.Random(7)
+    for n in range(10):
+        tokens = {bytes([b]) for b in range(256)} | {"".join(rng.choices("abcd ", k=rng.randint(2, 6))).encode() for _ in range(n * 15)}
+        order = rng.sample(sorted(tokens), len(tokens))
+        path = tmp_path / f"{n}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(order)))
+        ranks = {t: k for k, t in enumerate(order)}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        raw = " ".join("".join(rng.choices("abcd", k=rng.randint(1, rng.choice([4, 20, 90])))) for _ in range(300)).encode()
+        ids, _ = bpe_module.Codec(str(path)).encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert ids.tolist() == own.encode_ordinary(raw.decode())
+
+
 # ---------------------------------------------------------------- suffix dedup
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from fieldcal.functions.measure import round_decimals
 from fieldcal.models.formula import apply_by_distance
+from fieldcal.operators.ordering import sorted_by_time
 from fieldcal.plans.scoring import scoring_table
 from fieldcal.schema import READING_COLUMNS, READING_SCHEMA
 
@@ -66,3 +67,24 @@ def test_round_decimals_is_round(spark):
         bits = [c.cast("string") for c in (F.round("x", digits), round_decimals(F.col("x"), digits))]
         assert df.where(~bits[0].eqNullSafe(bits[1])).limit(3).collect() == []
 
+
+
+def test_sorted_by_time_is_order_by(spark):
+    spread = spark.range(20_000).select(
+        F.expr("timestamp_ntz'2024-03-10 00:00:00' + make_dt_interval(0, 0, 0, cast(id * 7919 % 20000 as decimal(18,6)))").alias("time"),
+        (F.col("id") % 5).cast("string").alias("device"), "id",
+    )  # the tests' zone skips an hour on that day
+    odd = spark.sql("SELECT * FROM VALUES (cast(NULL AS timestamp_ntz), 'a', -1L), (timestamp_ntz'1960-01-01 00:00:00.5', 'b', -2L), "
+                    "(timestamp_ntz'2100-01-01 00:00:00', 'c', -3L) t(time, device, id)")
+    df = spread.union(odd)
+    expected = [r[:] for r in df.orderBy("time", "device", "id").collect()]
+    got = sorted_by_time(df, ["time", "device", "id"], spread.select("time"), share=1.0)
+    assert [r[:] for r in got.collect()] == expected
+    parts = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 7_000
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan(got)
+    hot = df.withColumn("time", F.when(F.col("id") % 10 == 0, F.col("time")).otherwise(F.expr("timestamp_ntz'2024-03-10 01:00:00'")))
+    again = sorted_by_time(hot, ["time", "device", "id"], hot.select("time"), share=1.0)
+    assert "rangepartitioning" in plan(again)  # one second holds most rows: the further columns split it
+    assert [r.id for r in again.collect()] == [r.id for r in hot.orderBy("time", "device", "id").collect()]
